@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cartlens import Params
+from cartlens.operators import clients, cohorts, facts, products
 from cartlens.plans.assortment import a15_ccz_priority_candidates, a16_candidate_monthly_sales
 from cartlens.plans.catalog import REPORTS
-from cartlens.sources.sales import sales_from_order_lines
+from cartlens.session import shared_folder
+from cartlens.sources.events import day_deliveries
+from cartlens.sources.landing import backfill, land
+from cartlens.sources.sales import load_range, read_sales, rows_per_day, sales_from_order_lines
+from cartlens.sources.snapshot import RECORDS, export_csv, read_csv, write_snapshot
+from cartlens.streaming.daily import start_daily_ingest
 from oracles.sql import Oracle
 
 # The whole history of the order tables. Bounds of the study that fit its own
@@ -56,6 +64,94 @@ def _candidate_months(p: Params):
     return run
 
 
+# Blocks that no report shows on its own.
+BLOCKS = {
+    "b01_base_sales": lambda s, p: facts.base_sales(s, p).selectExpr(
+        "client_id", "purchase_date", "product_id", "quantity", "cast(total_price as double) as total_price"
+    ),
+    "b02_product_metrics": lambda s, p: products.product_metrics(s, p).withColumn(
+        "revenue", F.col("revenue").cast("double")
+    ),
+    "b07_dense_monthly_units": products.dense_monthly_units,
+    "b09_product_segments": lambda s, p: products.abc_xyz_products(s, p).select(
+        "product_id", "abc_class", "xyz_class", "segment"
+    ),
+    "b10_first_months": cohorts.first_months,
+    "b13_activity_cells": lambda s, p: cohorts.revenue_cells(s, p).select(
+        "cohort", "month_number", "active_clients", F.col("revenue").cast("double").alias("revenue")
+    ),
+    "b18_purchase_days": clients.purchase_days,
+    "b20_client_segments": lambda s, p: clients.rfm_segments(clients.client_metrics(s, p), p).select(
+        "client_id", "rfm_score", "segment"
+    ),
+}
+
+
+def _block(name: str, p: Params):
+    return lambda spark, folder: BLOCKS[name](_sales(spark, folder, p), p)
+
+
+def _new_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+
+
+# The months of the `events` table.
+EVENT_DAYS = (date(2024, 1, 1), date(2024, 2, 1))
+
+
+def _first_load(spark: SparkSession, folder: str):
+    """Land every delivery once and load them; returns landing, table and status."""
+    work = _new_folder(spark)
+    landing, table = f"{work}/landing", f"{work}/sales"
+    land(day_deliveries(spark, folder), landing, "1")
+    return landing, table, backfill(spark, landing, table, *EVENT_DAYS)
+
+
+def _corrected(spark: SparkSession, folder: str) -> DataFrame:
+    """The second delivery of every day: without errors and zero values."""
+    return day_deliveries(spark, folder).where("event_type <> 'error' and price_per_item <> 'n/a'")
+
+
+def _stored(spark: SparkSession, table: str) -> DataFrame:
+    return read_sales(spark, table).withColumn("total_price", F.col("total_price").cast("double"))
+
+
+def _backfill_status(spark: SparkSession, folder: str) -> DataFrame:
+    return _first_load(spark, folder)[2]
+
+
+def _loaded_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return _stored(spark, _first_load(spark, folder)[1])
+
+
+def _replaced_rows(spark: SparkSession, folder: str) -> DataFrame:
+    landing, table, _ = _first_load(spark, folder)
+    land(_corrected(spark, folder), landing, "2")
+    backfill(spark, landing, table, *EVENT_DAYS)
+    return _stored(spark, table)
+
+
+def _streamed_rows(spark: SparkSession, folder: str) -> DataFrame:
+    work = _new_folder(spark)
+    landing, table = f"{work}/landing", f"{work}/sales"
+    for drop, rows in (("1", day_deliveries(spark, folder)), ("2", _corrected(spark, folder))):
+        land(rows, landing, drop)
+        start_daily_ingest(spark, landing, table, f"{work}/checkpoint").awaitTermination()
+    return _stored(spark, table)
+
+
+def _exported(name: str, p: Params):
+    """A record list by way of the snapshot document and its CSV file."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        work = _new_folder(spark)
+        write_snapshot(_sales(spark, folder, p), p, f"{work}/snapshot", [name])
+        (path,) = export_csv(spark, f"{work}/snapshot", f"{work}/csv", [name])
+        return read_csv(spark, path, RECORDS[name])
+
+    return run
+
+
 def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
     found = {}
     for suffix, p in (("", WHOLE), ("__year", YEAR)):
@@ -72,6 +168,24 @@ def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | No
     sliced = replace(WHOLE, rows_per_slice=300)
     for name in ("a01_abc_product_scores", "a08_cv_distribution", "a10_abc_xyz_segments", "c03_rfm_percentiles"):
         found[name + "__sliced"] = (_report(name, sliced), Oracle(sliced).reports()[name])
+
+    oracle = Oracle(WHOLE)
+    for name, text in oracle.blocks().items():
+        found[name] = (_block(name, WHOLE), text)
+    for name, text in oracle.records().items():
+        found[f"snk7_csv_{name}"] = (_exported(name, WHOLE), text)
+    loads = oracle.loads()
+    for name, run in {
+        "src4_backfill_status": _backfill_status,
+        "snk1_loaded_rows": _loaded_rows,
+        "snk1_replaced_rows": _replaced_rows,
+        "str1_streamed_rows": _streamed_rows,
+        "snk5_load_range": lambda spark, folder: load_range(_sales(spark, folder, WHOLE)),
+        "snk6_rows_per_day": lambda spark, folder: rows_per_day(
+            _sales(spark, folder, WHOLE), WHOLE.start, WHOLE.end
+        ),
+    }.items():
+        found[name] = (run, loads[name])
     return found
 
 

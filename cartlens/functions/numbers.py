@@ -26,14 +26,22 @@ def percent(part: Column, whole: Column) -> Column:
     return F.lit(100.0) * part.cast("double") / F.nullif(whole.cast("double"), F.lit(0.0))
 
 
-def sum_money(amount: Column) -> Column:
-    """Exact sum of a decimal(18,2) column.
+def cents(amount: Column) -> Column:
+    """A decimal(18,2) amount as whole cents.
 
-    Rows are added as whole cents in a bigint, which stays in generated code
-    with a fixed-width buffer; overflow raises instead of wrapping.
+    Sums of a bigint stay in generated code with a fixed-width buffer, which
+    decimal sums do not; an overflow raises instead of wrapping.
     """
-    cents = F.sum((amount * 100).cast("bigint"))
-    return (cents.cast("decimal(20,0)") / 100).cast(MONEY)
+    return (amount * 100).cast("bigint")
+
+
+def money(whole_cents: Column) -> Column:
+    return (whole_cents.cast("decimal(20,0)") / 100).cast(MONEY)
+
+
+def sum_money(amount: Column) -> Column:
+    """Exact sum of a decimal(18,2) column."""
+    return money(F.sum(cents(amount)))
 
 
 def correlation(x: Column, y: Column) -> Column:

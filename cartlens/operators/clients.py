@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartlens.functions.bands import band, rfm_segment
@@ -18,17 +18,29 @@ def client_metrics(sales: DataFrame, p: Params) -> DataFrame:
         base_sales(sales, p)
         .groupBy("client_id")
         .agg(
-            F.max("gender").alias("gender"),
+            F.max(F.ascii("gender")).alias("letter"),
             F.min(day).alias("first_purchase_date"),
             F.max(day).alias("last_purchase_date"),
             F.count_distinct(day).alias("active_days"),
             F.sum(F.col("quantity").cast("bigint")).alias("units_bought"),
             sum_money(F.col("total_price")).alias("revenue"),
         )
+        .withColumn("gender", _letter(F.col("letter")))
         .withColumn("recency_days", F.datediff(F.lit(p.end), F.col("last_purchase_date")))
+        .drop("letter")
     )
 
 
+def _letter(code: Column) -> Column:
+    """The one-letter text of a code point, '' for 0.
+
+    The largest letter is found through its code point, because a text maximum
+    would turn the hash aggregation of all rows into a sort.
+    """
+    utf32 = F.unhex(F.lpad(F.hex(code), 8, "0"))
+    return F.when(code == 0, "").otherwise(F.decode(utf32, "UTF-32"))
+
+
 def rfm_scores(clients: DataFrame, p: Params) -> DataFrame:
     """Scores 1..5 by fixed bounds; recent, frequent and valuable clients score high."""
     return clients.withColumns(

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartlens.functions.months import month_index
-from cartlens.functions.numbers import sum_money
+from cartlens.functions.numbers import cents, money
 from cartlens.operators.facts import base_sales
 from cartlens.params import Params
 
@@ -18,12 +18,13 @@ BITS = 63
 
 
 def active_months(sales: DataFrame, p: Params) -> DataFrame:
-    """Clients per distinct set of active months: `months` (sorted array), `clients`.
+    """`clients` per distinct set of active months, with the `cohort` (first of them).
 
-    A client's months are bits of a few bigints. Bits combine map-side, so one
-    shuffle of one narrow row per client replaces distinct + join + count.
+    A client's months are the bits of a few bigints w0, w1, … Bits combine
+    map-side, so one shuffle of one narrow row per client replaces the distinct,
+    the join with first purchases and the distinct count.
     """
-    words = [f"w{i}" for i in range((p.n_months + BITS - 1) // BITS)]
+    words = _words(p)
     masks = [
         F.coalesce(
             F.bit_or(F.expr(f"case when m div {BITS} = {i} then shiftleft(1L, m % {BITS}) end")),
@@ -31,13 +32,10 @@ def active_months(sales: DataFrame, p: Params) -> DataFrame:
         ).alias(word)
         for i, word in enumerate(words)
     ]
-    months = F.filter(
-        F.sequence(F.lit(0), F.lit(p.n_months - 1)),
-        lambda m: F.array(*words)[(m / BITS).cast("int")].bitwiseAND(
-            F.call_function("shiftleft", F.lit(1).cast("bigint"), m % BITS)
-        )
-        != 0,
-    )
+    lowest_bits = [
+        F.when(F.col(word) != 0, i * BITS + F.expr(f"bit_count(({word} & -{word}) - 1)"))
+        for i, word in enumerate(words)
+    ]
     return (
         base_sales(sales, p)
         .select("client_id", month_index(F.col("purchase_date"), p.first_month).alias("m"))
@@ -45,10 +43,14 @@ def active_months(sales: DataFrame, p: Params) -> DataFrame:
         .agg(*masks)
         .groupBy(*words)
         .agg(F.count("*").alias("clients"))
-        .select(months.alias("months"), "clients")
+        .withColumn("cohort", F.coalesce(*lowest_bits))
     )
 
 
+def _words(p: Params) -> list[str]:
+    return [f"w{i}" for i in range((p.n_months + BITS - 1) // BITS)]
+
+
 def first_months(sales: DataFrame, p: Params) -> DataFrame:
     """One row per client with the first purchase day and the cohort month."""
     return (
@@ -61,13 +63,12 @@ def first_months(sales: DataFrame, p: Params) -> DataFrame:
 
 def activity_cells(sales: DataFrame, p: Params) -> DataFrame:
     """Active clients per cohort and month_number, only where there are any."""
+    word = " ".join(f"when {i} then {word}" for i, word in enumerate(_words(p)))
+    bit = f"shiftright(case month div {BITS} {word} end, month % {BITS}) & 1"
     return (
         active_months(sales, p)
-        .select(
-            F.col("months")[0].alias("cohort"),
-            F.explode("months").alias("month"),
-            "clients",
-        )
+        .withColumn("month", F.explode(F.sequence("cohort", F.lit(p.n_months - 1))))
+        .where(F.expr(bit) == 1)
         .groupBy("cohort", (F.col("month") - F.col("cohort")).alias("month_number"))
         .agg(F.sum("clients").alias("active_clients"))
     )
@@ -87,13 +88,13 @@ def revenue_cells(sales: DataFrame, p: Params, cohorts: int | None = None, end=N
         base_sales(sales, p, end)
         .groupBy("client_id", month)
         .agg(
-            sum_money(F.col("total_price")).alias("revenue"),
+            F.sum(cents(F.col("total_price"))).alias("cents"),
             F.min("purchase_date").alias("day"),
         )
         .withColumn("cohort", first)
         .where(started)
         .groupBy("cohort", (F.col("month") - F.col("cohort")).alias("month_number"))
-        .agg(F.count("*").alias("active_clients"), F.sum("revenue").alias("revenue"))
+        .agg(F.count("*").alias("active_clients"), money(F.sum("cents")).alias("revenue"))
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cartlens.functions.bands import exact
 from cartlens.functions.months import month_index
-from cartlens.functions.numbers import percent, sum_money
+from cartlens.functions.numbers import cents, money, percent
 from cartlens.operators.facts import base_sales
 from cartlens.operators.ordered import Size, measure, pareto_class
 from cartlens.params import Params
@@ -19,7 +19,7 @@ WIDE = "decimal(38,0)"
 def _totals() -> list[Column]:
     quantity = F.col("quantity").cast("bigint")
     return [
-        sum_money(F.col("total_price")).alias("revenue"),
+        F.sum(cents(F.col("total_price"))).alias("cents"),
         F.sum(quantity).alias("units_sold"),
         F.sum(F.col("price_per_item").cast("bigint") * quantity).alias("gross_revenue"),
         F.sum(F.col("discount_per_item").cast("bigint") * quantity).alias("discount_amount"),
@@ -32,7 +32,9 @@ def product_metrics(sales: DataFrame, p: Params) -> DataFrame:
         base_sales(sales, p)
         .groupBy("product_id")
         .agg(*_totals())
+        .withColumn("revenue", money(F.col("cents")))
         .withColumn("discount_rate_pct", discount_rate())
+        .drop("cents")
     )
 
 
@@ -41,7 +43,7 @@ def discount_rate() -> Column:
 
 
 def product_months(sales: DataFrame, p: Params) -> DataFrame:
-    """The same totals per product and month with sales (`month` counts from the first)."""
+    """Totals per product and month with sales: `month` counts from the first, revenue is in cents."""
     return (
         base_sales(sales, p)
         .groupBy("product_id", month_index(F.col("purchase_date"), p.first_month).alias("month"))
@@ -80,7 +82,7 @@ def product_profile(sales: DataFrame, p: Params) -> DataFrame:
     units = F.col("units_sold").cast("decimal(19,0)")
     months = F.lit(p.n_months)
     sums = product_months(sales, p).groupBy("product_id").agg(
-        F.sum("revenue").alias("revenue"),
+        money(F.sum("cents")).alias("revenue"),
         F.sum("units_sold").alias("units_sold"),
         F.sum("gross_revenue").alias("gross_revenue"),
         F.sum("discount_amount").alias("discount_amount"),

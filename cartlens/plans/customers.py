@@ -196,24 +196,24 @@ def c09_ltv_exploration(sales: DataFrame, p: Params) -> DataFrame:
     )
 
 
-def _fixed_cells(sales: DataFrame, p: Params) -> DataFrame:
+def fixed_cohort_curve(sales: DataFrame, p: Params) -> DataFrame:
+    """The first cohorts at every horizon, the same clients each time, gaps as zero."""
     cells = revenue_cells(sales, p, cohorts=p.fixed_cohorts)
-    return fill_cells(cells, F.lit(p.fixed_horizon), "active_clients", "revenue")
+    filled = fill_cells(cells, F.lit(p.fixed_horizon), "active_clients", "revenue")
+    sums = ("active_clients", "cohort_size", "revenue", "cumulative")
+    return _cumulative(filled).groupBy("month_number").agg(*[F.sum(c).alias(c) for c in sums])
 
 
 def c10_ltv_fixed_cohorts(sales: DataFrame, p: Params) -> DataFrame:
-    """The same first cohorts at every horizon, empty months counted as zero."""
-    each = ratio(F.col("cumulative"), F.col("customers_count"))
+    """Running revenue per client of the first cohorts and its growth since M0."""
     at_m0 = F.first("each").over(Window.orderBy("month_number"))
     return (
-        _cumulative(_fixed_cells(sales, p))
-        .groupBy("month_number")
-        .agg(F.sum("cumulative").alias("cumulative"), F.sum("cohort_size").alias("customers_count"))
-        .withColumn("each", each)
+        fixed_cohort_curve(sales, p)
+        .withColumn("each", ratio(F.col("cumulative"), F.col("cohort_size")))
         .select(
             "month_number",
             half_up(F.col("cumulative"), 0).alias("cumulative_revenue"),
-            "customers_count",
+            F.col("cohort_size").alias("customers_count"),
             half_up(F.col("each"), 0).alias("cumulative_revenue_per_customer"),
             half_up(percent(F.col("each"), at_m0) - 100, 2).alias("growth_vs_m0_pct"),
         )
@@ -224,13 +224,7 @@ def c10_ltv_fixed_cohorts(sales: DataFrame, p: Params) -> DataFrame:
 def c11_retention_revenue(sales: DataFrame, p: Params) -> DataFrame:
     """Retention and revenue per original and per active client of the first cohorts."""
     return (
-        _fixed_cells(sales, p)
-        .groupBy("month_number")
-        .agg(
-            F.sum("active_clients").alias("active_clients"),
-            F.sum("cohort_size").alias("cohort_size"),
-            F.sum("revenue").alias("revenue"),
-        )
+        fixed_cohort_curve(sales, p)
         .select(
             "month_number",
             "active_clients",

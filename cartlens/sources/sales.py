@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from cartlens.sources.schema import SALES
 
 
+ORDERS = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderdate timestamp_ntz"
+LINES = "l_orderkey bigint, l_partkey bigint, l_quantity double, l_extendedprice double, l_discount double"
+
+
 def read_sales(spark: SparkSession, path: str) -> DataFrame:
     """The stored table: parquet in one folder per purchase_date."""
     return spark.read.schema(SALES).parquet(path)
@@ -63,39 +67,37 @@ def sales_from_order_lines(
     total follows from both; with `billed` it is the rounded line amount
     instead. The order status stands in for the one-letter client attribute.
     """
-    orders = spark.read.parquet(f"{folder}/orders.parquet")
-    lines = spark.read.parquet(f"{folder}/lineitem.parquet")
+    orders = spark.read.schema(ORDERS).parquet(f"{folder}/orders.parquet")
+    lines = spark.read.schema(LINES).parquet(f"{folder}/lineitem.parquet")
     ordered = F.col("o_orderdate")
     if start is not None:
         orders = orders.where(ordered >= _midnight(start))
     if end is not None:
         orders = orders.where(ordered < _midnight(end))
 
-    price = F.round(F.col("l_extendedprice") / F.col("l_quantity")).cast("bigint")
-    percent = F.round(F.col("l_discount") * 100).cast("bigint")
-    discount = F.expr("(price_per_item * percent + 50) div 100")
+    # Amounts are not negative, so adding a half and cutting rounds half away from zero.
+    priced = lines.selectExpr(
+        "l_orderkey as o_orderkey",
+        "l_partkey as product_id",
+        "cast(l_quantity as int) as quantity",
+        "floor(l_extendedprice / l_quantity + 0.5D) as price_per_item",
+        "floor(l_discount * 100 + 0.5D) as percent",
+        "l_extendedprice * (1 - l_discount) as amount",
+    ).selectExpr("*", "(price_per_item * percent + 50) div 100 as discount_per_item")
     if billed:
-        amount = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-        total = F.round(amount.cast("decimal(18,8)"), 2)
+        total = "round(cast(amount as decimal(18,8)), 2)"
     else:
-        total = (F.col("price_per_item") - F.col("discount_per_item")) * F.col("quantity")
-    return (
-        lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"])
-        .withColumn("quantity", F.col("l_quantity").cast("int"))
-        .withColumn("price_per_item", price)
-        .withColumn("percent", percent)
-        .withColumn("discount_per_item", discount)
-        .select(
-            F.col("o_custkey").alias("client_id"),
-            F.col("o_orderstatus").alias("gender"),
-            ordered.cast("date").alias("purchase_date"),
-            F.lit(0).alias("purchase_time_as_seconds_from_midnight"),
-            F.col("l_partkey").alias("product_id"),
-            "quantity",
-            "price_per_item",
-            "discount_per_item",
-            total.cast("decimal(18,2)").alias("total_price"),
-        )
+        total = "(price_per_item - discount_per_item) * quantity"
+    return priced.join(orders, "o_orderkey").selectExpr(
+        "o_custkey as client_id",
+        "o_orderstatus as gender",
+        "cast(o_orderdate as date) as purchase_date",
+        "0 as purchase_time_as_seconds_from_midnight",
+        "product_id",
+        "quantity",
+        "price_per_item",
+        "discount_per_item",
+        f"cast({total} as decimal(18,2)) as total_price",
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartlens.functions.numbers import half_up, percent, ratio
 from cartlens.params import Params
 from cartlens.plans import assortment, customers, metrics
 
@@ -32,51 +33,65 @@ EXPORTED = (
 )
 
 
-def snapshot_records(sales: DataFrame, p: Params) -> dict[str, DataFrame]:
-    """The record lists that can be computed from sales rows."""
-    c11 = customers.c11_retention_revenue(sales, p)
-    c10 = customers.c10_ltv_fixed_cohorts(sales, p)
-    return {
-        "abc_revenue": assortment.a02_abc_summary(sales, p).select(
-            F.col("abc_class").alias("class"),
-            F.col("products_count").alias("sku_count"),
-            F.col("products_share_pct").alias("sku_share_pct"),
-            "revenue_share_pct",
-        ),
-        "dual_abc": assortment.a04_dual_abc_summary(sales, p).select(
-            F.col("abc_class").alias("segment"),
-            F.col("products_count").alias("sku_count"),
-            "revenue",
-            "units_sold",
-        ),
-        "purchase_frequency": metrics.m5_frequency_tail(sales, p).select(
-            "active_days", F.col("customers_count").alias("customer_count")
-        ),
-        "rfm_segments": customers.c06_rfm_segments(sales, p).select(
-            "segment", F.col("customers_share_pct").alias("customer_share_pct"), "revenue_share_pct"
-        ),
-        "repeat_rate": customers.c13_repeat_rate(sales, p),
-        "cohort_metrics": c11.join(
-            c10.select("month_number", "cumulative_revenue_per_customer"), "month_number"
-        ).select(
-            "month_number",
-            F.col("cohort_size").alias("initial_customers"),
-            "retention_pct",
-            F.col("cumulative_revenue_per_customer").alias("cumulative_revenue_per_original_customer"),
-            "revenue_per_active_customer",
+def _abc_revenue(sales: DataFrame, p: Params) -> DataFrame:
+    return assortment.a02_abc_summary(sales, p).selectExpr(
+        "abc_class as class",
+        "products_count as sku_count",
+        "products_share_pct as sku_share_pct",
+        "revenue_share_pct",
+    )
+
+
+def _dual_abc(sales: DataFrame, p: Params) -> DataFrame:
+    return assortment.a04_dual_abc_summary(sales, p).selectExpr(
+        "abc_class as segment", "products_count as sku_count", "revenue", "units_sold"
+    )
+
+
+def _purchase_frequency(sales: DataFrame, p: Params) -> DataFrame:
+    return metrics.m5_frequency_tail(sales, p).selectExpr(
+        "active_days", "customers_count as customer_count"
+    )
+
+
+def _rfm_segments(sales: DataFrame, p: Params) -> DataFrame:
+    return customers.c06_rfm_segments(sales, p).selectExpr(
+        "segment", "customers_share_pct as customer_share_pct", "revenue_share_pct"
+    )
+
+
+def _cohort_metrics(sales: DataFrame, p: Params) -> DataFrame:
+    """Retention and running revenue per original client, both from one cell table."""
+    return customers.fixed_cohort_curve(sales, p).select(
+        "month_number",
+        F.col("cohort_size").alias("initial_customers"),
+        half_up(percent(F.col("active_clients"), F.col("cohort_size")), 2).alias("retention_pct"),
+        half_up(ratio(F.col("cumulative"), F.col("cohort_size")), 0).alias(
+            "cumulative_revenue_per_original_customer"
         ),
-    }
+        half_up(ratio(F.col("revenue"), F.col("active_clients")), 0).alias("revenue_per_active_customer"),
+    )
+
+
+# The record lists that can be computed from sales rows.
+BUILDERS = {
+    "abc_revenue": _abc_revenue,
+    "dual_abc": _dual_abc,
+    "purchase_frequency": _purchase_frequency,
+    "rfm_segments": _rfm_segments,
+    "repeat_rate": customers.c13_repeat_rate,
+    "cohort_metrics": _cohort_metrics,
+}
 
 
-def write_snapshot(records: dict[str, DataFrame], path: str) -> None:
-    """One JSON document with all lists. Each list has a few dozen rows at most."""
-    spark = next(iter(records.values())).sparkSession
+def write_snapshot(sales: DataFrame, p: Params, path: str, names=tuple(BUILDERS)) -> None:
+    """One JSON document with the named lists. Each list has a few dozen rows at most."""
     lists = []
-    for name, rows in records.items():
-        fields = [f.strip().split(" ")[0] for f in RECORDS[name].split(",")]
-        whole = rows.agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(name))
-        lists.append(whole.select(name).scalar().alias(name))
-    document = spark.range(1).select(*lists)
+    for name in names:
+        fields = [field.strip().split(" ")[0] for field in RECORDS[name].split(",")]
+        rows = BUILDERS[name](sales, p).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(name))
+        lists.append(rows.scalar().alias(name))
+    document = sales.sparkSession.range(1).select(*lists)
     document.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 

@@ -346,3 +346,88 @@ class Oracle:
                 FROM classed GROUP BY 1"""),
         }
         return out
+
+    def blocks(self) -> dict[str, str]:
+        return {
+            "b01_base_sales": self("rowset", """
+                SELECT client_id, purchase_date, product_id, quantity, CAST(total_price AS DOUBLE) AS total_price
+                FROM rowset"""),
+            "b02_product_metrics": self("item", f"""
+                SELECT product_id, CAST(rev AS DOUBLE) AS revenue, {big('qty')} AS units_sold,
+                       {big('gross')} AS gross_revenue, {big('disc')} AS discount_amount,
+                       {pct('disc', 'gross')} AS discount_rate_pct
+                FROM item"""),
+            "b07_dense_monthly_units": self("grid", f"""
+                SELECT product_id, mon AS month, {big('u')} AS units_sold FROM grid"""),
+            "b09_product_segments": self("segmented", """
+                SELECT product_id, rc || qc AS abc_class, xc AS xyz_class, seg AS segment FROM segmented"""),
+            "b10_first_months": self("born", """
+                SELECT client_id, d1 AS first_purchase_date, coh AS cohort_month FROM born JOIN person USING (client_id)"""),
+            "b13_activity_cells": self("cell", f"""
+                SELECT CAST(date_diff('month', DATE '{self.p.first_month}', coh) AS INTEGER) AS cohort,
+                       CAST(k AS INTEGER) AS month_number, act AS active_clients, CAST(rev AS DOUBLE) AS revenue
+                FROM cell"""),
+            "b18_purchase_days": self("days", "SELECT client_id, d AS purchase_date FROM days"),
+            "b20_client_segments": self("named", """
+                SELECT client_id, concat(r, f, m) AS rfm_score, seg AS segment FROM named"""),
+        }
+
+    def records(self) -> dict[str, str]:
+        """The snapshot lists, taken from the report texts."""
+        t = self.reports()
+        return {
+            "abc_revenue": f"""
+                SELECT abc_class AS class, products_count AS sku_count, products_share_pct AS sku_share_pct,
+                       revenue_share_pct FROM ({t['a02_abc_summary']})""",
+            "dual_abc": f"""
+                SELECT abc_class AS segment, products_count AS sku_count, revenue, units_sold
+                FROM ({t['a04_dual_abc_summary']})""",
+            "purchase_frequency": f"""
+                SELECT active_days, customers_count AS customer_count FROM ({t['m5_frequency_tail']})""",
+            "rfm_segments": f"""
+                SELECT segment, customers_share_pct AS customer_share_pct, revenue_share_pct
+                FROM ({t['c06_rfm_segments']})""",
+            "repeat_rate": t["c13_repeat_rate"],
+            "cohort_metrics": f"""
+                SELECT month_number, x.cohort_size AS initial_customers, x.retention_pct,
+                       y.cumulative_revenue_per_customer AS cumulative_revenue_per_original_customer,
+                       x.revenue_per_active_customer
+                FROM ({t['c11_retention_revenue']}) x JOIN ({t['c10_ltv_fixed_cohorts']}) y USING (month_number)""",
+        }
+
+    def loads(self) -> dict[str, str]:
+        delivery = """
+            WITH delivery AS (
+                SELECT *, CAST(ts AS DATE) AS own, CAST(ts + INTERVAL 1 HOUR AS DATE) AS sent FROM events)"""
+        stored = """
+            SELECT user_id AS client_id, substr(event_type, 1, 1) AS gender, own AS purchase_date,
+                   CAST(date_part('hour', ts) * 3600 + date_part('minute', ts) * 60 + date_part('second', ts) AS INTEGER)
+                       AS purchase_time_as_seconds_from_midnight,
+                   CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS product_id, 1 AS quantity,
+                   CAST(floor(value + 0.5) AS BIGINT) AS price_per_item, CAST(0 AS BIGINT) AS discount_per_item,
+                   CAST(CAST(value AS DECIMAL(18,2)) AS DOUBLE) AS total_price
+            FROM delivery WHERE own = sent"""
+        spoiled = " AND sent NOT IN (SELECT sent FROM delivery WHERE value = 0)"
+        corrected = " AND event_type <> 'error' AND value <> 0"
+        return {
+            "src4_backfill_status": f"""{delivery},
+                per AS (
+                    SELECT sent, COUNT(*) AS n, COUNT_IF(own <> sent) AS stray, COUNT_IF(value = 0) AS bad
+                    FROM delivery GROUP BY sent),
+                cal AS (SELECT CAST(range AS DATE) AS date
+                        FROM range(DATE '2024-01-01', DATE '2024-02-02', INTERVAL 1 DAY))
+                SELECT date, COALESCE(n, 0) AS received,
+                       CASE WHEN n IS NULL OR bad > 0 THEN 0 ELSE stray END AS quarantined,
+                       CASE WHEN n IS NULL OR bad > 0 THEN 0 ELSE n - stray END AS loaded,
+                       CASE WHEN n IS NULL THEN 'empty' WHEN bad > 0 THEN 'failed'
+                            WHEN n = stray THEN 'quarantined' ELSE 'loaded' END AS status
+                FROM cal LEFT JOIN per ON sent = date""",
+            "snk1_loaded_rows": delivery + stored + spoiled,
+            "snk1_replaced_rows": delivery + stored + corrected,
+            "str1_streamed_rows": delivery + stored + corrected,
+            "snk5_load_range": self("sales", """
+                SELECT MIN(purchase_date) AS min_date, MAX(purchase_date) AS max_date, COUNT(*) AS rows_count
+                FROM sales"""),
+            "snk6_rows_per_day": self("rowset", """
+                SELECT purchase_date, COUNT(*) AS rows_count FROM rowset GROUP BY purchase_date"""),
+        }
