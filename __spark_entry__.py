@@ -49,9 +49,18 @@ def entry(spark: SparkSession) -> DataFrame:
     return REPORTS["a02_abc_summary"](_sales(spark, "/root/testdata/sf0.001", WHOLE), WHOLE)
 
 
-def _report(name: str, p: Params, **options):
+def _report(name: str, p: Params):
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return REPORTS[name](_sales(spark, folder, p, **options), p)
+        return REPORTS[name](_sales(spark, folder, p), p)
+
+    return run
+
+
+def _amounts(name: str, p: Params):
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        found = REPORTS[name](_sales(spark, folder, p, billed=True), p)
+        decimals = [c for c, kind in found.dtypes if kind.startswith("decimal")]
+        return found.withColumns({c: F.col(c).cast("double") for c in decimals})
 
     return run
 
@@ -161,7 +170,7 @@ def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | No
             if name == "a16_candidate_monthly_sales":
                 found[name + suffix] = (_candidate_months(p), texts[name])
             elif name.startswith("m1_"):
-                found[name + suffix] = (_report(name, p, billed=True), billed[name])
+                found[name + suffix] = (_amounts(name, p), billed[name])
             else:
                 found[name + suffix] = (_report(name, p), texts[name])
     # The same reports with a global order that is cut into many slices.

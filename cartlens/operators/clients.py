@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from cartlens.functions.bands import band, rfm_segment
 from cartlens.functions.numbers import sum_money
 from cartlens.operators.facts import base_sales
+from cartlens.operators.shared import shared
 from cartlens.params import Params
 
 
+@shared
 def client_metrics(sales: DataFrame, p: Params) -> DataFrame:
     """One row per client: gender, first and last day, active days, units, revenue, recency."""
     day = F.col("purchase_date")
@@ -61,6 +63,7 @@ def purchase_days(sales: DataFrame, p: Params) -> DataFrame:
     return base_sales(sales, p).select("client_id", "purchase_date").distinct()
 
 
+@shared
 def first_two_days(sales: DataFrame, p: Params) -> DataFrame:
     """First and second purchase day per client (second is NULL for one-day clients).
 

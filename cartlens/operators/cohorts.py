@@ -6,12 +6,15 @@ of its clients' first month and month_number is a plain difference.
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartlens.functions.months import month_index
 from cartlens.functions.numbers import cents, money
 from cartlens.operators.facts import base_sales
+from cartlens.operators.shared import shared
 from cartlens.params import Params
 
 BITS = 63
@@ -61,6 +64,7 @@ def first_months(sales: DataFrame, p: Params) -> DataFrame:
     )
 
 
+@shared
 def activity_cells(sales: DataFrame, p: Params) -> DataFrame:
     """Active clients per cohort and month_number, only where there are any."""
     word = " ".join(f"when {i} then {word}" for i, word in enumerate(_words(p)))
@@ -74,16 +78,15 @@ def activity_cells(sales: DataFrame, p: Params) -> DataFrame:
     )
 
 
-def revenue_cells(sales: DataFrame, p: Params, cohorts: int | None = None, end=None) -> DataFrame:
+@shared
+def revenue_cells(sales: DataFrame, p: Params, end: date | None = None) -> DataFrame:
     """Active clients and revenue per cohort and month_number, where there are any.
 
-    `cohorts` keeps the first so many cohort months. `end` lets later activity
-    of clients who started inside the period count.
+    `end` lets later activity of clients who started inside the period count.
     """
     month = month_index(F.col("purchase_date"), p.first_month).alias("month")
     whole_client = Window.partitionBy("client_id")
     first = F.min(F.when(F.col("day") < F.lit(p.end), F.col("month"))).over(whole_client)
-    started = F.col("cohort") < cohorts if cohorts is not None else F.col("cohort").isNotNull()
     return (
         base_sales(sales, p, end)
         .groupBy("client_id", month)
@@ -92,7 +95,7 @@ def revenue_cells(sales: DataFrame, p: Params, cohorts: int | None = None, end=N
             F.min("purchase_date").alias("day"),
         )
         .withColumn("cohort", first)
-        .where(started)
+        .where("cohort is not null")
         .groupBy("cohort", (F.col("month") - F.col("cohort")).alias("month_number"))
         .agg(F.count("*").alias("active_clients"), money(F.sum("cents")).alias("revenue"))
     )

@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartlens.functions.numbers import percent
+from cartlens.operators.shared import SharedSales
 from cartlens.params import Params
 
 
-def base_sales(sales: DataFrame, p: Params, end: date | None = None) -> DataFrame:
+def base_sales(sales: DataFrame | SharedSales, p: Params, end: date | None = None) -> DataFrame:
     """Positive quantities inside the half-open period."""
+    if isinstance(sales, SharedSales):
+        sales = sales.sales
     day = F.col("purchase_date")
     return sales.where(
         (F.col("quantity") > 0) & (day >= F.lit(p.start)) & (day < F.lit(end or p.end))

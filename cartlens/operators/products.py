@@ -10,6 +10,7 @@ from cartlens.functions.months import month_index
 from cartlens.functions.numbers import cents, money, percent
 from cartlens.operators.facts import base_sales
 from cartlens.operators.ordered import Size, measure, pareto_class
+from cartlens.operators.shared import SharedSales, shared
 from cartlens.params import Params
 from cartlens.session import freeze
 
@@ -26,8 +27,10 @@ def _totals() -> list[Column]:
     ]
 
 
-def product_metrics(sales: DataFrame, p: Params) -> DataFrame:
+def product_metrics(sales: DataFrame | SharedSales, p: Params) -> DataFrame:
     """One row per product: revenue, units, gross revenue, discount, discount rate."""
+    if isinstance(sales, SharedSales):
+        return product_profile(sales, p).withColumn("discount_rate_pct", discount_rate())
     return (
         base_sales(sales, p)
         .groupBy("product_id")
@@ -72,6 +75,7 @@ def dense_monthly_units(sales: DataFrame, p: Params) -> DataFrame:
     )
 
 
+@shared
 def product_profile(sales: DataFrame, p: Params) -> DataFrame:
     """Product totals plus demand variability over all months of the period.
 
@@ -130,6 +134,7 @@ def with_dual_class(products: DataFrame, p: Params) -> tuple[DataFrame, Size]:
     return frozen.withColumns(classes).withColumn("abc_class", joint), size
 
 
+@shared
 def abc_xyz_products(sales: DataFrame, p: Params) -> DataFrame:
     """One row per product with its three-letter segment."""
     products, _ = with_dual_class(product_profile(sales, p), p)

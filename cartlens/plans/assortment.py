@@ -21,6 +21,9 @@ from cartlens.operators.products import (
 from cartlens.params import Params
 from cartlens.session import freeze
 
+# Product lists are broadcast up to this many ids (8 MB of keys).
+MAX_BROADCAST_IDS = 1_000_000
+
 
 def _money(name: str = "revenue") -> Column:
     return F.col(name).cast("double").alias(name)
@@ -306,14 +309,19 @@ def a16_candidate_monthly_sales(
     """Months with sales of the listed products, or of those in `products`."""
     base = base_sales(sales, p)
     if products is None:
-        base = base.where(F.col("product_id").isin(*p.candidate_ids))
+        months = _monthly(base.where(F.col("product_id").isin(*p.candidate_ids)))
     else:
-        base = base.join(products.select("product_id"), "product_id", "left_semi")
-    return (
-        base.groupBy("product_id", F.trunc("purchase_date", "MM").alias("month"))
-        .agg(
-            F.sum(F.col("quantity").cast("bigint")).alias("units_sold"),
-            half_up(sum_money(F.col("total_price")), 0).alias("revenue"),
-        )
-        .orderBy("product_id", "month")
+        ids = freeze(products.select("product_id").distinct())
+        if ids.count() <= MAX_BROADCAST_IDS:
+            months = _monthly(base.join(F.broadcast(ids), "product_id", "left_semi"))
+        else:
+            # Combine first: product months are far fewer than sales rows.
+            months = _monthly(base).join(ids, "product_id", "left_semi")
+    return months.orderBy("product_id", "month")
+
+
+def _monthly(base: DataFrame) -> DataFrame:
+    return base.groupBy("product_id", F.trunc("purchase_date", "MM").alias("month")).agg(
+        F.sum(F.col("quantity").cast("bigint")).alias("units_sold"),
+        half_up(sum_money(F.col("total_price")), 0).alias("revenue"),
     )

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
+from cartlens.operators.shared import SharedSales
 from cartlens.params import Params
 from cartlens.plans import assortment, customers, metrics
 
@@ -19,14 +20,18 @@ REPORTS: dict[str, Report] = {
 }
 
 
-def report(name: str, sales: DataFrame, params: Params | None = None) -> DataFrame:
+def report(name: str, sales: DataFrame | SharedSales, params: Params | None = None) -> DataFrame:
     if name not in REPORTS:
         raise KeyError(f"unknown report {name!r}; known: {', '.join(sorted(REPORTS))}")
     return REPORTS[name](sales, params or Params())
 
 
-def register_views(sales: DataFrame, params: Params | None = None, names=None) -> list[str]:
-    """Make reports selectable in SQL under their names. Returns the names."""
+def register_views(sales: DataFrame | SharedSales, params: Params | None = None, names=None) -> list[str]:
+    """Make reports selectable in SQL under their names. Returns the names.
+
+    The reports share their blocks, which are computed here.
+    """
+    sales = sales if isinstance(sales, SharedSales) else SharedSales(sales)
     names = sorted(names or REPORTS)
     for name in names:
         report(name, sales, params).createOrReplaceTempView(name)

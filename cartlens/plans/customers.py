@@ -198,7 +198,7 @@ def c09_ltv_exploration(sales: DataFrame, p: Params) -> DataFrame:
 
 def fixed_cohort_curve(sales: DataFrame, p: Params) -> DataFrame:
     """The first cohorts at every horizon, the same clients each time, gaps as zero."""
-    cells = revenue_cells(sales, p, cohorts=p.fixed_cohorts)
+    cells = revenue_cells(sales, p).where(F.col("cohort") < p.fixed_cohorts)
     filled = fill_cells(cells, F.lit(p.fixed_horizon), "active_clients", "revenue")
     sums = ("active_clients", "cohort_size", "revenue", "cumulative")
     return _cumulative(filled).groupBy("month_number").agg(*[F.sum(c).alias(c) for c in sums])
@@ -243,11 +243,13 @@ def c12_retention_scenarios(sales: DataFrame, p: Params) -> DataFrame:
     The month after a cohort counts even where it lies behind the period.
     """
     cohorts = min(p.fixed_cohorts, p.n_months)
-    cells = revenue_cells(sales, p, cohorts, end=max(p.end, p.month_start(cohorts + 1)))
+    needed = p.month_start(cohorts + 1)
+    cells = revenue_cells(sales, p, needed) if needed > p.end else revenue_cells(sales, p)
     number, active = F.col("month_number"), F.col("active_clients")
     extra = F.col("customers") * F.col("uplift") / F.lit(100.0)
     return (
-        cells.agg(
+        cells.where(F.col("cohort") < cohorts)
+        .agg(
             F.coalesce(F.sum(F.when(number == 0, active)), F.lit(0)).alias("customers"),
             F.coalesce(F.sum(F.when(number == 1, active)), F.lit(0)).alias("active"),
             F.sum(F.when(number == 1, F.col("revenue"))).alias("revenue"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartlens.functions.numbers import half_up, percent, ratio
+from cartlens.operators.shared import SharedSales
 from cartlens.params import Params
 from cartlens.plans import assortment, customers, metrics
 
@@ -84,14 +85,15 @@ BUILDERS = {
 }
 
 
-def write_snapshot(sales: DataFrame, p: Params, path: str, names=tuple(BUILDERS)) -> None:
+def write_snapshot(sales: DataFrame | SharedSales, p: Params, path: str, names=tuple(BUILDERS)) -> None:
     """One JSON document with the named lists. Each list has a few dozen rows at most."""
     lists = []
     for name in names:
         fields = [field.strip().split(" ")[0] for field in RECORDS[name].split(",")]
         rows = BUILDERS[name](sales, p).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(name))
         lists.append(rows.scalar().alias(name))
-    document = sales.sparkSession.range(1).select(*lists)
+    facts = sales.sales if isinstance(sales, SharedSales) else sales
+    document = facts.sparkSession.range(1).select(*lists)
     document.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 

@@ -74,7 +74,7 @@ class Oracle:
                 LEFT JOIN rowset r ON r.product_id = g.product_id AND r.mon = g.mon
                 GROUP BY ALL""",
             "wave": """
-                SELECT product_id, AVG(u) AS mean_u, STDDEV_POP(u) AS dev_u, COUNT_IF(u > 0) AS live,
+                SELECT product_id, AVG(u) AS mean_u, STDDEV_POP(u) AS dev_u, CAST(COUNT_IF(u > 0) AS BIGINT) AS live,
                        STDDEV_POP(u) / AVG(u) * 100 AS cv
                 FROM grid GROUP BY product_id""",
             "lettered": f"SELECT *, {cuts('cv', p.xyz_cuts, 'XYZ')} AS xc FROM wave",
@@ -84,7 +84,7 @@ class Oracle:
             "person": f"""
                 SELECT client_id, MAX(gender) AS gender, MIN(purchase_date) AS d1, MAX(purchase_date) AS d9,
                        COUNT(DISTINCT purchase_date) AS freq, SUM(quantity) AS qty, SUM(total_price) AS rev,
-                       DATE '{p.end}' - MAX(purchase_date) AS rec
+                       CAST(DATE '{p.end}' - MAX(purchase_date) AS INTEGER) AS rec
                 FROM rowset GROUP BY client_id""",
             "scored": f"""
                 SELECT *, {cuts('rec', p.recency_cuts, (5, 4, 3, 2, 1))} AS r,
@@ -316,7 +316,7 @@ class Oracle:
                 FROM gap"""),
             # ---- figures from the text ----
             "m1_amount_check": self("rowset", f"""
-                SELECT COUNT(*) AS rows_count, COUNT_IF(gap <> 0) AS broken_rows,
+                SELECT COUNT(*) AS rows_count, CAST(COUNT_IF(gap <> 0) AS BIGINT) AS broken_rows,
                        {hu('SUM(ABS(gap))', 2)} AS total_gap, CAST(MAX(ABS(gap)) AS DOUBLE) AS largest_gap
                 FROM (SELECT total_price - CAST((price_per_item - discount_per_item) * quantity AS DECIMAL(18,2)) AS gap
                       FROM rowset)"""),
@@ -412,7 +412,7 @@ class Oracle:
         return {
             "src4_backfill_status": f"""{delivery},
                 per AS (
-                    SELECT sent, COUNT(*) AS n, COUNT_IF(own <> sent) AS stray, COUNT_IF(value = 0) AS bad
+                    SELECT sent, COUNT(*) AS n, CAST(COUNT_IF(own <> sent) AS BIGINT) AS stray, CAST(COUNT_IF(value = 0) AS BIGINT) AS bad
                     FROM delivery GROUP BY sent),
                 cal AS (SELECT CAST(range AS DATE) AS date
                         FROM range(DATE '2024-01-01', DATE '2024-02-02', INTERVAL 1 DAY))
