@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from cartlens.session import freeze
 
+MAX_SLICES = 100_000
+
 
 @dataclass(frozen=True)
 class Size:
@@ -40,7 +42,7 @@ def running_sum(
     `rows_per_slice` rows make one slice, more are range-partitioned.
     """
     upto_here = (Window.unboundedPreceding, Window.currentRow)
-    slices = ceil(rows / rows_per_slice)
+    slices = min(ceil(rows / rows_per_slice), MAX_SLICES)
     if slices <= 1:
         return frozen.withColumn(out, F.sum(value).over(Window.orderBy(*order).rowsBetween(*upto_here)))
 
@@ -54,7 +56,7 @@ def running_sum(
         .select("_slice", F.sum("_sum").over(before).alias("_before"))
     )
     inside = Window.partitionBy("_slice").orderBy(*order).rowsBetween(*upto_here)
-    # One row per slice, so the broadcast is bounded by rows / rows_per_slice.
+    # One row per slice, so the broadcast holds at most MAX_SLICES rows.
     return (
         sliced.withColumn("_inside", F.sum(value).over(inside))
         .join(F.broadcast(offsets), "_slice")
