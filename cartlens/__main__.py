@@ -56,6 +56,13 @@ def parse(argv=None) -> argparse.Namespace:
     return parser.parse_args(argv)
 
 
+def show(rows) -> None:
+    """Print a result with one row per day at most."""
+    print(*rows.columns, sep="\t")
+    for row in rows.toLocalIterator():
+        print(*row, sep="\t")
+
+
 def run(args: argparse.Namespace, spark) -> None:
     period = {}
     if getattr(args, "period_start", None):
@@ -68,21 +75,19 @@ def run(args: argparse.Namespace, spark) -> None:
         for name in args.name or sorted(REPORTS):
             write_csv(report(name, sales, p), f"{args.out}/{name}")
     elif args.command == "backfill":
-        backfill(
-            spark, args.landing, args.sales, args.start, args.end, args.array, args.quarantine
-        ).show(10_000, truncate=False)
+        show(backfill(spark, args.landing, args.sales, args.start, args.end, args.array, args.quarantine))
     elif args.command == "daily":
-        load_day(
-            spark, args.landing, args.sales, args.day, array=args.array, quarantine=args.quarantine
-        ).show(truncate=False)
+        show(
+            load_day(spark, args.landing, args.sales, args.day, array=args.array, quarantine=args.quarantine)
+        )
     elif args.command == "stream":
         start_daily_ingest(
             spark, args.landing, args.sales, args.checkpoint, args.status, args.array, args.quarantine
         ).awaitTermination()
     elif args.command == "verify":
         sales = read_sales(spark, args.sales)
-        load_range(sales).show(truncate=False)
-        rows_per_day(sales, p.start, p.end).show(10_000, truncate=False)
+        show(load_range(sales))
+        show(rows_per_day(sales, p.start, p.end))
     elif args.command == "snapshot":
         write_snapshot(SharedSales(read_sales(spark, args.sales)), p, args.out)
     elif args.command == "export":

@@ -18,6 +18,6 @@ def month_date(index: Column, first_month: date) -> Column:
     return F.add_months(F.lit(first_month), index)
 
 
-def month_numbers(last: int) -> Column:
-    """Array 0..last, empty when last is negative."""
-    return F.sequence(F.lit(0), F.lit(last)) if last >= 0 else F.array().cast("array<int>")
+def lowest_bit(word: str) -> str:
+    """SQL for the position of the lowest set bit of a bigint expression."""
+    return f"bit_count((({word}) & -({word})) - 1)"

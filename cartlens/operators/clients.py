@@ -2,34 +2,56 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartlens.functions.bands import band, rfm_segment
-from cartlens.functions.numbers import sum_money
+from cartlens.functions.months import lowest_bit, month_index
+from cartlens.functions.numbers import cents, money
 from cartlens.operators.facts import base_sales
 from cartlens.operators.shared import shared
 from cartlens.params import Params
 
 
 @shared
+def client_months(sales: DataFrame, p: Params, end: date | None = None) -> DataFrame:
+    """One row per client and month with purchases; every client report can start here.
+
+    `days` has bit d set for a purchase on day d of the month. Distinct days
+    thus combine map-side like a sum, and a client never has more rows than the
+    period has months.
+    """
+    day = F.col("purchase_date")
+    return (
+        base_sales(sales, p, end)
+        .groupBy("client_id", month_index(day, p.first_month).alias("month"))
+        .agg(
+            F.bit_or(F.expr("shiftleft(1L, day(purchase_date))")).alias("days"),
+            F.min(day).alias("first_day"),
+            F.max(day).alias("last_day"),
+            F.max(F.ascii("gender")).alias("letter"),
+            F.sum(F.col("quantity").cast("bigint")).alias("units"),
+            F.sum(cents(F.col("total_price"))).alias("cents"),
+        )
+    )
+
+
 def client_metrics(sales: DataFrame, p: Params) -> DataFrame:
     """One row per client: gender, first and last day, active days, units, revenue, recency."""
-    day = F.col("purchase_date")
     return (
-        base_sales(sales, p)
+        client_months(sales, p)
         .groupBy("client_id")
         .agg(
-            F.max(F.ascii("gender")).alias("letter"),
-            F.min(day).alias("first_purchase_date"),
-            F.max(day).alias("last_purchase_date"),
-            F.count_distinct(day).alias("active_days"),
-            F.sum(F.col("quantity").cast("bigint")).alias("units_bought"),
-            sum_money(F.col("total_price")).alias("revenue"),
+            _letter(F.max("letter")).alias("gender"),
+            F.min("first_day").alias("first_purchase_date"),
+            F.max("last_day").alias("last_purchase_date"),
+            F.sum(F.bit_count("days")).alias("active_days"),
+            F.sum("units").alias("units_bought"),
+            money(F.sum("cents")).alias("revenue"),
         )
-        .withColumn("gender", _letter(F.col("letter")))
         .withColumn("recency_days", F.datediff(F.lit(p.end), F.col("last_purchase_date")))
-        .drop("letter")
     )
 
 
@@ -63,21 +85,23 @@ def purchase_days(sales: DataFrame, p: Params) -> DataFrame:
     return base_sales(sales, p).select("client_id", "purchase_date").distinct()
 
 
-@shared
 def first_two_days(sales: DataFrame, p: Params) -> DataFrame:
     """First and second purchase day per client (second is NULL for one-day clients).
 
-    The rank filter runs before the shuffle as well, so at most two days of a
-    client leave each task.
+    The second day lies in the first month, or it is the first day of the second
+    month. The rank filter runs before the shuffle as well, so at most two
+    months of a client leave each task.
     """
-    by_day = Window.partitionBy("client_id").orderBy("purchase_date")
+    by_month = Window.partitionBy("client_id").orderBy("month")
+    later_bits = "days & (days - 1)"
+    next_day = F.expr(
+        f"if({later_bits} = 0, null, date_add(trunc(first_day, 'MM'), {lowest_bit(later_bits)} - 1))"
+    )
+    second = F.when(F.col("nth") == 1, next_day).otherwise(F.col("first_day"))
     return (
-        purchase_days(sales, p)
-        .withColumn("nth", F.row_number().over(by_day))
+        client_months(sales, p)
+        .withColumn("nth", F.row_number().over(by_month))
         .where("nth <= 2")
         .groupBy("client_id")
-        .agg(
-            F.min("purchase_date").alias("first_day"),
-            F.max(F.when(F.col("nth") == 2, F.col("purchase_date"))).alias("second_day"),
-        )
+        .agg(F.min("first_day").alias("first_day"), F.min(second).alias("second_day"))
     )

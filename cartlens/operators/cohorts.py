@@ -11,10 +11,11 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartlens.functions.months import month_index
-from cartlens.functions.numbers import cents, money
+from cartlens.functions.months import lowest_bit, month_index
+from cartlens.functions.numbers import money
+from cartlens.operators.clients import client_months
 from cartlens.operators.facts import base_sales
-from cartlens.operators.shared import shared
+from cartlens.operators.shared import SharedSales
 from cartlens.params import Params
 
 BITS = 63
@@ -36,13 +37,16 @@ def active_months(sales: DataFrame, p: Params) -> DataFrame:
         for i, word in enumerate(words)
     ]
     lowest_bits = [
-        F.when(F.col(word) != 0, i * BITS + F.expr(f"bit_count(({word} & -{word}) - 1)"))
+        F.when(F.col(word) != 0, i * BITS + F.expr(lowest_bit(word)))
         for i, word in enumerate(words)
     ]
+    if isinstance(sales, SharedSales):
+        months = client_months(sales, p).select("client_id", F.col("month").alias("m"))
+    else:
+        month = month_index(F.col("purchase_date"), p.first_month)
+        months = base_sales(sales, p).select("client_id", month.alias("m"))
     return (
-        base_sales(sales, p)
-        .select("client_id", month_index(F.col("purchase_date"), p.first_month).alias("m"))
-        .groupBy("client_id")
+        months.groupBy("client_id")
         .agg(*masks)
         .groupBy(*words)
         .agg(F.count("*").alias("clients"))
@@ -64,7 +68,6 @@ def first_months(sales: DataFrame, p: Params) -> DataFrame:
     )
 
 
-@shared
 def activity_cells(sales: DataFrame, p: Params) -> DataFrame:
     """Active clients per cohort and month_number, only where there are any."""
     word = " ".join(f"when {i} then {word}" for i, word in enumerate(_words(p)))
@@ -78,23 +81,16 @@ def activity_cells(sales: DataFrame, p: Params) -> DataFrame:
     )
 
 
-@shared
 def revenue_cells(sales: DataFrame, p: Params, end: date | None = None) -> DataFrame:
     """Active clients and revenue per cohort and month_number, where there are any.
 
     `end` lets later activity of clients who started inside the period count.
     """
-    month = month_index(F.col("purchase_date"), p.first_month).alias("month")
     whole_client = Window.partitionBy("client_id")
-    first = F.min(F.when(F.col("day") < F.lit(p.end), F.col("month"))).over(whole_client)
+    first = F.min(F.when(F.col("first_day") < F.lit(p.end), F.col("month"))).over(whole_client)
+    months = client_months(sales, p) if end is None else client_months(sales, p, end)
     return (
-        base_sales(sales, p, end)
-        .groupBy("client_id", month)
-        .agg(
-            F.sum(cents(F.col("total_price"))).alias("cents"),
-            F.min("purchase_date").alias("day"),
-        )
-        .withColumn("cohort", first)
+        months.withColumn("cohort", first)
         .where("cohort is not null")
         .groupBy("cohort", (F.col("month") - F.col("cohort")).alias("month_number"))
         .agg(F.count("*").alias("active_clients"), money(F.sum("cents")).alias("revenue"))

@@ -98,6 +98,16 @@ def test_empty_and_failed_deliveries_keep_the_stored_rows(spark, place):
     assert stored(spark, table) == [(str(D1), 1), (str(D2), 2)]
 
 
+def test_nothing_delivered_at_all(spark, place):
+    landing, table = place
+    put(landing, D1, "1", [record(1, D1)])
+    backfill(spark, str(landing), table, D1, D1)
+    put(landing, D2, "1", [])
+    found = statuses(backfill(spark, str(landing), table, D2, D3))
+    assert found == {D2: (0, 0, 0, "empty"), D3: (0, 0, 0, "empty")}
+    assert stored(spark, table) == [(str(D1), 1)]
+
+
 BAD = {
     "text in a number": {"product_id": "seven"},
     "number out of range": {"quantity": 40000},
