@@ -8,8 +8,10 @@ what each slice adds up to; inside the slices an ordinary window does the rest.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from decimal import Decimal
+from functools import reduce
 from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame, Window
@@ -34,12 +36,21 @@ def measure(frozen: DataFrame, *metrics: str) -> Size:
 
 
 def running_sum(
-    frozen: DataFrame, order: list[Column], value: Column, out: str, rows: int, rows_per_slice: int
+    frozen: DataFrame,
+    order: list[Column],
+    value: Column,
+    out: str,
+    rows: int,
+    rows_per_slice: int,
+    wanted: Callable[[Column, Column, Column], Column] | None = None,
 ) -> DataFrame:
     """Add `out` = sum of `value` over all rows up to this one in `order`.
 
     `order` must be a total order. `rows` is the size of `frozen`: up to
     `rows_per_slice` rows make one slice, more are range-partitioned.
+    A caller that looks for a few places only may pass `wanted(before, after,
+    next)`: the sums before and after a slice and after the next one (NULL for
+    the last). Slices it is false for are left out.
     """
     upto_here = (Window.unboundedPreceding, Window.currentRow)
     slices = min(ceil(rows / rows_per_slice), MAX_SLICES)
@@ -49,17 +60,24 @@ def running_sum(
     sliced = freeze(
         frozen.repartitionByRange(slices, *order).withColumn("_slice", F.spark_partition_id())
     )
-    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    in_order = Window.orderBy("_slice")
     offsets = (
         sliced.groupBy("_slice")
         .agg(F.sum(value).alias("_sum"))
-        .select("_slice", F.sum("_sum").over(before).alias("_before"))
+        .withColumn("_after", F.sum("_sum").over(in_order.rowsBetween(*upto_here)))
+        .withColumn("_before", F.lag("_after").over(in_order))
+        .withColumn("_next", F.lead("_after").over(in_order))
     )
+    if wanted is not None:
+        zero = F.lit(0)
+        offsets = offsets.where(
+            wanted(F.coalesce("_before", zero), F.coalesce("_after", zero), F.col("_next"))
+        )
     inside = Window.partitionBy("_slice").orderBy(*order).rowsBetween(*upto_here)
     # One row per slice, so the broadcast holds at most MAX_SLICES rows.
     return (
-        sliced.withColumn("_inside", F.sum(value).over(inside))
-        .join(F.broadcast(offsets), "_slice")
+        sliced.join(F.broadcast(offsets.select("_slice", "_before")), "_slice")
+        .withColumn("_inside", F.sum(value).over(inside))
         .withColumn(
             out,
             F.when(F.col("_inside").isNull(), F.col("_before")).otherwise(
@@ -87,8 +105,23 @@ def pareto_class(
     total = size.totals[metric]
     if not total:
         return F.lit(labels[-1])
-    total = Decimal(total)
+    sign = 1 if total > 0 else -1
+    bounds = [F.lit(Decimal(str(cut)) * abs(Decimal(total))) for cut in cuts]
     position = F.struct((-F.col(metric)).alias("metric"), F.col(key).alias("key"))
+
+    def scaled(running):
+        return running * (100 * sign)
+
+    def around_a_cut(before, after, following):
+        # The last item inside a cut lies in the slice that crosses it, or ends the one before.
+        return reduce(
+            Column.__or__,
+            [
+                (scaled(before) <= bound) & (following.isNull() | (scaled(following) > bound))
+                for bound in bounds
+            ],
+        )
+
     ranked = running_sum(
         frozen.select(key, metric),
         largest_first(metric, key),
@@ -96,15 +129,13 @@ def pareto_class(
         "_running",
         size.rows,
         rows_per_slice,
+        around_a_cut,
     )
-    hundredfold = F.col("_running") * 100
-
-    def within(cut):
-        bound = F.lit(Decimal(str(cut)) * total)
-        return hundredfold <= bound if total > 0 else hundredfold >= bound
-
     ends = ranked.agg(
-        *[F.max(F.when(within(cut), position)).alias(label) for cut, label in zip(cuts, labels)]
+        *[
+            F.max(F.when(scaled(F.col("_running")) <= bound, position)).alias(label)
+            for bound, label in zip(bounds, labels)
+        ]
     )
     out = F.when(F.col(metric).isNull(), F.lit(labels[-1]))
     for label in labels[: len(cuts)]:
@@ -122,6 +153,10 @@ def percentiles(
     """
     places = [p * (rows - 1) for p in probabilities] if rows else []
     needed = sorted({edge + 1 for place in places for edge in (floor(place), ceil(place))})
+
+    def around_a_rank(before, after, _):
+        return reduce(Column.__or__, [(before < rank) & (after >= rank) for rank in needed], F.lit(False))
+
     ranked = running_sum(
         frozen.select(key, F.col(value).cast("double").alias("_value")).where("_value is not null"),
         [F.col("_value").asc(), F.col(key).asc()],
@@ -129,6 +164,7 @@ def percentiles(
         "_rank",
         rows,
         rows_per_slice,
+        around_a_rank,
     ).where(F.col("_rank").isin(*needed))
 
     def at(rank):

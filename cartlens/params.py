@@ -30,7 +30,7 @@ class Params:
     # Language of the customer segment names: "ru" or "en".
     segment_language: str = "ru"
     # Rows one task may sort when a global order is needed; above it the order is range-sliced.
-    rows_per_slice: int = 1_000_000
+    rows_per_slice: int = 100_000
 
     def __post_init__(self):
         if self.start >= self.end:
