@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import importlib
+import importlib.util
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
@@ -198,9 +200,23 @@ def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | No
     return found
 
 
+def _corpus() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
+    """Queries and SQL of the corpus operators, which may be absent."""
+    if importlib.util.find_spec("cartlens.llm") is None:
+        return {}, {}
+    found = importlib.import_module("cartlens.llm.queries")
+    runs, texts = found.queries(), found.oracle_sql()
+    if importlib.util.find_spec("corpus_pipeline") is not None:
+        pipeline = importlib.import_module("corpus_pipeline")
+        runs["pipeline"] = pipeline.run
+        if pipeline.ORACLE_SQL is not None:
+            texts["pipeline"] = pipeline.ORACLE_SQL
+    return runs, texts
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: run for name, (run, _) in _all().items()}
+    return {name: run for name, (run, _) in _all().items()} | _corpus()[0]
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: text for name, (_, text) in _all().items() if text is not None}
+    return {name: text for name, (_, text) in _all().items() if text is not None} | _corpus()[1]
