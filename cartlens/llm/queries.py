@@ -4,27 +4,85 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cartlens.llm import bpe, packing
+from cartlens.llm import bpe, credentials, langid, orderhash, packing, quality
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _joined(spans: str) -> Column:
+    """kind:start:end of every span, joined by commas."""
+    return F.expr(f"array_join(transform({spans}, x -> concat(x.kind, ':', x.start, ':', x.end)), ',')")
+
+
+def span_digests(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """Counts and digest of the base kinds, and all spans, of rows with an id and spans."""
+    listed = ", ".join(f"'{k}'" for k in kinds)
+    counts = [F.expr(f"cast(size(filter(spans, x -> x.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in kinds]
+    base = found.withColumn("base", F.expr(f"filter(spans, x -> x.kind in ({listed}))"))
+    return base.select(
+        F.col("id").alias("doc_id"), *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans")
+    )
+
+
+def held_out(column: str = "doc_id") -> Column:
+    """Rows whose labels are never learned from."""
+    return F.crc32(F.col(column).cast("string")) % 4 == 2
+
+
+def quality_field(spark: SparkSession, folder: str, documents: DataFrame) -> quality.Field:
+    """The field learned from the labels of documents that are not held out."""
+    labels = _table(spark, folder, "labels").where(~held_out())
+    return quality.fit(documents, labels, "doc_id", "text", "quality")
+
+
 def op1_retrieval_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), "doc_id", "text").selectExpr(
         "doc_id", "start", "length", "crc32(ids) as ids_crc32", "doc_tokens", "sequence_id", "`offset`"
     )
 
 
+def op3_linked_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return span_digests(credentials.spans(_table(spark, folder, "documents"), "doc_id", "text"), credentials.BASE)
+
+
 def op5_trie_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(_table(spark, folder, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
+def op6_line_field_quality(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents")
+    field = quality_field(spark, folder, documents)
+    return documents.select("doc_id", held_out().alias("held_out"), quality.score("text", field).alias("score")).withColumn(
+        "predicted", F.expr(f"if(score >= {quality.GOOD_AT}, 1, 0)")
+    )
+
+
+def op7_evidence_language(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents")
+    languages, model = langid.fit(documents, "doc_id", "text", "lang")
+    found = langid.identify(documents, "doc_id", "text", languages, model, host=F.col("source"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op10_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return orderhash.classes(_table(spark, folder, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_retrieval_packing, op5_trie_bpe)}
+    found = (
+        op1_retrieval_packing,
+        op3_linked_secrets,
+        op5_trie_bpe,
+        op6_line_field_quality,
+        op7_evidence_language,
+        op10_order_minhash,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
