@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartlens.llm import bpe, credentials, langid, orderhash, packing, quality
+from cartlens.llm import bpe, credentials, itq, langid, orderhash, packing, pii, quality, topk, warc
+from cartlens.llm.storage import new_folder
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -40,16 +41,29 @@ def quality_field(spark: SparkSession, folder: str, documents: DataFrame) -> qua
     return quality.fit(documents, labels, "doc_id", "text", "quality")
 
 
-def op1_retrieval_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack(_table(spark, folder, "documents"), "doc_id", "text").selectExpr(
+def packed(documents: DataFrame) -> DataFrame:
+    """Pieces of the packed sequences with a checksum in place of their ids."""
+    return packing.pack(documents, "doc_id", "text").selectExpr(
         "doc_id", "start", "length", "crc32(ids) as ids_crc32", "doc_tokens", "sequence_id", "`offset`"
     )
 
 
+def op1_retrieval_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packed(_table(spark, folder, "documents"))
+
+
+def op2_segment_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(_table(spark, folder, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 100 == 0)
+
+
 def op3_linked_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return span_digests(credentials.spans(_table(spark, folder, "documents"), "doc_id", "text"), credentials.BASE)
 
 
+def op4_itq_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return itq.neighbours(_table(spark, folder, "embeddings"), "vec_id", "embedding", "label")
+
+
 def op5_trie_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(_table(spark, folder, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
@@ -69,21 +83,101 @@ def op7_evidence_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op8_warc_transactions(spark: SparkSession, folder: str) -> DataFrame:
+    archives = new_folder(spark, "warc")
+    warc.write_archives(warc.with_types(_table(spark, folder, "pages")), archives)
+    return warc.captures(warc.read_records(spark, archives, with_payload=False)).select(
+        F.expr("cast(metadata.fields['captureId'] as bigint)").alias("page_id"),
+        F.col("response.payload_bytes").alias("payload_bytes"),
+        F.col("response.payload_digest").alias("payload_digest"),
+        F.col("response.type").alias("record_type"),
+        F.expr("cast(metadata.fields['refersToCapture'] as bigint)").alias("refers_to"),
+    )
+
+
+def op9_contextual_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.spans(_table(spark, folder, "documents"), "text", ["doc_id"])
+    return span_digests(found.select(F.col("carried.doc_id").alias("id"), "spans"), pii.BASE)
+
+
 def op10_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return orderhash.classes(_table(spark, folder, "documents"), "doc_id", "text")
 
 
+_USABLE = """
+usable AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)"""
+
+OP2_SQL = f"""
+WITH {_USABLE},
+whole AS (SELECT vec_id, list_transform(v, lambda x: floor(1024 * x)) AS v FROM usable),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+    FROM whole q JOIN whole c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)
+),
+ranked AS (
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+    FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+OP4_SQL = f"""
+WITH RECURSIVE {_USABLE},
+alike AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    WHERE list_inner_product(a.v, a.v) > 0 AND list_inner_product(b.v, b.v) > 0
+      AND list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v) * list_inner_product(b.v, b.v)) >= {itq.THRESHOLD}
+),
+reach AS (
+    SELECT vec_id AS a, vec_id AS b FROM embeddings
+    UNION
+    SELECT r.a, l.b FROM reach r JOIN alike l ON r.b = l.a
+),
+counts AS (SELECT a, count(*) AS n FROM alike GROUP BY a),
+least_ids AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT e.vec_id, coalesce(c.n, 0) AS n_links, m.component_id, m.component_id = e.vec_id AS kept
+FROM embeddings e LEFT JOIN counts c ON c.a = e.vec_id LEFT JOIN least_ids m ON m.a = e.vec_id
+"""
+
+OP8_SQL = """
+WITH hashed AS (
+    SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+),
+coded AS (
+    SELECT page_id, payload_bytes,
+        array_to_string(list_transform(range(0, 32), lambda i:
+            substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                CAST((CAST('0x' || substr(hex, CAST(i // 8 AS BIGINT) * 10 + 1, 10) AS BIGINT) >> (35 - 5 * (i % 8))) & 31 AS BIGINT) + 1, 1)
+        ), '') AS payload_digest
+    FROM hashed
+),
+grouped AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM coded)
+SELECT page_id, payload_bytes, payload_digest,
+    CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN page_id < last THEN last END AS refers_to
+FROM grouped
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_retrieval_packing,
+        op2_segment_top_k,
         op3_linked_secrets,
+        op4_itq_neighbours,
         op5_trie_bpe,
         op6_line_field_quality,
         op7_evidence_language,
+        op8_warc_transactions,
+        op9_contextual_pii,
         op10_order_minhash,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_segment_top_k": OP2_SQL, "op4_itq_neighbours": OP4_SQL, "op8_warc_transactions": OP8_SQL}
