@@ -6,7 +6,7 @@
    word before it, and the two words before it (within CONTEXT code points).
 3. The graph of patterns and instances is scored ROUNDS times. A pattern's precision for a kind is the mean confidence of its
    distinct instances (seeds: 1 for their own kind, 0 for others); an unseen instance has the mean precision of its
-   patterns. A pattern is trusted with a precision of PRECISION and SUPPORT distinct seeds or more. Scores are
+   other patterns. A pattern is trusted with a precision of PRECISION and SUPPORT distinct seeds or more. Scores are
    sums per key that combine before the shuffle.
 4. Candidates behind a trusted pattern are reported as `found_<kind>`.
 
@@ -145,16 +145,11 @@ def trusted_patterns(occurrences: DataFrame) -> DataFrame:
             *[F.count(F.when(F.col("seed") & (F.col(k) > 0), 1)).alias(f"s_{k}") for k in BASE],
         )
         scores = kept(scores, "patterns")
-        # Unseen instances take the mean of their patterns; seeds stay as they are.
-        unseen = (
-            edges.where("not seed")
-            .join(scores, "pattern")
-            .groupBy("value")
-            .agg(*[F.avg(f"p_{k}").alias(k) for k in BASE])
-        )
-        confidence = edges.where("seed").unionByName(
-            edges.where("not seed").select("pattern", "value", "seed").join(unseen, "value").select(edges.columns)
-        )
+        # To a pattern, an unseen instance is worth what its other patterns say, so no pattern proves itself.
+        unseen = edges.where("not seed").select("pattern", "value", "seed").join(scores, "pattern")
+        sums = unseen.groupBy("value").agg(F.count("*").alias("n"), *[F.sum(f"p_{k}").alias(f"t_{k}") for k in BASE])
+        others = [F.when(F.col("n") > 1, (F.col(f"t_{k}") - F.col(f"p_{k}")) / (F.col("n") - 1)).otherwise(0.0).alias(k) for k in BASE]
+        confidence = edges.where("seed").unionByName(unseen.join(sums, "value").select("pattern", "value", "seed", *others))
     choices = F.array(*[F.struct(F.col(f"p_{k}").alias("precision"), F.col(f"s_{k}").alias("support"), F.lit(-i).alias("order"), F.lit(k).alias("kind")) for i, k in enumerate(BASE)])
     best = F.array_max(F.filter(choices, lambda c: (c["precision"] >= PRECISION) & (c["support"] >= SUPPORT)).cast(
         "array<struct<precision: double, support: bigint, order: int, kind: string>>"
