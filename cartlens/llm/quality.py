@@ -165,14 +165,15 @@ def marginals(unary: np.ndarray, pairs: np.ndarray, places: np.ndarray) -> tuple
 
 @dataclass
 class Field:
-    """A fitted field: how features are scaled, their weights, and the weights of steps. `share` is that of good documents."""
+    """A fitted field: the share of good documents, how features are scaled, their weights, and the weights of steps.
+    Without weights the share is all that is known."""
 
-    mean: np.ndarray
-    scale: np.ndarray
-    weights: np.ndarray
-    bias: float
-    pairs: np.ndarray
     share: float
+    mean: np.ndarray | None = None
+    scale: np.ndarray | None = None
+    weights: np.ndarray | None = None
+    bias: float = 0.0
+    pairs: np.ndarray | None = None
 
     def good(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """P(good) of every line, its bytes, and the places of the texts' lines."""
@@ -202,7 +203,7 @@ def fit_lines(features: np.ndarray, labels: np.ndarray, places: np.ndarray, shar
         first = 0.9 * first + 0.1 * slope
         second = 0.999 * second + 0.001 * slope**2
         theta = theta + RATE * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.999**k)) + 1e-8)
-    return Field(mean, scale, theta[:-5], float(theta[-5]), theta[-4:].reshape(2, 2), share)
+    return Field(share, mean, scale, theta[:-5], float(theta[-5]), theta[-4:].reshape(2, 2))
 
 
 def fit(texts: DataFrame, labels: DataFrame, id_column: str, text_column: str, label_column: str) -> Field:
@@ -215,9 +216,8 @@ def fit(texts: DataFrame, labels: DataFrame, id_column: str, text_column: str, l
     )
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     share = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
-    plain = Field(np.zeros(1), np.ones(1), np.zeros(1), 0.0, np.zeros((2, 2)), share)
     if len(counts) < 2:
-        return plain
+        return Field(share)
     part = F.create_map(*[F.lit(x) for k, v in counts.items() for x in (k, min(1.0, SAMPLE / v))])
     hashed = F.xxhash64(F.col("id").cast("string")).bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30))
     # About 2 * SAMPLE rows, whatever the table holds.
@@ -240,7 +240,7 @@ def fit(texts: DataFrame, labels: DataFrame, id_column: str, text_column: str, l
     width = 14 * 3 + 2
     blocks = [np.frombuffer(x, "<f4").reshape(-1, width).astype(np.float64) for x in held["features"]]
     if held["label"].nunique() < 2:
-        return plain
+        return Field(share)
     sizes = np.array([len(b) for b in blocks])
     return fit_lines(np.vstack(blocks), np.repeat(held["label"].to_numpy(), sizes), np.append(0, np.cumsum(sizes)), share)
 
@@ -248,6 +248,9 @@ def fit(texts: DataFrame, labels: DataFrame, id_column: str, text_column: str, l
 def score(text: str | Column, field: Field) -> Column:
     """The quality of each whole text, between 0 and 1."""
 
+    if field.weights is None:
+        return F.lit(float(field.share))
+
     def run(column: pa.Array) -> pa.Array:
         sizes = np.diff(utf8(column)[1])
         ends, found, start = np.cumsum(sizes), [], 0
@@ -255,9 +258,13 @@ def score(text: str | Column, field: Field) -> Column:
             base = ends[start - 1] if start else 0
             end = max(start + 1, int(np.searchsorted(ends, base + CHUNK, "right")))
             good, weight, places = field.good(*utf8(column.slice(start, end - start)))
-            up = np.append(0, np.cumsum(good * weight)), np.append(0, np.cumsum(weight))
-            top, all_ = (x[places[1:]] - x[places[:-1]] for x in up)
-            found.append(np.where(all_ > 0, np.clip(top / np.maximum(all_, 1), 0, 1), field.share))
+            scores = np.full(end - start, field.share)
+            full = np.flatnonzero(places[:-1] < places[1:])
+            if len(full):
+                top, all_ = (np.add.reduceat(x, places[full]) for x in (good * weight, weight))
+                # The last digits depend on what else is in the slice.
+                scores[full] = np.clip(np.round(top / all_, 9), 0, 1)
+            found.append(scores)
             start = end
         return pa.array(np.concatenate(found) if found else np.zeros(0), pa.float64())
 

@@ -83,6 +83,16 @@ def op7_evidence_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def language_of_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The same operator with all kinds of evidence: `pages` have hosts, addresses and declared languages."""
+    languages, model = langid.fit(_table(spark, folder, "documents"), "doc_id", "text", "lang")
+    pages = _table(spark, folder, "pages")
+    evidence = langid.page_evidence()
+    rows = pages.select("page_id", langid.page_text().alias("text"), *[c.alias(name) for name, c in evidence.items()])
+    found = langid.identify(rows, "page_id", "text", languages, model, **{name: F.col(name) for name in evidence})
+    return found.withColumnRenamed("id", "page_id")
+
+
 def op8_warc_transactions(spark: SparkSession, folder: str) -> DataFrame:
     archives = new_folder(spark, "warc")
     warc.write_archives(warc.with_types(_table(spark, folder, "pages")), archives)
@@ -172,6 +182,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op5_trie_bpe,
         op6_line_field_quality,
         op7_evidence_language,
+        language_of_pages,
         op8_warc_transactions,
         op9_contextual_pii,
         op10_order_minhash,

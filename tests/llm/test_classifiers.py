@@ -1,0 +1,156 @@
+"""Line-field quality and evidence language ID: exact parts against brute force, models by held-out accuracy."""
+
+from __future__ import annotations
+
+import itertools
+import math
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from cartlens.llm import langid, quality, queries, text
+
+SMALL = "/root/testdata/sf0.01"
+
+
+def test_marginals_agree_with_all_labellings():
+    r = np.random.default_rng(0)
+    for _ in range(15):
+        sizes = r.integers(0, 6, 4)
+        places = np.append(0, np.cumsum(sizes))
+        unary, pairs = 2 * r.normal(size=sizes.sum()), r.normal(size=(2, 2))
+        good, steps = quality.marginals(unary, pairs, places)
+        expected, counts = [], np.zeros((2, 2))
+        for a, b in zip(places[:-1], places[1:]):
+            total, inner, passed = 0.0, np.zeros(b - a), np.zeros((2, 2))
+            for y in itertools.product([0, 1], repeat=b - a):
+                w = math.exp(sum(u for u, k in zip(unary[a:b], y) if k) + sum(pairs[i, j] for i, j in zip(y, y[1:])))
+                total, inner = total + w, inner + w * np.array(y)
+                for i, j in zip(y, y[1:]):
+                    passed[i, j] += w
+            expected += list(inner / total)
+            counts += passed / total
+        assert np.allclose(good, expected) and np.allclose(steps, counts)
+
+
+def test_long_chains_stay_finite():
+    good, _ = quality.marginals(np.linspace(-30, 30, 100_000), np.array([[2.0, -2.0], [-2.0, 2.0]]), np.array([0, 100_000]))
+    assert np.isfinite(good).all() and good[0] < 0.01 < 0.99 < good[-1]
+
+
+def test_features_do_not_depend_on_the_batch(prose):
+    texts = [prose(50, 1), "A!! B!!\n\nC | d | e", "", " \n ", "x", prose(30, 2)]
+    features, sizes, places = quality.line_features(*text.utf8(pa.array(texts)))
+    for k, t in enumerate(texts):
+        alone, size, _ = quality.line_features(*text.utf8(pa.array([t])))
+        part = slice(places[k], places[k + 1])
+        assert len(features[part]) == len(alone)
+        if len(alone):
+            assert np.allclose(features[part], alone) and np.allclose(sizes[part], size)
+
+
+def test_held_out_quality(spark):
+    found = queries.op6_line_field_quality(spark, SMALL)
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet").select("doc_id", "quality")
+    rows = found.join(labels, "doc_id").collect()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
+    held = [r for r in rows if r["held_out"]]
+    assert len(held) > 50 and np.mean([r["predicted"] == r["quality"] for r in held]) >= 0.97
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in rows)
+    assert found.count() == 1000
+
+
+def test_held_out_labels_are_never_used(spark):
+    documents = spark.read.parquet(f"{SMALL}/documents.parquet")
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    turned = labels.withColumn("quality", F.when(queries.held_out(), 1 - F.col("quality")).otherwise(F.col("quality")))
+    fields = [quality.fit(documents, x.where(~queries.held_out()), "doc_id", "text", "quality") for x in (labels, turned)]
+    assert np.array_equal(fields[0].weights, fields[1].weights)
+
+
+def test_quality_of_odd_rows(spark, odd, empty):
+    none = spark.createDataFrame([(1, None), (None, 1), (2, 5)], "doc_id bigint, quality int")
+    one = spark.createDataFrame([(0, 1), (11, 1)], "doc_id bigint, quality int")
+    two = spark.createDataFrame([(3, 1), (3, 0), (9, 1), (10, 1), (11, 1)], "doc_id bigint, quality int")
+    for labels, share in ((none, 0.5), (one, 1.0), (two, 0.75)):
+        field = quality.fit(odd, labels, "doc_id", "text", "quality")
+        rows = odd.select("doc_id", "text", quality.score("text", field).alias("score")).collect()
+        assert len(rows) == odd.count() and all(0 <= r["score"] <= 1 for r in rows)
+        assert all(r["score"] == share for r in rows if not (r["text"] or "").strip())
+        same = {r["score"] for r in rows if r["text"] == "same text here"}
+        assert len(same) == 1
+    assert empty.select(quality.score("text", field)).collect() == []
+
+
+def test_language_accuracy_on_rows_outside_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE", 60)
+    documents = spark.read.parquet(f"{SMALL}/documents.parquet")
+    languages, model = langid.fit(documents, "doc_id", "text", "lang")
+    found = langid.identify(documents, "doc_id", "text", languages, model, host=F.col("source"))
+    rows = found.join(documents.select(F.col("doc_id").alias("id"), "lang"), "id").collect()
+    assert len(rows) == 1000 and np.mean([r["language"] == r["lang"] for r in rows]) >= 0.98
+    assert not any(r["rejected"] for r in rows)
+
+
+@pytest.fixture(scope="module")
+def two_languages(spark):
+    rows = [(i, "the house and the dog of the man " * 3, "en") for i in range(20)]
+    rows += [(20 + i, "das haus und der hund und die frau " * 3, "de") for i in range(20)]
+    return langid.fit(spark.createDataFrame(rows, "id bigint, text string, lang string"), "id", "text", "lang")
+
+
+def test_likelihoods_are_sums_over_trigrams(spark, two_languages):
+    languages, model = two_languages
+    rows = spark.createDataFrame([("The dog",), ("12",), (None,), ("",), ("ab",)], "text string")
+    found = [r[0] for r in rows.select(langid.likelihoods("text", model)).collect()]
+    low = b"the dog"
+    codes = [((low[i] << 16 | low[i + 1] << 8 | low[i + 2]) * 2654435761 % 2**32) >> 16 for i in range(5)]
+    assert np.allclose(found[0], [langid.TEMPER * model[k, codes].sum() for k in range(len(languages))])
+    assert found[1:4] == [None] * 3 and found[4] == [0.0] * len(languages)
+
+
+def test_evidence_decides_where_text_does_not(spark, two_languages):
+    languages, model = two_languages
+    rows = [(i, f"das haus und der hund {i}", "a.x.de", "x.de", "de", "de") for i in range(30)]
+    rows += [(100 + i, f"the house and the dog {i}", "b.x.de", "x.de", "en", "com") for i in range(30)]
+    rows += [
+        (200, "ab", "a.x.de", "x.de", None, None),  # by its host
+        (201, "ab", "b.x.de", "x.de", None, None),
+        (202, "ab", None, None, "de", None),  # by its markup
+        (203, "ab", None, None, None, "com"),  # by its suffix
+        (204, "дом " * 30, None, None, None, None),  # like none of them
+        (205, "", None, None, None, None),
+        (206, None, "a.x.de", "x.de", None, None),
+    ]
+    frame = spark.createDataFrame(rows, "id bigint, text string, host string, domain string, declared string, suffix string")
+    names = ("host", "domain", "declared", "suffix")
+    found = langid.identify(frame, "id", "text", languages, model, **{c: F.col(c) for c in names})
+    got = {r["id"]: r for r in found.collect()}
+    assert [got[i]["language"] for i in (200, 201, 202, 203)] == ["de", "en", "de", "en"]
+    assert got[204]["language"] == langid.UND and got[204]["rejected"]
+    assert got[205]["text_language"] == got[206]["text_language"] == langid.UND
+    assert all(0 < r["confidence"] <= 1 for r in got.values())
+
+
+def test_language_of_odd_rows(odd, empty, two_languages):
+    languages, model = two_languages
+    rows = langid.identify(odd, "doc_id", "text", languages, model, host=F.col("source")).collect()
+    assert len(rows) == odd.count()
+    by_id = {r["id"]: r for r in rows}
+    assert all(by_id[i]["rejected"] for i in (0, 1, 2, 4, 6))
+    assert langid.identify(empty, "doc_id", "text", languages, model, host=F.col("source")).collect() == []
+    assert langid.fit(empty, "doc_id", "text", "lang")[0] == [langid.UND]
+    alone = langid.identify(odd, "doc_id", "text", *langid.fit(empty, "doc_id", "text", "lang")).collect()
+    assert all(r["rejected"] for r in alone)
+
+
+def test_pages_carry_evidence(spark):
+    found = queries.language_of_pages(spark, SMALL).collect()
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet").collect()
+    declared = {p["page_id"]: p["html"].split('lang="')[1][:2] for p in pages if 'lang="' in p["html"]}
+    assert len(found) == len(pages)
+    agree = [r["language"] == declared[r["page_id"]] for r in found if r["page_id"] in declared]
+    assert np.mean(agree) >= 0.9
