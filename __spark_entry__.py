@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartlens import Params
+from cartlens.functions.numbers import half_up
 from cartlens.operators import clients, cohorts, facts, products
 from cartlens.plans.assortment import a15_ccz_priority_candidates, a16_candidate_monthly_sales
 from cartlens.plans.catalog import REPORTS
 from cartlens.session import shared_folder
 from cartlens.sources.events import day_deliveries
-from cartlens.sources.landing import backfill, land
+from cartlens.sources.landing import backfill, land, land_arrays, load_day
 from cartlens.sources.sales import load_range, read_sales, rows_per_day, sales_from_order_lines
 from cartlens.sources.snapshot import RECORDS, export_csv, read_csv, write_snapshot
 from cartlens.streaming.daily import start_daily_ingest
@@ -39,6 +40,8 @@ WHOLE = Params(
     review_min_cv=220,
     discount_band=1,
 )
+# Products for the report on a fixed list; the last is unknown.
+LISTED = (1, 5, 17, 42, 150, 99999999)
 # One calendar year with the bounds of the study, and English segment names.
 YEAR = Params(start=date(1997, 1, 1), end=date(1998, 1, 1), segment_language="en", review_max_units=15)
 
@@ -51,13 +54,27 @@ def entry(spark: SparkSession) -> DataFrame:
     return REPORTS["a02_abc_summary"](_sales(spark, "/root/testdata/sf0.001", WHOLE), WHOLE)
 
 
+# Interpolated day counts, which two engines compute alike up to their last binary digits.
+INTERPOLATED = {
+    "c03_rfm_percentiles": [f"{letter}_p{step}" for letter in "rf" for step in (20, 40, 60, 80)],
+    "c14_time_to_second_day": ["p25_days", "median_days", "p75_days", "p90_days"],
+}
+
+
 def _report(name: str, p: Params):
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return REPORTS[name](_sales(spark, folder, p), p)
+        found = REPORTS[name](_sales(spark, folder, p), p)
+        return found.withColumns({c: half_up(F.col(c), 6) for c in INTERPOLATED.get(name, ())})
 
     return run
 
 
+def _listed_months(p: Params):
+    """Monthly sales of a fixed list of products."""
+    listed = replace(p, candidate_ids=LISTED)
+    return lambda spark, folder: a16_candidate_monthly_sales(_sales(spark, folder, listed), listed)
+
+
 def _amounts(name: str, p: Params):
     def run(spark: SparkSession, folder: str) -> DataFrame:
         found = REPORTS[name](_sales(spark, folder, p, billed=True), p)
@@ -106,6 +123,10 @@ def _new_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
 
 
+STRAY_COLUMNS = (
+    "drop string, client_id bigint, gender string, purchase_date date, purchase_time_as_seconds_from_midnight int, "
+    "product_id bigint, quantity int, price_per_item bigint, discount_per_item bigint, total_price decimal(18,2)"
+)
 # The months of the `events` table.
 EVENT_DAYS = (date(2024, 1, 1), date(2024, 2, 1))
 
@@ -142,6 +163,65 @@ def _replaced_rows(spark: SparkSession, folder: str) -> DataFrame:
     return _stored(spark, table)
 
 
+def _after_streams(*parts):
+    """The stored rows after each of the given drops has landed and the stream has run."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        work = _new_folder(spark)
+        landing, table = f"{work}/landing", f"{work}/sales"
+        for drop, condition in parts:
+            land(_corrected(spark, folder).where(condition), landing, drop)
+            start_daily_ingest(spark, landing, table, f"{work}/checkpoint").awaitTermination()
+        return _stored(spark, table)
+
+    return run
+
+
+def _numeric_drops(spark: SparkSession, folder: str) -> DataFrame:
+    work = _new_folder(spark)
+    landing, table = f"{work}/landing", f"{work}/sales"
+    land(_corrected(spark, folder).where("event_type = 'click'"), landing, "9")
+    land(_corrected(spark, folder), landing, "10")
+    backfill(spark, landing, table, *EVENT_DAYS)
+    return _stored(spark, table)
+
+
+def _array_rows(spark: SparkSession, folder: str) -> DataFrame:
+    work = _new_folder(spark)
+    land_arrays(day_deliveries(spark, folder), f"{work}/landing", "1")
+    backfill(spark, f"{work}/landing", f"{work}/sales", *EVENT_DAYS, array=True)
+    return _stored(spark, f"{work}/sales")
+
+
+def _one_day(spark: SparkSession, folder: str) -> DataFrame:
+    work = _new_folder(spark)
+    land(_corrected(spark, folder), f"{work}/landing", "1")
+    load_day(spark, f"{work}/landing", f"{work}/sales", date(2024, 1, 10))
+    return _stored(spark, f"{work}/sales")
+
+
+def _redelivered(rows):
+    """The stored rows after a second landing has been loaded over the corrected deliveries."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        work = _new_folder(spark)
+        table = f"{work}/sales"
+        for landing, delivered in (("first", _corrected(spark, folder)), ("second", rows(spark, folder))):
+            land(delivered, f"{work}/{landing}", "1")
+            backfill(spark, f"{work}/{landing}", table, *EVENT_DAYS)
+        return _stored(spark, table)
+
+    return run
+
+
+def _quarantined_rows(spark: SparkSession, folder: str) -> DataFrame:
+    work = _new_folder(spark)
+    land(day_deliveries(spark, folder), f"{work}/landing", "1")
+    backfill(spark, f"{work}/landing", f"{work}/sales", *EVENT_DAYS, quarantine=f"{work}/strays")
+    strays = spark.read.schema(f"{STRAY_COLUMNS}, date date").parquet(f"{work}/strays")
+    return strays.withColumn("total_price", F.col("total_price").cast("double"))
+
+
 def _streamed_rows(spark: SparkSession, folder: str) -> DataFrame:
     work = _new_folder(spark)
     landing, table = f"{work}/landing", f"{work}/sales"
@@ -181,6 +261,7 @@ def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | No
         found[name + "__sliced"] = (_report(name, sliced), Oracle(sliced).reports()[name])
 
     oracle = Oracle(WHOLE)
+    found["a16_candidate_monthly_sales__listed"] = (_listed_months(WHOLE), oracle.listed_months(LISTED))
     for name, text in oracle.blocks().items():
         found[name] = (_block(name, WHOLE), text)
     for name, text in oracle.records().items():
@@ -191,6 +272,16 @@ def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | No
         "snk1_loaded_rows": _loaded_rows,
         "snk1_replaced_rows": _replaced_rows,
         "str1_streamed_rows": _streamed_rows,
+        "str1_split_drop": _after_streams(("1", "user_id % 2 = 0"), ("1", "user_id % 2 <> 0")),
+        "str1_late_older_drop": _after_streams(("2", "true"), ("1", "user_id % 2 = 0")),
+        "snk1_numeric_drops": _numeric_drops,
+        "src2_array_rows": _array_rows,
+        "src5_load_day": _one_day,
+        "snk3_after_failed_redelivery": _redelivered(day_deliveries),
+        "snk3_after_empty_redelivery": _redelivered(
+            lambda spark, folder: _corrected(spark, folder).where("event_type <> 'click' and date < date'2024-01-15'")
+        ),
+        "snk1_quarantined_rows": _quarantined_rows,
         "snk5_load_range": lambda spark, folder: load_range(_sales(spark, folder, WHOLE)),
         "snk6_rows_per_day": lambda spark, folder: rows_per_day(
             _sales(spark, folder, WHOLE), WHOLE.start, WHOLE.end

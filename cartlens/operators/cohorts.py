@@ -84,11 +84,17 @@ def activity_cells(sales: DataFrame, p: Params) -> DataFrame:
 def revenue_cells(sales: DataFrame, p: Params, end: date | None = None) -> DataFrame:
     """Active clients and revenue per cohort and month_number, where there are any.
 
-    `end` lets later activity of clients who started inside the period count.
+    Activity before `end` (a month's first day) counts. A later one than the period's lets later activity
+    of clients who started inside the period count; an earlier one is for callers who need the first cohorts only.
     """
     whole_client = Window.partitionBy("client_id")
     first = F.min(F.when(F.col("first_day") < F.lit(p.end), F.col("month"))).over(whole_client)
-    months = client_months(sales, p) if end is None else client_months(sales, p, end)
+    if end is None or end == p.end:
+        months = client_months(sales, p)
+    elif end < p.end and isinstance(sales, SharedSales):
+        months = client_months(sales, p).where(F.col("month") < p.index_of(end))
+    else:
+        months = client_months(sales, p, end)
     return (
         months.withColumn("cohort", first)
         .where("cohort is not null")

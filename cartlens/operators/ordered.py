@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from cartlens.session import freeze
 
-MAX_SLICES = 100_000
+SLICES_PER_BLOCK = 1000
+UPTO_HERE = (Window.unboundedPreceding, Window.currentRow)
 
 
 @dataclass(frozen=True)
@@ -46,45 +47,63 @@ def running_sum(
 ) -> DataFrame:
     """Add `out` = sum of `value` over all rows up to this one in `order`.
 
-    `order` must be a total order. `rows` is the size of `frozen`: up to
-    `rows_per_slice` rows make one slice, more are range-partitioned.
+    `order` must be a total order. `rows` is the size of `frozen`, which is range-partitioned
+    into slices of about `rows_per_slice` rows, two at least.
     A caller that looks for a few places only may pass `wanted(before, after,
     next)`: the sums before and after a slice and after the next one (NULL for
     the last). Slices it is false for are left out.
     """
-    upto_here = (Window.unboundedPreceding, Window.currentRow)
-    slices = min(ceil(rows / rows_per_slice), MAX_SLICES)
-    if slices <= 1:
-        return frozen.withColumn(out, F.sum(value).over(Window.orderBy(*order).rowsBetween(*upto_here)))
-
+    slices = max(2, ceil(rows / rows_per_slice))
     sliced = freeze(
         frozen.repartitionByRange(slices, *order).withColumn("_slice", F.spark_partition_id())
     )
-    in_order = Window.orderBy("_slice")
-    offsets = (
-        sliced.groupBy("_slice")
-        .agg(F.sum(value).alias("_sum"))
-        .withColumn("_after", F.sum("_sum").over(in_order.rowsBetween(*upto_here)))
-        .withColumn("_before", F.lag("_after").over(in_order))
-        .withColumn("_next", F.lead("_after").over(in_order))
-    )
+    offsets = _offsets(sliced.groupBy("_slice").agg(F.sum(value).alias("_sum")))
     if wanted is not None:
         zero = F.lit(0)
         offsets = offsets.where(
             wanted(F.coalesce("_before", zero), F.coalesce("_after", zero), F.col("_next"))
         )
-    inside = Window.partitionBy("_slice").orderBy(*order).rowsBetween(*upto_here)
-    # One row per slice, so the broadcast holds at most MAX_SLICES rows.
+    inside = Window.partitionBy("_slice").orderBy(*order).rowsBetween(*UPTO_HERE)
     return (
-        sliced.join(F.broadcast(offsets.select("_slice", "_before")), "_slice")
+        sliced.join(offsets.select("_slice", "_before"), "_slice")
         .withColumn("_inside", F.sum(value).over(inside))
+        .withColumn(out, _plus(F.col("_inside"), F.col("_before")))
+        .drop("_slice", "_inside", "_before")
+    )
+
+
+def _plus(a: Column, b: Column) -> Column:
+    """The sum of what is known."""
+    return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b)
+
+
+def _offsets(sums: DataFrame) -> DataFrame:
+    """Sums before and after each slice and after the next one, from one row per slice.
+
+    Slices are added up in blocks, so that one task sees one row per block only.
+    """
+    blocked = sums.withColumn("_block", F.expr(f"_slice div {SLICES_PER_BLOCK}"))
+    in_order = Window.orderBy("_block")
+    blocks = (
+        blocked.groupBy("_block")
+        .agg(F.sum("_sum").alias("_total"), F.min(F.struct("_slice", "_sum")).alias("_first"))
+        .withColumn("_upto", F.sum("_total").over(in_order.rowsBetween(Window.unboundedPreceding, -1)))
+        .withColumn("_following", F.lead("_first").over(in_order))
+        .select("_block", "_upto", "_following")
+    )
+    inside = Window.partitionBy("_block").orderBy("_slice")
+    here = F.struct("_slice", "_sum")
+    following = F.coalesce(F.lead(here).over(inside), F.col("_following"))
+    return (
+        blocked.join(blocks, "_block")
+        .withColumn("_next", following)
+        .withColumn("_after", _plus(F.sum("_sum").over(inside.rowsBetween(*UPTO_HERE)), F.col("_upto")))
+        .withColumn("_before", F.coalesce(F.lag("_after").over(inside), F.col("_upto")))
         .withColumn(
-            out,
-            F.when(F.col("_inside").isNull(), F.col("_before")).otherwise(
-                F.col("_inside") + F.coalesce(F.col("_before"), F.lit(0))
-            ),
+            "_next",
+            F.when(F.col("_next").isNotNull(), F.coalesce(_plus(F.col("_after"), F.col("_next._sum")), F.lit(0))),
         )
-        .drop("_slice", "_inside", "_before")
+        .select("_slice", "_before", "_after", "_next")
     )
 
 

@@ -45,12 +45,17 @@ def discount_rate() -> Column:
     return percent(F.col("discount_amount"), F.col("gross_revenue"))
 
 
+@shared
 def product_months(sales: DataFrame, p: Params) -> DataFrame:
-    """Totals per product and month with sales: `month` counts from the first, revenue is in cents."""
+    """Totals per product and month with sales: `month` counts from the first, revenue is in cents.
+
+    `days` has bit d set for a sale on day d of the month.
+    """
+    days = F.bit_or(F.expr("shiftleft(1L, day(purchase_date))")).alias("days")
     return (
         base_sales(sales, p)
         .groupBy("product_id", month_index(F.col("purchase_date"), p.first_month).alias("month"))
-        .agg(*_totals())
+        .agg(*_totals(), days)
     )
 
 

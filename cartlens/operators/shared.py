@@ -6,15 +6,16 @@ from functools import wraps
 
 from pyspark.sql import DataFrame
 
-from cartlens.session import freeze
+from cartlens.session import store
 
 
 class SharedSales:
     """Sales rows for a batch of reports.
 
     Pass it where a report takes `sales`. Every block below is then computed
-    from the sales rows at its first use, frozen, and read back afterwards, so
-    a full set of reports scans the fact table a handful of times.
+    at its first use, from the sales rows or from another block, stored as Parquet, and
+    read back column by column afterwards, so a full set of reports scans the fact
+    table a handful of times.
     """
 
     def __init__(self, sales: DataFrame):
@@ -24,7 +25,7 @@ class SharedSales:
     def block(self, build, p, *args) -> DataFrame:
         key = (build.__name__, p, args)
         if key not in self._blocks:
-            self._blocks[key] = freeze(build(self.sales, p, *args))
+            self._blocks[key] = store(build(self, p, *args))
         return self._blocks[key]
 
 

@@ -29,7 +29,7 @@ class Params:
     candidate_ids: tuple = (45201, 16635, 37382, 5702, 26800)
     # Language of the customer segment names: "ru" or "en".
     segment_language: str = "ru"
-    # Rows one task may sort when a global order is needed; above it the order is range-sliced.
+    # Rows of one slice where a global order is needed, each sorted by one task.
     rows_per_slice: int = 100_000
 
     def __post_init__(self):
@@ -49,6 +49,10 @@ class Params:
         a, b = self.first_month, self.last_month
         return (b.year - a.year) * 12 + b.month - a.month + 1
 
+    def index_of(self, month: date) -> int:
+        """How many months after the first one a month begins."""
+        return (month.year - self.first_month.year) * 12 + month.month - self.first_month.month
+
     def month_start(self, index: int) -> date:
         """First day of the month `index` months after the first one."""
         total = self.first_month.year * 12 + self.first_month.month - 1 + index

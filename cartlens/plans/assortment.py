@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartlens.functions.bands import discount_band_label, exact
-from cartlens.functions.numbers import correlation, half_up, percent, ratio, sum_money
+from cartlens.functions.months import month_date
+from cartlens.functions.numbers import correlation, half_up, money, percent, ratio, sum_money
 from cartlens.operators.facts import base_sales, share_of_total
 from cartlens.operators.ordered import largest_first, measure, pareto_class, percentiles, running_sum
 from cartlens.operators.products import (
@@ -14,6 +15,7 @@ from cartlens.operators.products import (
     cv_at_least,
     discount_rate,
     product_metrics,
+    product_months,
     product_profile,
     with_dual_class,
     xyz_class,
@@ -21,9 +23,6 @@ from cartlens.operators.products import (
 from cartlens.params import Params
 from cartlens.session import freeze
 
-# Product lists are broadcast up to this many ids (8 MB of keys).
-MAX_BROADCAST_IDS = 1_000_000
-
 
 def _money(name: str = "revenue") -> Column:
     return F.col(name).cast("double").alias(name)
@@ -307,21 +306,14 @@ def a16_candidate_monthly_sales(
     sales: DataFrame, p: Params, products: DataFrame | None = None
 ) -> DataFrame:
     """Months with sales of the listed products, or of those in `products`."""
-    base = base_sales(sales, p)
+    months = product_months(sales, p)
     if products is None:
-        months = _monthly(base.where(F.col("product_id").isin(*p.candidate_ids)))
+        months = months.where(F.col("product_id").isin(*p.candidate_ids))
     else:
-        ids = freeze(products.select("product_id").distinct())
-        if ids.count() <= MAX_BROADCAST_IDS:
-            months = _monthly(base.join(F.broadcast(ids), "product_id", "left_semi"))
-        else:
-            # Combine first: product months are far fewer than sales rows.
-            months = _monthly(base).join(ids, "product_id", "left_semi")
-    return months.orderBy("product_id", "month")
-
-
-def _monthly(base: DataFrame) -> DataFrame:
-    return base.groupBy("product_id", F.trunc("purchase_date", "MM").alias("month")).agg(
-        F.sum(F.col("quantity").cast("bigint")).alias("units_sold"),
-        half_up(sum_money(F.col("total_price")), 0).alias("revenue"),
-    )
+        months = months.join(products.select("product_id").distinct(), "product_id", "left_semi")
+    return months.select(
+        "product_id",
+        month_date(F.col("month"), p.first_month).alias("month"),
+        "units_sold",
+        half_up(money(F.col("cents")), 0).alias("revenue"),
+    ).orderBy("product_id", "month")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -16,7 +17,7 @@ REPORTS: dict[str, Report] = {
     name: function
     for module in (assortment, customers, metrics)
     for name, function in vars(module).items()
-    if name[:1] in "acm" and name[1:2].isdigit()
+    if re.match(r"[acm]\d+_", name) and getattr(function, "__module__", None) == module.__name__
 }
 
 

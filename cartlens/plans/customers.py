@@ -60,10 +60,8 @@ def c03_rfm_percentiles(sales: DataFrame, p: Params) -> DataFrame:
     columns = []
     for letter in "rf":
         columns.append(F.col(f"{letter}_min"))
-        # Interpolated day counts carry binary noise only beyond the sixth decimal.
         columns += [
-            half_up(F.col(f"{letter}_steps")[i], 6).alias(f"{letter}_p{round(step * 100)}")
-            for i, step in enumerate(steps)
+            F.col(f"{letter}_steps")[i].alias(f"{letter}_p{round(step * 100)}") for i, step in enumerate(steps)
         ]
         columns.append(F.col(f"{letter}_max"))
     columns.append(half_up(F.col("m_min"), 0).alias("m_min"))
@@ -197,8 +195,12 @@ def c09_ltv_exploration(sales: DataFrame, p: Params) -> DataFrame:
 
 
 def fixed_cohort_curve(sales: DataFrame, p: Params) -> DataFrame:
-    """The first cohorts at every horizon, the same clients each time, gaps as zero."""
-    cells = revenue_cells(sales, p).where(F.col("cohort") < p.fixed_cohorts)
+    """The first cohorts at every horizon, the same clients each time, gaps as zero.
+
+    The last of them reaches its horizon before `behind`, so later months are not read.
+    """
+    behind = min(p.end, p.month_start(p.fixed_cohorts + p.fixed_horizon))
+    cells = revenue_cells(sales, p, behind).where(F.col("cohort") < p.fixed_cohorts)
     filled = fill_cells(cells, F.lit(p.fixed_horizon), "active_clients", "revenue")
     sums = ("active_clients", "cohort_size", "revenue", "cumulative")
     return _cumulative(filled).groupBy("month_number").agg(*[F.sum(c).alias(c) for c in sums])
@@ -243,8 +245,7 @@ def c12_retention_scenarios(sales: DataFrame, p: Params) -> DataFrame:
     The month after a cohort counts even where it lies behind the period.
     """
     cohorts = min(p.fixed_cohorts, p.n_months)
-    needed = p.month_start(cohorts + 1)
-    cells = revenue_cells(sales, p, needed) if needed > p.end else revenue_cells(sales, p)
+    cells = revenue_cells(sales, p, p.month_start(cohorts + 1))
     number, active = F.col("month_number"), F.col("active_clients")
     extra = F.col("customers") * F.col("uplift") / F.lit(100.0)
     return (
@@ -315,6 +316,6 @@ def c14_time_to_second_day(sales: DataFrame, p: Params) -> DataFrame:
         .select(
             "repeat_customers",
             "avg_days",
-            *[half_up(F.col("steps")[i], 6).alias(name) for i, name in enumerate(steps)],
+            *[F.col("steps")[i].alias(name) for i, name in enumerate(steps)],
         )
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cartlens.functions.numbers import correlation, half_up, percent, sum_money
 from cartlens.operators.clients import client_metrics
 from cartlens.operators.facts import base_sales, share_of_total
-from cartlens.operators.products import abc_xyz_products, product_metrics, with_dual_class
+from cartlens.operators.products import abc_xyz_products, product_metrics, product_months, with_dual_class
 from cartlens.params import Params
 
 
@@ -38,14 +38,16 @@ def m1_broken_rows(sales: DataFrame, p: Params) -> DataFrame:
 
 
 def m2_product_reach(sales: DataFrame, p: Params) -> DataFrame:
-    """Buyers and days with sales per product."""
+    """Buyers and days with sales per product.
+
+    Days are bits of the product's months; only buyers need their distinct pairs shuffled.
+    """
+    pairs = base_sales(sales, p).where("client_id is not null").select("product_id", "client_id").distinct()
+    buyers = pairs.groupBy("product_id").agg(F.count("*").alias("buyers"))
+    days = product_months(sales, p).groupBy("product_id").agg(F.sum(F.bit_count("days")).alias("active_days"))
     return (
-        base_sales(sales, p)
-        .groupBy("product_id")
-        .agg(
-            F.count_distinct("client_id").alias("buyers"),
-            F.count_distinct("purchase_date").alias("active_days"),
-        )
+        days.join(buyers, days["product_id"].eqNullSafe(buyers["product_id"]), "left")
+        .select(days["product_id"], F.coalesce("buyers", F.lit(0)).alias("buyers"), "active_days")
         .orderBy("product_id")
     )
 

@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,12 +31,13 @@ def build_session(app: str = "cartlens", **conf) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder for checkpoints and staged tables.
 
-    A cluster names it in `spark.checkpoint.dir`. Only a local master may fall
-    back to a temporary folder, because there every task runs on this machine.
+    A cluster names it in `spark.checkpoint.dir`, or a program with `setCheckpointDir`.
+    Only a local master may fall back to a temporary folder, because there every
+    task runs on this machine.
     """
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder is None:
-        folder = spark.conf.get("cartlens.shared.dir", None)
+        folder = spark.conf.get("cartlens.shared.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
@@ -53,3 +55,10 @@ def freeze(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def store(df: DataFrame) -> DataFrame:
+    """Like `freeze`, as Parquet in the shared folder: a later step reads the columns it needs."""
+    path = f"{shared_folder(df.sparkSession)}/block-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

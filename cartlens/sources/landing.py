@@ -1,7 +1,8 @@
 """Landed day files and their load into the sales table.
 
 Layout: `<landing>/date=YYYY-MM-DD/drop=<id>/*.json`. One drop is one complete
-delivery of a day; a day sent again gets a drop id that sorts higher. Files hold
+delivery of a day, moved in as one folder; a day sent again gets a higher drop id. Ids are
+compared as numbers where they are numbers, else as text (numbers win). Files hold
 JSON lines, or one JSON array each with `array=True`.
 
 Rules, per requested day:
@@ -10,8 +11,9 @@ Rules, per requested day:
 - a day without rows is reported as empty and keeps its old rows;
 - rows that carry another date than the requested one are kept out.
 
-The write is one job over many days. It is not a transaction across days, and
-two loads of the same day must not run at once.
+The write is one job over many days. It is not a transaction, neither across days nor for one: a
+crash between the removal of a day's old files and the move of its new ones loses the day until the
+load is run again, which restores it from the landing. Two loads of the same day must not run at once.
 """
 
 from __future__ import annotations
@@ -35,12 +37,43 @@ WHOLE_NUMBERS = {
     "price_per_item": "int",
     "discount_per_item": "int",
 }
-# The list of days is broadcast only up to this many rows (about 270 years).
-MAX_BROADCAST_DAYS = 100_000
 
 
-def read_landing(spark: SparkSession, landing: str, array: bool = False) -> DataFrame:
-    return _reader(spark.read, array).option("basePath", landing).json(landing)
+def read_landing(
+    spark: SparkSession, landing: str, array: bool = False, start: date | None = None, end: date | None = None
+) -> DataFrame:
+    """All landed rows, or those of the days from `start` to `end`, whose folders alone are listed."""
+    reader = _reader(spark.read, array).option("basePath", landing)
+    if start is None:
+        return reader.json(landing)
+    return _rows_of(spark, reader, landing, lambda day: start <= day <= end)
+
+
+def read_days(spark: SparkSession, landing: str, days: set[date], array: bool = False) -> DataFrame:
+    """Everything that has landed for the given days."""
+    reader = _reader(spark.read, array).option("basePath", landing)
+    return _rows_of(spark, reader, landing, days.__contains__)
+
+
+def _rows_of(spark: SparkSession, reader, landing: str, wanted) -> DataFrame:
+    paths = [f"{landing}/{name}" for name, day in _day_folders(spark, landing) if wanted(day)]
+    return reader.json(paths) if paths else spark.createDataFrame([], LANDED)
+
+
+def _day_folders(spark: SparkSession, landing: str) -> list[tuple[str, date]]:
+    """Names and days of the folders directly below the landing."""
+    files, path = _file_system(spark, landing)
+    found = []
+    for status in files.listStatus(path) if files.exists(path) else ():
+        name = status.getPath().getName()
+        if name.startswith("date="):
+            found.append((name, date.fromisoformat(name.removeprefix("date="))))
+    return found
+
+
+def _file_system(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
 def stream_landing(spark: SparkSession, landing: str, array: bool = False) -> DataFrame:
@@ -58,13 +91,45 @@ def _reader(reader, array: bool):
 
 def land(rows: DataFrame, landing: str, drop: str) -> None:
     """Write rows that have a `date` column as one drop per day."""
+    coming = f"{landing}/_coming-{uuid.uuid4().hex}"
     (
         rows.select(*LANDED_FIELDS, "date", F.lit(drop).alias("drop"))
         .hint("rebalance", "date")
-        .write.mode("append")
-        .partitionBy("date", "drop")
-        .json(landing)
+        .write.partitionBy("date", "drop")
+        .json(coming)
+    )
+    _move_in(rows.sparkSession, coming, landing)
+
+
+def land_arrays(rows: DataFrame, landing: str, drop: str) -> None:
+    """Like `land`, with the whole day in one file that holds one JSON array."""
+    coming = f"{landing}/_coming-{uuid.uuid4().hex}"
+    (
+        rows.groupBy("date", F.lit(drop).alias("drop"))
+        .agg(F.to_json(F.collect_list(F.struct(*LANDED_FIELDS))).alias("value"))
+        .write.partitionBy("date", "drop")
+        .text(coming)
     )
+    _move_in(rows.sparkSession, coming, landing)
+
+
+def _move_in(spark: SparkSession, coming: str, landing: str) -> None:
+    """Move every drop from a hidden folder into place, as one folder where the drop is new."""
+    files, hidden = _file_system(spark, coming)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for day in files.listStatus(hidden):
+        if not day.isDirectory():
+            continue
+        target_day = path(f"{landing}/{day.getPath().getName()}")
+        files.mkdirs(target_day)
+        for drop in files.listStatus(day.getPath()):
+            target = path(target_day, drop.getPath().getName())
+            if not files.exists(target):
+                files.rename(drop.getPath(), target)
+                continue
+            for part in files.listStatus(drop.getPath()):
+                files.rename(part.getPath(), path(target, part.getPath().getName()))
+    files.delete(hidden, True)
 
 
 def typed(landed: DataFrame) -> DataFrame:
@@ -97,10 +162,11 @@ def drop_status(staged: DataFrame) -> DataFrame:
         F.count_if(~F.col("good")).alias("bad"),
         F.count_if(stray).alias("stray"),
     )
-    usable = F.when(F.col("bad") == 0, F.struct("drop", "received", "stray"))
+    number = F.col("drop").try_cast("decimal(38,0)").alias("number")
+    usable = F.when(F.col("bad") == 0, F.struct(number, "drop", "received", "stray"))
     return (
         per_drop.groupBy("date")
-        .agg(F.max(usable).alias("best"), F.max(F.struct("drop", "received")).alias("newest"))
+        .agg(F.max(usable).alias("best"), F.max(F.struct(number, "drop", "received")).alias("newest"))
         .select(
             "date",
             F.col("best.drop").alias("drop"),
@@ -125,32 +191,28 @@ def replace_days(landed: DataFrame, table: str, quarantine: str | None = None) -
     """
     spark = landed.sparkSession
     folder = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
-    typed(landed).write.parquet(folder)
-    staged = spark.read.parquet(folder)
-    status = freeze(drop_status(staged))
-    days = status.where("drop is not null").select("date", "drop")
-    if days.count() <= MAX_BROADCAST_DAYS:
-        days = F.broadcast(days)
-    chosen = staged.join(days, ["date", "drop"], "left_semi")
-    write_sales(chosen.where(F.col("purchase_date") == F.col("date")), table)
-    if quarantine is not None:
-        (
-            chosen.where(F.col("purchase_date") != F.col("date"))
-            .drop("good")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("date")
-            .parquet(quarantine)
-        )
-    _remove(spark, folder)
+    try:
+        typed(landed).write.parquet(folder)
+        staged = spark.read.parquet(folder)
+        status = freeze(drop_status(staged))
+        days = status.where("drop is not null").select("date", "drop")
+        chosen = staged.join(days, ["date", "drop"], "left_semi")
+        write_sales(chosen.where(F.col("purchase_date") == F.col("date")), table)
+        if quarantine is not None:
+            (
+                chosen.where(F.col("purchase_date") != F.col("date"))
+                .drop("good")
+                .write.mode("overwrite")
+                .option("partitionOverwriteMode", "dynamic")
+                .partitionBy("date")
+                .parquet(quarantine)
+            )
+    finally:
+        files, path = _file_system(spark, folder)
+        files.delete(path, True)
     return status
 
 
-def _remove(spark: SparkSession, folder: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def backfill(
     spark: SparkSession,
     landing: str,
@@ -164,9 +226,7 @@ def backfill(
 
     Returns one row per requested day: date, received, quarantined, loaded, status.
     """
-    day = F.col("date")
-    landed = read_landing(spark, landing, array).where((day >= F.lit(start)) & (day <= F.lit(end)))
-    status = replace_days(landed, table, quarantine)
+    status = replace_days(read_landing(spark, landing, array, start, end), table, quarantine)
     counts = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("received", "quarantined", "loaded")]
     return (
         requested_days(spark, start, end)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from cartlens.sources.landing import replace_days, stream_landing
+from cartlens.sources.landing import read_days, replace_days, stream_landing
 
 
 def start_daily_ingest(
@@ -18,15 +18,17 @@ def start_daily_ingest(
     array: bool = False,
     quarantine: str | None = None,
 ) -> StreamingQuery:
-    """Load everything that landed since the last run, then stop.
+    """Load all days for which something landed since the last run, then stop.
 
-    No file limit is set, so the files of a drop that lands as a whole stay in
-    one batch. A batch that is run again replaces the same days and the same
-    status folder, which makes a retry harmless.
+    A batch only tells which days are touched. These are read again in full, so a
+    drop that is seen in two batches is loaded whole, and an older drop that comes late
+    does not replace a newer one: the table ends as `backfill` would leave it. A batch
+    that is run again replaces the same days and the same status folder.
     """
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        days = replace_days(batch, table, quarantine)
+        touched = {row["date"] for row in batch.select("date").distinct().collect()}
+        days = replace_days(read_days(spark, landing, touched, array), table, quarantine)
         if status is not None:
             (
                 days.withColumn("batch", F.lit(batch_id))

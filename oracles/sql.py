@@ -6,8 +6,20 @@ aggregates on purpose: the Spark side gets the same results in other ways.
 
 from __future__ import annotations
 
+from datetime import date
+
 from cartlens import Params
-from cartlens.functions.bands import OTHER_SEGMENT, SEGMENT_RULES
+
+
+def later(day: date, months: int) -> str:
+    """SQL for the first day of the month `months` after that of `day`."""
+    return f"CAST(DATE '{day:%Y-%m}-01' + INTERVAL {months} MONTH AS DATE)"
+
+
+def months_between(start: date, end: date) -> int:
+    """Months touched by the days from `start` up to, not including, `end`."""
+    whole = (end.year - start.year) * 12 + end.month - start.month
+    return whole + (end.day > 1)
 
 
 def hu(expression: str, digits: int) -> str:
@@ -35,6 +47,7 @@ def cuts(value: str, bounds, labels) -> str:
 class Oracle:
     def __init__(self, p: Params, billed: bool = False):
         self.p = p
+        n_months = months_between(p.start, p.end)
         total = (
             "CAST(ROUND(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,8)), 2) AS DECIMAL(18,2))"
             if billed
@@ -67,7 +80,7 @@ class Oracle:
                 SELECT *, {self.abc('rev')} AS rc, {self.abc('qty')} AS qc FROM ranked""",
             "cal": f"""
                 SELECT CAST(range AS DATE) AS mon
-                FROM range(DATE '{p.first_month}', DATE '{p.month_start(p.n_months)}', INTERVAL 1 MONTH)""",
+                FROM range({later(p.start, 0)}, {later(p.start, n_months)}, INTERVAL 1 MONTH)""",
             "grid": """
                 SELECT g.product_id, g.mon, COALESCE(SUM(r.quantity), 0) AS u
                 FROM (SELECT product_id, cal.mon FROM item, cal) g
@@ -102,14 +115,14 @@ class Oracle:
                 FROM rowset r JOIN born USING (client_id) GROUP BY ALL""",
             "seen": f"""
                 SELECT s.coh, t.k, s.n, COALESCE(c.act, 0) AS act
-                FROM sized s, (SELECT unnest(range({p.n_months})) AS k) t
+                FROM sized s, (SELECT unnest(range({n_months})) AS k) t
                 LEFT JOIN cell c ON c.coh = s.coh AND c.k = t.k
-                WHERE s.coh + to_months(CAST(t.k AS INTEGER)) < DATE '{p.month_start(p.n_months)}'""",
+                WHERE s.coh + to_months(CAST(t.k AS INTEGER)) < {later(p.start, n_months)}""",
             "fixed": f"""
                 SELECT s.coh, t.k, s.n, COALESCE(c.act, 0) AS act, COALESCE(c.rev, 0) AS rev
                 FROM sized s, (SELECT unnest(range({p.fixed_horizon + 1})) AS k) t
                 LEFT JOIN cell c ON c.coh = s.coh AND c.k = t.k
-                WHERE s.coh < DATE '{p.month_start(p.fixed_cohorts)}'""",
+                WHERE s.coh < {later(p.start, p.fixed_cohorts)}""",
             "days": "SELECT DISTINCT client_id, purchase_date AS d FROM rowset",
         }
 
@@ -119,13 +132,32 @@ class Oracle:
         return f"CASE WHEN {run} <= {a} * {whole} THEN 'A' WHEN {run} <= {b} * {whole} THEN 'B' ELSE 'C' END"
 
     def segment(self) -> str:
-        name = {"en": 0, "ru": 1}[self.p.segment_language]
-        arms = "".join(
-            f" WHEN list_contains({list(r)}, r) AND list_contains({list(f)}, f)"
-            f" AND list_contains({list(m)}, m) THEN '{labels[name]}'"
-            for r, f, m, *labels in SEGMENT_RULES
+        """The rules as the study words them; the first that holds names the segment."""
+        english, russian = (
+            """CASE WHEN r >= 4 AND f >= 4 AND m >= 4 THEN 'best'
+                    WHEN r >= 3 AND f >= 4 AND m >= 3 THEN 'loyal'
+                    WHEN r >= 4 AND f BETWEEN 2 AND 3 AND m >= 2 THEN 'promising'
+                    WHEN r = 5 AND f = 1 THEN 'new'
+                    WHEN r >= 4 AND f <= 2 THEN 'active_low_frequency'
+                    WHEN r = 3 THEN 'needs_attention'
+                    WHEN r <= 2 AND f >= 4 AND m >= 3 THEN 'at_risk'
+                    WHEN r <= 2 AND m >= 4 THEN 'valuable_reactivate'
+                    WHEN r <= 2 AND m = 3 THEN 'leaving'
+                    WHEN r <= 2 AND f <= 2 AND m <= 2 THEN 'sleeping'
+                    ELSE 'other' END""",
+            """CASE WHEN r >= 4 AND f >= 4 AND m >= 4 THEN 'Лучшие клиенты'
+                    WHEN r >= 3 AND f >= 4 AND m >= 3 THEN 'Лояльные'
+                    WHEN r >= 4 AND f BETWEEN 2 AND 3 AND m >= 2 THEN 'Перспективные'
+                    WHEN r = 5 AND f = 1 THEN 'Новые'
+                    WHEN r >= 4 AND f <= 2 THEN 'Активные низкой частоты'
+                    WHEN r = 3 THEN 'Требуют внимания'
+                    WHEN r <= 2 AND f >= 4 AND m >= 3 THEN 'Под риском'
+                    WHEN r <= 2 AND m >= 4 THEN 'Ценные, требуют реактивации'
+                    WHEN r <= 2 AND m = 3 THEN 'Уходящие'
+                    WHEN r <= 2 AND f <= 2 AND m <= 2 THEN 'Спящие'
+                    ELSE 'Остальные' END""",
         )
-        return f"CASE{arms} ELSE '{OTHER_SEGMENT[name]}' END"
+        return english if self.p.segment_language == "en" else russian
 
     def __call__(self, last: str, body: str) -> str:
         """`body` behind all named parts up to `last`."""
@@ -283,19 +315,25 @@ class Oracle:
                        {hu(div('SUM(rev)', 'SUM(n)'), 0)} AS revenue_per_original_customer,
                        {hu(div('SUM(rev)', 'SUM(act)'), 0)} AS revenue_per_active_customer
                 FROM fixed GROUP BY k ORDER BY 1"""),
-            "c12_retention_scenarios": self("sized", f"""
-                , early AS (SELECT * FROM born WHERE coh < DATE '{p.month_start(p.fixed_cohorts)}'),
-                nextm AS (
-                    SELECT COUNT(DISTINCT s.client_id) AS act, SUM(total_price) AS rev
-                    FROM sales s JOIN early USING (client_id)
-                    WHERE quantity > 0 AND date_trunc('month', purchase_date) = coh + INTERVAL 1 MONTH),
-                base AS (SELECT (SELECT COUNT(*) FROM early) AS n, act, rev FROM nextm)
-                SELECT up AS retention_uplift_pp, {hu(pct('act', 'n'), 2)} AS baseline_retention_pct,
-                       {hu(pct('act', 'n') + ' + up', 2)} AS scenario_retention_pct,
-                       {hu('n * up / 100.0::DOUBLE', 0)} AS extra_active_clients,
-                       {hu(div('rev', 'act'), 0)} AS revenue_per_active_customer,
-                       {hu('n * up / 100.0::DOUBLE * ' + div('rev', 'act'), 0)} AS incremental_revenue
-                FROM base, (SELECT unnest({list(p.uplifts_pp)}) AS up) ORDER BY 1"""),
+            # One row per client of the first cohorts with what it paid in the month after its first:
+            # nothing at all (NULL) means it did not come back.
+            "c12_retention_scenarios": self("born", f"""
+                , back AS (
+                    SELECT b.client_id, COUNT(s.client_id) > 0 AS returned, SUM(s.total_price) AS paid
+                    FROM born b
+                    LEFT JOIN sales s ON s.client_id = b.client_id AND s.quantity > 0
+                        AND s.purchase_date >= b.coh + INTERVAL 1 MONTH AND s.purchase_date < b.coh + INTERVAL 2 MONTH
+                    WHERE b.coh < {later(p.start, p.fixed_cohorts)}
+                    GROUP BY b.client_id),
+                rates AS (
+                    SELECT COUNT(*) AS n, {pct('COUNT_IF(returned)', 'COUNT(*)')} AS share,
+                           {div('SUM(paid)', 'COUNT_IF(returned)')} AS each FROM back)
+                SELECT unnest({list(p.uplifts_pp)}) AS retention_uplift_pp, {hu('share', 2)} AS baseline_retention_pct,
+                       {hu(f'share + unnest({list(p.uplifts_pp)})', 2)} AS scenario_retention_pct,
+                       {hu(f'n * unnest({list(p.uplifts_pp)}) / 100.0::DOUBLE', 0)} AS extra_active_clients,
+                       {hu('each', 0)} AS revenue_per_active_customer,
+                       {hu(f'n * unnest({list(p.uplifts_pp)}) / 100.0::DOUBLE * each', 0)} AS incremental_revenue
+                FROM rates ORDER BY 1"""),
             "c13_repeat_rate": self("days", f"""
                 , win AS (SELECT unnest({list(p.repeat_windows)}) AS w),
                 flag AS (
@@ -347,6 +385,11 @@ class Oracle:
         }
         return out
 
+    def listed_months(self, products: tuple) -> str:
+        return self("rowset", f"""
+            SELECT product_id, mon AS month, {big('SUM(quantity)')} AS units_sold, {hu('SUM(total_price)', 0)} AS revenue
+            FROM rowset WHERE product_id IN {products} GROUP BY ALL ORDER BY 1, 2""")
+
     def blocks(self) -> dict[str, str]:
         return {
             "b01_base_sales": self("rowset", """
@@ -364,7 +407,7 @@ class Oracle:
             "b10_first_months": self("born", """
                 SELECT client_id, d1 AS first_purchase_date, coh AS cohort_month FROM born JOIN person USING (client_id)"""),
             "b13_activity_cells": self("cell", f"""
-                SELECT CAST(date_diff('month', DATE '{self.p.first_month}', coh) AS INTEGER) AS cohort,
+                SELECT CAST(date_diff('month', {later(self.p.start, 0)}, coh) AS INTEGER) AS cohort,
                        CAST(k AS INTEGER) AS month_number, act AS active_clients, CAST(rev AS DOUBLE) AS revenue
                 FROM cell"""),
             "b18_purchase_days": self("days", "SELECT client_id, d AS purchase_date FROM days"),
@@ -409,7 +452,21 @@ class Oracle:
             FROM delivery WHERE own = sent"""
         spoiled = " AND sent NOT IN (SELECT sent FROM delivery WHERE value = 0)"
         corrected = " AND event_type <> 'error' AND value <> 0"
+        whole = delivery + stored + corrected
+        stray = stored.replace("SELECT user_id", "SELECT sent AS date, '1' AS drop, user_id").replace("own = sent", "own <> sent")
         return {
+            "str1_split_drop": whole,
+            "str1_late_older_drop": whole,
+            "snk1_numeric_drops": whole,
+            "src2_array_rows": delivery + stored + spoiled,
+            "src5_load_day": delivery + stored + " AND sent = DATE '2024-01-10' AND event_type <> 'error' AND value <> 0",
+            # Days with a bad redelivery keep the corrected rows, the others have all.
+            "snk3_after_failed_redelivery": delivery + stored
+            + " AND (sent NOT IN (SELECT sent FROM delivery WHERE value = 0) OR event_type <> 'error' AND value <> 0)",
+            # Days without rows in the redelivery keep theirs.
+            "snk3_after_empty_redelivery": delivery + stored + corrected
+            + " AND (sent >= DATE '2024-01-15' OR event_type <> 'click')",
+            "snk1_quarantined_rows": delivery + stray + spoiled,
             "src4_backfill_status": f"""{delivery},
                 per AS (
                     SELECT sent, COUNT(*) AS n, CAST(COUNT_IF(own <> sent) AS BIGINT) AS stray, CAST(COUNT_IF(value = 0) AS BIGINT) AS bad
