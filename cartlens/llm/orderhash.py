@@ -297,7 +297,10 @@ def classes(texts: DataFrame, id_column: str, text_column: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), held], ["doc_id", "words"])
 
     candidates = kept(
-        all_rows.join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(to_words, "doc_id bigint, words binary"),
+        # The ids are a share of all ids, so the same join is asked for at every size.
+        all_rows.join(ends.hint("merge"), "doc_id", "left_semi")
+        .dropDuplicates(["doc_id"])
+        .mapInArrow(to_words, "doc_id bigint, words binary"),
         "candidates",
     )
     both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
