@@ -82,27 +82,28 @@ def _offsets(sums: DataFrame) -> DataFrame:
 
     Slices are added up in blocks, so that one task sees one row per block only.
     """
-    blocked = sums.withColumn("_block", F.expr(f"_slice div {SLICES_PER_BLOCK}"))
+    inside = Window.partitionBy("_block").orderBy("_slice")
+    blocked = sums.withColumn("_block", F.expr(f"_slice div {SLICES_PER_BLOCK}")).withColumn(
+        "_place", F.row_number().over(inside)
+    )
     in_order = Window.orderBy("_block")
     blocks = (
         blocked.groupBy("_block")
-        .agg(F.sum("_sum").alias("_total"), F.min(F.struct("_slice", "_sum")).alias("_first"))
+        .agg(F.sum("_sum").alias("_total"), F.max(F.when(F.col("_place") == 1, F.col("_sum"))).alias("_first"))
         .withColumn("_upto", F.sum("_total").over(in_order.rowsBetween(Window.unboundedPreceding, -1)))
         .withColumn("_following", F.lead("_first").over(in_order))
-        .select("_block", "_upto", "_following")
+        .withColumn("_last_block", F.lead("_block").over(in_order).isNull())
+        .select("_block", "_upto", "_following", "_last_block")
     )
-    inside = Window.partitionBy("_block").orderBy("_slice")
-    here = F.struct("_slice", "_sum")
-    following = F.coalesce(F.lead(here).over(inside), F.col("_following"))
+    last_inside = F.lead("_slice").over(inside).isNull()
+    next_sum = F.when(last_inside, F.col("_following")).otherwise(F.lead("_sum").over(inside))
     return (
         blocked.join(blocks, "_block")
-        .withColumn("_next", following)
+        .withColumn("_next_sum", next_sum)
+        .withColumn("_last", last_inside & F.col("_last_block"))
         .withColumn("_after", _plus(F.sum("_sum").over(inside.rowsBetween(*UPTO_HERE)), F.col("_upto")))
         .withColumn("_before", F.coalesce(F.lag("_after").over(inside), F.col("_upto")))
-        .withColumn(
-            "_next",
-            F.when(F.col("_next").isNotNull(), F.coalesce(_plus(F.col("_after"), F.col("_next._sum")), F.lit(0))),
-        )
+        .withColumn("_next", F.when(~F.col("_last"), F.coalesce(_plus(F.col("_after"), F.col("_next_sum")), F.lit(0))))
         .select("_slice", "_before", "_after", "_next")
     )
 

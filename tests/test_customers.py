@@ -180,3 +180,9 @@ def test_one_client_with_a_third_of_all_rows(make_sales):
     assert (top["client_id"], top["revenue"], top["units_bought"]) == (1, 300.0, 300)
     assert top["active_days"] == len({row[1] for row in rows if row[0] == 1})
     assert c.c07_cohort_retention(sales, P).agg({"active_clients": "sum"}).first()[0] == 12 + 600
+
+
+def test_a_gender_of_two_letters_is_an_error(make_sales):
+    sales = make_sales([{"client_id": 1, "gender": "mx", "purchase_date": "2023-01-01", "quantity": 1}])
+    with pytest.raises(Exception, match="more than one letter: mx"):
+        c.c01_customer_metrics(sales, P).collect()

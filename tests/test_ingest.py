@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import json
 from datetime import date
+from pathlib import Path
 
 import pytest
 
-from cartlens.sources.landing import backfill, load_day, read_landing, typed
+from cartlens.session import shared_folder
+from cartlens.sources import landing as landing_module
+from cartlens.sources.landing import backfill, land, land_arrays, load_day, read_landing, typed
 from cartlens.sources.sales import load_range, read_sales, rows_per_day
+from cartlens.sources.schema import LANDED_FIELDS
 from cartlens.streaming.daily import start_daily_ingest
 
 D1, D2, D3, D4 = (date(2023, 1, day) for day in (1, 2, 3, 4))
@@ -186,3 +190,81 @@ def test_stream_loads_only_what_is_new(spark, place, tmp_path):
     assert stored(spark, table) == [(str(D1), 5), (str(D2), 6)]
     log = {(r["batch"], r["date"]): r["status"] for r in spark.read.parquet(status).collect()}
     assert log == {(0, D1): "loaded", (0, D2): "failed", (1, D1): "loaded", (1, D2): "loaded"}
+
+
+def test_a_drop_seen_in_two_batches_is_loaded_whole(spark, place, tmp_path):
+    landing, table = place
+
+    def ingest():
+        start_daily_ingest(spark, str(landing), table, str(tmp_path / "checkpoint")).awaitTermination()
+
+    put(landing, D1, "1", [record(i, D1) for i in range(5)])
+    ingest()
+    part = landing / f"date={D1}" / "drop=1" / "late.json"
+    part.write_text("\n".join(json.dumps(record(i, D1)) for i in range(5, 8)))
+    ingest()
+    assert stored(spark, table) == [(str(D1), i) for i in range(8)]
+
+
+def test_an_older_drop_that_comes_late_changes_nothing(spark, place, tmp_path):
+    landing, table = place
+    for drop, clients in (("10", range(5)), ("9", range(2))):
+        put(landing, D1, drop, [record(i, D1) for i in clients])
+        start_daily_ingest(spark, str(landing), table, str(tmp_path / "checkpoint")).awaitTermination()
+    assert stored(spark, table) == [(str(D1), i) for i in range(5)]
+
+
+def test_drops_are_ordered_as_numbers(spark, place):
+    landing, table = place
+    for drop, client in (("9", 1), ("10", 2), ("zz", 3)):
+        put(landing, D1, drop, [record(client, D1)])
+    backfill(spark, str(landing), table, D1, D1)
+    assert stored(spark, table) == [(str(D1), 2)]
+
+
+def test_a_lost_day_comes_back_with_the_next_load(spark, place):
+    """What a crash between the removal of old files and the move of new ones would leave."""
+    landing, table = place
+    put(landing, D1, "1", [record(1, D1)])
+    put(landing, D2, "1", [record(2, D2)])
+    backfill(spark, str(landing), table, D1, D2)
+    for file in Path(table, f"purchase_date={D1}").iterdir():
+        file.unlink()
+    backfill(spark, str(landing), table, D1, D1)
+    assert stored(spark, table) == [(str(D1), 1), (str(D2), 2)]
+
+
+def test_the_staged_copy_goes_when_a_load_fails(spark, place, monkeypatch):
+    landing, table = place
+    put(landing, D1, "1", [record(1, D1)])
+    staged = lambda: set(Path(shared_folder(spark).removeprefix("file:")).glob("staged-*"))
+    before = staged()
+
+    def broken(*_):
+        raise RuntimeError("no")
+
+    monkeypatch.setattr(landing_module, "write_sales", broken)
+    with pytest.raises(RuntimeError):
+        backfill(spark, str(landing), table, D1, D1)
+    assert staged() == before
+
+
+def test_only_requested_days_are_listed(spark, place):
+    landing, _ = place
+    for day in (D1, D2, D3):
+        put(landing, day, "1", [record(1, day)])
+    files = read_landing(spark, str(landing), start=D2, end=D2).inputFiles()
+    assert [f"date={D2}" in f for f in files] == [True]
+
+
+def test_landed_drops_appear_as_folders(spark, place):
+    landing, table = place
+    columns = ", ".join(f"{name} string" for name in LANDED_FIELDS) + ", date date"
+    row = tuple(str(record(1, D1)[name]) for name in LANDED_FIELDS)
+    rows = spark.createDataFrame([(*row, D1)], columns)
+    land(rows, str(landing), "1")
+    land(rows, str(landing), "1")
+    land_arrays(rows, str(landing), "2")
+    assert [p.name for p in landing.iterdir()] == [f"date={D1}"]
+    assert sorted(p.name for p in (landing / f"date={D1}").iterdir()) == ["drop=1", "drop=2"]
+    assert len(list((landing / f"date={D1}" / "drop=1").glob("*.json"))) == 2

@@ -7,7 +7,8 @@ import re
 import pytest
 
 from __spark_entry__ import WHOLE, queries
-from cartlens.plans.catalog import REPORTS
+from cartlens.operators.shared import SharedSales
+from cartlens.plans.catalog import REPORTS, report
 from cartlens.sources.sales import sales_from_order_lines
 
 SMALL = "/root/testdata/sf0.001"
@@ -63,3 +64,38 @@ def test_every_query_has_columns_with_stable_names(spark):
     frame = sales_from_order_lines(spark, SMALL, WHOLE.start, WHOLE.end)
     assert frame.columns[:3] == ["client_id", "gender", "purchase_date"]
     assert frame.count() == 6000
+
+
+def formatted(frame) -> str:
+    mode = frame._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    return frame._jdf.queryExecution().explainString(mode)
+
+
+@pytest.mark.parametrize(
+    ("name", "behind"),
+    [("c10_ltv_fixed_cohorts", "1996-01-01"), ("c11_retention_revenue", "1996-01-01"), ("c12_retention_scenarios", "1995-08-01")],
+)
+def test_fixed_cohorts_read_only_the_months_they_use(spark, name, behind):
+    scans = re.findall(r"PushedFilters: \[(.*?)\]\n", formatted(queries()[name](spark, SMALL)))
+    assert any(f"LessThan(o_orderdate,{behind}" in s for s in scans), scans
+
+
+def test_no_row_is_multiplied_for_distinct_counts(plans):
+    assert not any("Expand" in text for text in plans.values())
+
+
+def test_single_tasks_get_combined_rows_only(plans):
+    """Below an exchange into one partition stands an aggregate, or a table made of one."""
+    for name, text in plans.items():
+        lines = [re.sub(r"^[\s:|+-]*(\*\(\d+\) )?", "", line) for line in text.splitlines()]
+        for at, line in enumerate(lines):
+            if line.startswith("Exchange SinglePartition"):
+                below = next(x for x in lines[at + 1 :] if not re.match(r"(Project|Filter|Sort|Window|InputAdapter|WholeStage|Generate)\b", x))
+                assert re.match(r"(HashAggregate|ObjectHashAggregate|SortAggregate|LocalTableScan|Range|Expand)", below), (name, below)
+
+
+def test_shared_blocks_are_read_by_column(spark):
+    batch = SharedSales(sales_from_order_lines(spark, SMALL, WHOLE.start, WHOLE.end))
+    report("c07_cohort_retention", batch, WHOLE).collect()
+    text = formatted(report("c07_cohort_retention", batch, WHOLE))
+    assert re.findall(r"ReadSchema: (\S+)", text) == ["struct<client_id:bigint,month:int>"]
