@@ -293,7 +293,11 @@ def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | No
 
 def _corpus() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
     """Queries and SQL of the corpus operators, which may be absent."""
-    if importlib.util.find_spec("cartlens.llm") is None:
+    try:
+        there = importlib.util.find_spec("cartlens.llm.queries") is not None
+    except ModuleNotFoundError:
+        there = False
+    if not there:
         return {}, {}
     found = importlib.import_module("cartlens.llm.queries")
     runs, texts = found.queries(), found.oracle_sql()

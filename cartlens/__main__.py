@@ -7,11 +7,16 @@
   verify   --sales TABLE                                day range and rows per day
   snapshot --sales TABLE --out DIR
   export   --snapshot DOCUMENT --out DIR
+
+reports and snapshot take every field of Params as --param NAME=VALUE, such as
+--param "xyz_cuts=(50, 80)" or --param segment_language=en.
 """
 
 from __future__ import annotations
 
 import argparse
+import ast
+from dataclasses import fields
 from datetime import date
 
 from cartlens import Params
@@ -44,6 +49,8 @@ def parse(argv=None) -> argparse.Namespace:
         if name in ("reports", "snapshot", "verify"):
             command.add_argument("--from", dest="period_start", type=date.fromisoformat)
             command.add_argument("--until", dest="period_end", type=date.fromisoformat)
+        if name in ("reports", "snapshot"):
+            command.add_argument("--param", action="append", type=param, default=[], metavar="NAME=VALUE")
         if name == "reports":
             command.add_argument("--name", nargs="*", choices=sorted(REPORTS))
         if name in ("backfill", "daily", "stream"):
@@ -56,6 +63,17 @@ def parse(argv=None) -> argparse.Namespace:
     return parser.parse_args(argv)
 
 
+def param(text: str) -> tuple:
+    """Name and value of one field of Params."""
+    name, _, value = text.partition("=")
+    kinds = {f.name: type(f.default) for f in fields(Params)}
+    if name not in kinds:
+        raise argparse.ArgumentTypeError(f"unknown parameter {name!r}; known: {', '.join(kinds)}")
+    if kinds[name] is date:
+        return name, date.fromisoformat(value)
+    return name, value if kinds[name] is str else ast.literal_eval(value)
+
+
 def show(rows) -> None:
     """Print a result with one row per day at most."""
     print(*rows.columns, sep="\t")
@@ -64,7 +82,7 @@ def show(rows) -> None:
 
 
 def run(args: argparse.Namespace, spark) -> None:
-    period = {}
+    period = dict(getattr(args, "param", []))
     if getattr(args, "period_start", None):
         period["start"] = args.period_start
     if getattr(args, "period_end", None):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import json
+from dataclasses import replace
 from datetime import date
 from pathlib import Path
 
@@ -96,6 +97,14 @@ def test_command_line(spark, shop, tmp_path):
     run(parse(["verify", "--sales", table]), spark)
 
 
+def test_parameters_on_the_command_line():
+    args = parse(["reports", "--sales", "s", "--out", "o", "--param", "xyz_cuts=(50, 80)", "--param", "segment_language=en",
+                  "--param", "end=2024-06-01"])
+    assert replace(P, **dict(args.param)) == replace(P, xyz_cuts=(50, 80), segment_language="en", end=date(2024, 6, 1))
+    with pytest.raises(SystemExit):
+        parse(["reports", "--sales", "s", "--out", "o", "--param", "nothing=1"])
+
+
 def test_params():
     assert (P.n_months, P.last_month, P.month_start(13)) == (12, date(2023, 12, 1), date(2024, 2, 1))
     assert Params(start=date(2023, 1, 15), end=date(2023, 3, 1)).n_months == 2
