@@ -28,8 +28,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose lines the field marks as good."""
+    """Documents whose lines the field marks as good; all of them where labels of both kinds are missing."""
     field = quality_field(spark, sf_dir, docs)
+    if field.weights is None:
+        return docs
     return docs.where(quality.score("text", field) >= quality.GOOD_AT)
 
 
