@@ -27,6 +27,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from cartlens.llm.storage import bound_batches
 from cartlens.llm.text import ragged, range_hashes, slices, utf8
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -310,7 +311,8 @@ def _decimal(ids: np.ndarray) -> str:
 
 
 def read_vocabulary(spark: SparkSession, path: str | None):
-    """The vocabulary file (1.6 MB) for all executors."""
+    """The vocabulary file (1.6 MB) for all executors, which get texts in batches of bounded size."""
+    bound_batches(spark)
     with open(path or VOCABULARY, encoding="utf-8") as file:
         return spark.sparkContext.broadcast(file.read())
 

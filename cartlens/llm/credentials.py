@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from cartlens.llm.storage import bound_batches
 from cartlens.llm.text import slices
 
 KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "endpoint")
@@ -124,6 +125,7 @@ def spans(texts: DataFrame, id_column: str, text_column: str) -> DataFrame:
             held = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), items)
             yield pa.RecordBatch.from_arrays([batch.column("id"), held], ["id", "spans"])
 
+    bound_batches(texts.sparkSession)
     kind = dict(texts.dtypes)[id_column]
     return texts.selectExpr(f"`{id_column}` as id", f"`{text_column}` as text").mapInArrow(
         run, f"id {kind}, spans array<struct<kind: string, start: bigint, end: bigint>>"

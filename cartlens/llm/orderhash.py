@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartlens.llm.components import components
-from cartlens.llm.storage import kept
+from cartlens.llm.storage import bound_batches, kept
 from cartlens.llm.text import _LOWER, mixed, range_hashes, slices, utf8, words
 
 SHINGLE = 5
@@ -281,6 +281,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def classes(texts: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """doc_id, class_id (the smallest id of the class) and kept (it is the smallest) of every row."""
+    bound_batches(texts.sparkSession)
     all_rows = texts.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
     rows = kept(sketch_rows(texts, id_column, text_column), "sketches")
     same = rows.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("first"))

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from cartlens.llm.storage import bound_batches
 from cartlens.llm.text import _LOWER, CHUNK, range_hashes, utf8, words
 
 SAMPLE = 700
@@ -208,6 +209,7 @@ def fit_lines(features: np.ndarray, labels: np.ndarray, places: np.ndarray, shar
 
 def fit(texts: DataFrame, labels: DataFrame, id_column: str, text_column: str, label_column: str) -> Field:
     """The field for `labels` (id and label 0 or 1) of `texts`."""
+    bound_batches(texts.sparkSession)
     known = (
         labels.select(F.col(id_column).alias("id"), F.col(label_column).alias("label"))
         .where("id is not null and label in (0, 1)")

@@ -8,6 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cartlens.session import shared_folder
 
+# Rows of one Arrow batch. A batch of whole texts lies in memory three times: as rows, as the JVM's buffers, and in the worker.
+ROWS_PER_BATCH = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let the session send at most ROWS_PER_BATCH rows at once to a Python worker; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ROWS_PER_BATCH:
+        spark.conf.set(key, str(ROWS_PER_BATCH))
+
 
 def new_folder(spark: SparkSession, what: str) -> str:
     """An unused folder in the shared one."""
