@@ -10,7 +10,11 @@
    cut like any other stretch of the order.
 4. Pairs are verified by banded alignment of whole texts: similarity = 1 - edits / words of the longer text, with edits
    of single words; SIMILARITY or more is a link. First each document's likeliest partner is tried, then every
-   remaining pair whose ends are not yet in one class. Classes are connected components.
+   remaining pair of neighbours whose ends are not yet in one class.
+5. Where a sketch of three or more documents still spans several classes, all of its documents meet: they are cut into blocks
+   of about BLOCK rows and WORDS words, and each pair of blocks is work of its own. Pairs whose ends are in one class by now are
+   skipped, and counts of words in BINS bins rule out most others (they never rule out a link). Tasks return only
+   links that connect, at most one less than they have documents. Classes are connected components.
 
 Cases: texts that are null, empty or only white space are alone; a text of fewer words than SHINGLE is one run; copies and repeated
 rows share a class; rows with a null id are alone, with a null class; ties go to the smaller id; an empty table gives
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 
 from cartlens.llm.components import components
 from cartlens.llm.storage import bound_batches, kept
-from cartlens.llm.text import _LOWER, mixed, range_hashes, slices, utf8, words
+from cartlens.llm.text import _LOWER, mixed, ragged, range_hashes, slices, utf8, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -38,6 +42,11 @@ SKETCHES = 32
 PICKED = 2
 # Cells of one batch of alignments.
 CELLS = 400_000
+# Documents and words of one block of a sketch that many share, and pairs that are looked at together.
+BLOCK = 512
+WORDS = 2_000_000
+PAIRS = 1 << 15
+BINS = 256
 
 _TOP = np.uint64(2**64 - 1)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -126,7 +135,7 @@ def sketch_rows(texts: DataFrame, id_column: str, text_column: str) -> DataFrame
 
 
 def _neighbours(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of neighbours in the order of all sketches, each with how many sketches put them side by side."""
+    """Pairs (a, b) of neighbours in the order of all sketches, with the sketch (j, sketch) that puts them side by side."""
     spread = rows.select("doc_id", "n", "sketches", F.posexplode("sketches").alias("j", "sketch")).selectExpr(
         "j", "sketch", f"sketches[(j + 1) % {SKETCHES}] as next", f"sketches[(j + 2) % {SKETCHES}] as later", "n", "doc_id"
     )
@@ -157,7 +166,7 @@ def _neighbours(rows: DataFrame) -> DataFrame:
             a, b = np.minimum(doc[same], doc[same + 1]), np.maximum(doc[same], doc[same + 1])
             empty = np.zeros(len(same), np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(a), pa.array(b), pa.array(empty), pa.array(empty), pa.array(empty.astype(np.int64)), pa.array(empty)], names
+                [pa.array(a), pa.array(b), pa.array(empty), pa.array(j[same].astype(np.int32)), pa.array(sketch[same]), pa.array(empty)], names
             )
         if first is not None:
             yield mark(first, 1)
@@ -175,8 +184,10 @@ def _neighbours(rows: DataFrame) -> DataFrame:
         "a", "end", "j", "sketch",
         "lag(a) over (order by part, end) as before", "lag(j) over (order by part, end) as j0", "lag(sketch) over (order by part, end) as s0",
     )
-    seams = seams.where("end = 1 and j = j0 and sketch = s0 and a <> before").selectExpr("least(a, before) as a", "greatest(a, before) as b")
-    return found.where("end = 0").select("a", "b").unionAll(seams).groupBy("a", "b").agg(F.count("*").alias("shared"))
+    seams = seams.where("end = 1 and j = j0 and sketch = s0 and a <> before").selectExpr(
+        "least(a, before) as a", "greatest(a, before) as b", "j", "sketch"
+    )
+    return found.where("end = 0").select("a", "b", "j", "sketch").unionAll(seams)
 
 
 def alignment_distances(pairs: list[tuple[np.ndarray, np.ndarray]], limits: list[int]) -> np.ndarray:
@@ -270,8 +281,8 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     tuple(np.frombuffer(part.column(c)[k].as_buffer(), "<u4") for c in ("left", "right"))
                     for k in range(part.num_rows)
                 ]
-                limits = [int((1 - SIMILARITY) * max(len(a), len(b)) + 1e-9) for a, b in both]
-                near = alignment_distances(both, limits) <= np.array(limits)
+                limits = _limits(np.array([max(len(a), len(b)) for a, b in both]))
+                near = alignment_distances(both, limits.tolist()) <= limits
                 yield part.select(["a", "b"]).filter(pa.array(near))
 
     left = texts.select(F.col("doc_id").alias("a"), F.col("words").alias("left"))
@@ -279,6 +290,111 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(run, "a bigint, b bigint")
 
 
+def _limits(sizes: np.ndarray) -> np.ndarray:
+    """The edits that a link may have if its longer text has so many words."""
+    return ((1 - SIMILARITY) * sizes + 1e-9).astype(np.int64)
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) between classes inside the groups (j, sketch, tile) of a sorted stream."""
+    group = ("j", "sketch", "tile")
+
+    def worked(table: pa.Table) -> pa.RecordBatch:
+        table = table.combine_chunks()
+        get = lambda c: table.column(c).to_numpy()
+        ids, block = get("doc_id"), np.where(get("split"), get("block"), -1)
+        texts = [np.frombuffer(x.as_buffer(), "<u4") for x in table.column("words")]
+        sizes = np.array([len(x) for x in texts])
+        spread = np.stack([np.minimum(np.bincount(x % BINS, minlength=BINS), 255) for x in texts]).astype(np.uint8)
+        # Words beyond the counts of a byte might all be common.
+        beyond = sizes - spread.sum(axis=1, dtype=np.int64)
+        limits = _limits(sizes)
+        _, place = np.unique(get("component"), return_inverse=True)
+        name = np.arange(place.max() + 1)
+        keys = np.stack([get(c) for c in group])
+        first = np.append(0, np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1)
+        lengths = np.diff(np.append(first, len(ids)))
+        rows = np.arange(len(ids))
+        # Each row is paired with all later rows of its group, a slice of rows at a time.
+        later = np.repeat(first + lengths, lengths) - rows - 1
+        ends = np.cumsum(later)
+        found, at = [], 0
+        while at < len(rows):
+            base = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, base + PAIRS, "right")))
+            i, j = np.repeat(rows[at:to], later[at:to]), ragged(rows[at:to] + 1, later[at:to])
+            at = to
+            good = (name[place[i]] != name[place[j]]) & ((block[i] < 0) | (block[i] != block[j]))
+            good &= np.abs(sizes[i] - sizes[j]) <= np.maximum(limits[i], limits[j])
+            i, j = i[good], j[good]
+            common = np.minimum(spread[i], spread[j]).sum(axis=1, dtype=np.int64) + np.minimum(beyond[i], beyond[j])
+            good = np.maximum(sizes[i], sizes[j]) - common <= np.maximum(limits[i], limits[j])
+            i, j = i[good], j[good]
+            while len(i):
+                here, there = i[:64], j[:64]
+                most = np.maximum(limits[here], limits[there])
+                near = alignment_distances([(texts[x], texts[y]) for x, y in zip(here, there, strict=True)], most.tolist()) <= most
+                for x, y in zip(here[near], there[near], strict=True):
+                    p, q = name[place[x]], name[place[y]]
+                    if p != q:
+                        name[name == q] = p
+                        found.append((ids[x], ids[y]))
+                i, j = i[64:], j[64:]
+                good = name[place[i]] != name[place[j]]
+                i, j = i[good], j[good]
+        a, b = np.array(found, np.int64).reshape(-1, 2).T
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        here = pa.Table.from_batches([batch])
+        held = here if held is None else pa.concat_tables([held, here])
+        # All but the last group are whole.
+        last = held.slice(held.num_rows - 1, 1).to_pylist()[0]
+        same = np.ones(held.num_rows, bool)
+        for c in group:
+            same &= held.column(c).to_numpy() == last[c]
+        cut = held.num_rows - int(same.sum())
+        if cut:
+            yield worked(held.slice(0, cut))
+            held = held.slice(cut)
+    if held is not None:
+        yield worked(held)
+
+
+def _shared(touching: DataFrame, names: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between different classes (doc_id, component) among all documents that share a sketch."""
+    stands = kept(
+        touching.select("j", "sketch", F.explode(F.array("a", "b")).alias("doc_id"))
+        .distinct()
+        .join(names.toDF("doc_id", "component"), "doc_id", "left")
+        .withColumn("component", F.coalesce("component", "doc_id"))
+        .join(texts.selectExpr("doc_id", "length(words) div 4 as n"), "doc_id"),
+        "stands",
+    )
+    # Two documents are neighbours, and have been compared.
+    useful = (
+        stands.groupBy("j", "sketch")
+        .agg(F.count("*").alias("size"), F.sum("n").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+        .where("size > 2 and low <> high")
+        .selectExpr("j", "sketch", f"cast(least(size, greatest(ceil(size / {BLOCK}), ceil(n / {WORDS}))) as int) as blocks")
+    )
+    placed = stands.drop("n").join(useful, ["j", "sketch"]).withColumn("block", F.expr("cast(pmod(xxhash64(doc_id, j), blocks) as int)"))
+    # Rows of block b go to tiles (min(b, x), max(b, x)) for every block x.
+    tiles = F.expr("transform(sequence(0, blocks - 1), x -> cast(least(block, x) as bigint) * blocks + greatest(block, x))")
+    placed = placed.withColumn("tile", F.explode(tiles)).withColumn("split", F.expr("tile div blocks <> tile % blocks"))
+    order = ["j", "sketch", "tile"]
+    return (
+        placed.join(texts, "doc_id")
+        .select(*order, "block", "split", "doc_id", "component", "words")
+        .repartition(*order)
+        .sortWithinPartitions(*order, "doc_id")
+        .mapInArrow(_linked, "a bigint, b bigint")
+    )
+
+
 def classes(texts: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """doc_id, class_id (the smallest id of the class) and kept (it is the smallest) of every row."""
     bound_batches(texts.sparkSession)
@@ -287,7 +403,8 @@ def classes(texts: DataFrame, id_column: str, text_column: str) -> DataFrame:
     same = rows.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("first"))
     firsts = rows.join(same.select("first").distinct(), F.col("doc_id") == F.col("first"), "left_semi")
 
-    pairs = kept(_neighbours(firsts), "pairs")
+    touching = kept(_neighbours(firsts), "touching")
+    pairs = kept(touching.groupBy("a", "b").agg(F.count("*").alias("shared")), "pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
     def to_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,8 +438,10 @@ def classes(texts: DataFrame, id_column: str, text_column: str) -> DataFrame:
         .where("coalesce(ca, a) <> coalesce(cb, b)")
     )
     more = kept(_verified(open_, candidates), "links")
-    # Stars of the first round stand for its links.
+    # Stars of a round stand for its links.
     joined = components(joined.selectExpr("node as a", "component as b").unionAll(more))
+    most = kept(_shared(touching, joined.select("node", "component"), candidates), "links")
+    joined = components(joined.selectExpr("node as a", "component as b").unionAll(most))
     by_class = same.join(joined, F.col("first") == F.col("node"), "left").select(
         "h1", "h2", "n", F.coalesce("component", "first").alias("class_id")
     )

@@ -106,6 +106,29 @@ def test_large_groups_of_copies(documents_of, prose):
     assert [r["doc_id"] for r in found if r["kept"]] in ([0, 700], [700, 0])
 
 
+def star(prose, copies, share, n=100):
+    """A text and copies that are each near to it, but seldom to each other."""
+    words = prose(n, 5).split()[:n]
+    rows = [(0, " ".join(words))]
+    for k in range(1, copies + 1):
+        r, own = random.Random(k), list(words)
+        for at in r.sample(range(n), r.randint(*share)):
+            own[at] = f"own{k}x{at}"
+        rows.append((k, " ".join(own)))
+    return rows
+
+
+def test_copies_joined_only_by_their_original(documents_of, prose, monkeypatch):
+    monkeypatch.setattr(orderhash, "BLOCK", 64)
+    # The original is not the first in the order of a sketch, and not next to most copies.
+    rows = [(1000 if i == 0 else i, t) for i, t in star(prose, 500, (12, 15))]
+    found = {r["doc_id"]: r["class_id"] for r in orderhash.classes(documents_of(rows), "doc_id", "text").collect()}
+    hashes = orderhash.sketches(*orderhash.word_hashes(pa.array([t for _, t in rows])))
+    meets = {i for (i, _), own in zip(rows, hashes, strict=True) if (own == hashes[0]).any()}
+    assert len(meets) > 400
+    assert {found[i] for i in meets} == {min(meets)}
+
+
 def test_odd_rows(odd, empty):
     found = orderhash.classes(odd, "doc_id", "text").collect()
     assert len(found) == odd.count()
