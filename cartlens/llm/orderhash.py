@@ -3,7 +3,8 @@
 1. Words are stretches without white space, ASCII letters in lower case. Every run of SHINGLE words is labelled with
    how often it has occurred in its text before. Each of SKETCHES sketches takes the PICKED runs with the
    smallest hashes, in the order of the text; equal sketches become likelier with edit similarity, not only with
-   shared content.
+   shared content. A text of at most SHORT words also has keys: it without every choice of at most a fifth of its words. Two
+   such texts that are a link have a common key, so short pairs are never missed.
 2. Texts with equal words are one class from the start; only its smallest id goes on.
 3. Rows (sketch number, sketch) are sorted over all partitions, those of one sketch by their following sketches, and
    each is paired with the one before it: as many pairs as rows, and a sketch that very many documents share is
@@ -24,6 +25,7 @@ an empty one; other columns of the input are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -36,10 +38,12 @@ from cartlens.llm.components import components
 from cartlens.llm.storage import bound_batches, kept
 from cartlens.llm.text import _LOWER, mixed, ragged, range_hashes, slices, utf8, words
 
-SHINGLE = 5
+SHINGLE = 2
 SIMILARITY = 0.8
 SKETCHES = 32
 PICKED = 2
+# Texts with at most so many words have a key for every way to leave out as many words as a link may.
+SHORT = 14
 # Cells of one batch of alignments.
 CELLS = 400_000
 # Documents and words of one block of a sketch that many share, and pairs that are looked at together.
@@ -109,16 +113,39 @@ def sketches(hashes: np.ndarray, places: np.ndarray) -> np.ndarray:
     return found
 
 
+def short_keys(hashes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the texts of at most SHORT words, and the text of each: a link's edits leave a common subsequence, and each
+    text gets there without more words than its own length allows edits."""
+    sizes = np.diff(places)
+    keys, texts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    # Shorter texts are a link with a text of as many words only if equal; those are one class already.
+    for n in range(4, SHORT + 1):
+        of = np.flatnonzero(sizes == n)
+        if not len(of):
+            continue
+        own = hashes[places[of][:, None] + np.arange(n)]
+        for left in range(n - int(_limits(n)), n + 1):
+            choice = np.array(list(combinations(range(n), left)))
+            key = np.full((len(of), len(choice)), left, np.uint64)
+            for k in range(left):
+                key = mixed(key * _STEP + own[:, choice[:, k]])
+            keys.append(key.ravel())
+            texts.append(np.repeat(of, len(choice)))
+    return np.concatenate(keys), np.concatenate(texts)
+
+
 def sketch_rows(texts: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """doc_id, n (words), h1 and h2 (a hash of all words) and sketches of every row with words and an id."""
+    """doc_id, n (words), h1 and h2 (a hash of all words) and sketches, followed by short keys, of every row with words and an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             hashes, places = word_hashes(batch.column("text"))
             found = sketches(hashes, places)
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.arange(len(found) + 1) * SKETCHES, pa.int32()), pa.array(found.ravel())
-            )
+            keys, of = short_keys(hashes, places)
+            text = np.concatenate([np.repeat(np.arange(len(found)), SKETCHES), of])
+            numbers = np.concatenate([found.ravel(), keys.view(np.int64)])[np.argsort(text, kind="stable")]
+            ends = np.append(0, np.cumsum(np.bincount(text, minlength=len(found))))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(numbers))
             h1 = range_hashes(mixed(hashes, 7), places[:-1], places[1:]).view(np.int64)
             h2 = range_hashes(mixed(hashes, 11), places[:-1], places[1:]).view(np.int64)
             out = pa.RecordBatch.from_arrays(
@@ -136,8 +163,9 @@ def sketch_rows(texts: DataFrame, id_column: str, text_column: str) -> DataFrame
 
 def _neighbours(rows: DataFrame) -> DataFrame:
     """Pairs (a, b) of neighbours in the order of all sketches, with the sketch (j, sketch) that puts them side by side."""
+    # Keys of short texts stand behind the sketches and share a number.
     spread = rows.select("doc_id", "n", "sketches", F.posexplode("sketches").alias("j", "sketch")).selectExpr(
-        "j", "sketch", f"sketches[(j + 1) % {SKETCHES}] as next", f"sketches[(j + 2) % {SKETCHES}] as later", "n", "doc_id"
+        f"least(j, {SKETCHES}) as j", "sketch", f"sketches[(j + 1) % {SKETCHES}] as next", f"sketches[(j + 2) % {SKETCHES}] as later", "n", "doc_id"
     )
     order = ["j", "sketch", "next", "later", "n", "doc_id"]
 
@@ -290,9 +318,9 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(run, "a bigint, b bigint")
 
 
-def _limits(sizes: np.ndarray) -> np.ndarray:
+def _limits(sizes: np.ndarray | int) -> np.ndarray:
     """The edits that a link may have if its longer text has so many words."""
-    return ((1 - SIMILARITY) * sizes + 1e-9).astype(np.int64)
+    return ((1 - SIMILARITY) * np.asarray(sizes) + 1e-9).astype(np.int64)
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

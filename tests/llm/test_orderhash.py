@@ -129,6 +129,43 @@ def test_copies_joined_only_by_their_original(documents_of, prose, monkeypatch):
     assert {found[i] for i in meets} == {min(meets)}
 
 
+def test_sketches_find_pairs_at_the_bound():
+    r = random.Random(8)
+    missed, n = [], 400
+    for length, even in ((15, True), (40, True), (100, True), (100, False), (300, True)):
+        texts = []
+        for k in range(n):
+            words = [f"w{r.randrange(10**6)}" for _ in range(length)]
+            copy = list(words)
+            for at in range(2, length, 5) if even else r.sample(range(length), length // 5):
+                copy[at] = f"x{k}y{at}"
+            texts += [" ".join(words), " ".join(copy)]
+        found = orderhash.sketches(*orderhash.word_hashes(pa.array(texts)))
+        missed.append(int((~(found[::2] == found[1::2]).any(axis=1)).sum()))
+    assert sum(missed) <= 0.01 * 5 * n, missed
+
+
+def test_short_texts(documents_of):
+    r = random.Random(4)
+    rows = []
+    for k in range(150):
+        words = [f"w{r.randrange(10**6)}" for _ in range(4 + k % 11)]
+        rows.append((len(rows), " ".join(words)))
+        for _ in range(int(0.2 * len(words)) or 1):
+            at, what = r.randrange(len(words)), r.random()
+            if what < 0.5:
+                words[at] = f"new{k}"
+            elif what < 0.75:
+                words.insert(at, f"more{k}")
+            else:
+                del words[at]
+        rows.append((len(rows), " ".join(words)))
+    # One word that stands in every run of five.
+    rows += [(400, "a b c d e f g h i"), (401, "a b c d z f g h i"), (402, "k l m n"), (403, "k l m n o"), (404, "k l m")]
+    found = {r["doc_id"]: r["class_id"] for r in orderhash.classes(documents_of(rows), "doc_id", "text").collect()}
+    assert found == brute(rows)
+
+
 def test_odd_rows(odd, empty):
     found = orderhash.classes(odd, "doc_id", "text").collect()
     assert len(found) == odd.count()
