@@ -6,6 +6,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from cartlens.llm import credentials, pii, queries
 
 SECRET_RULES = [
@@ -122,3 +124,14 @@ def test_redaction(spark):
     )
     found = [r[0] for r in rows.select(pii.redacted("text", "spans")).collect()]
     assert found == ["é [EMAIL] and [IP]!", "[CARD]f", None, ""]
+
+
+@pytest.mark.parametrize("size", [20, 200, 201, 5000])
+def test_long_secret_beside_an_identifier(size):
+    r = random.Random(size)
+    token = "aB3" + "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=size - 3))
+    text = f"https://example.com/login client_id=abcdef12 {token}"
+    found = credentials.linked_spans(text, credentials.base_spans(text))
+    start = text.index(token)
+    assert (start, credentials.KINDS.index("weak_secret"), start + size) in found
+    assert {credentials.KINDS[k] for _, k, _ in found} == {"weak_id", "weak_secret", "endpoint"}
