@@ -154,3 +154,17 @@ def test_pages_carry_evidence(spark):
     assert len(found) == len(pages)
     agree = [r["language"] == declared[r["page_id"]] for r in found if r["page_id"] in declared]
     assert np.mean(agree) >= 0.9
+
+
+def test_every_language_is_fitted(spark, monkeypatch):
+    labels = [f"l{k:02}" for k in range(70)]
+    # A rare language has one row, the others two, so it is the last by number of rows.
+    rows = [(2 * k + i, f"{chr(0x4E00 + 7 * k) * 3} {chr(0x4E00 + 7 * k)} " * 20, label) for k, label in enumerate(labels) for i in range(1 + (k < 69))]
+    frame = spark.createDataFrame(rows, "id bigint, text string, lang string")
+    languages, model = langid.fit(frame, "id", "text", "lang")
+    assert languages == [*labels, langid.UND] and len(model) == 71
+    found = langid.identify(frame, "id", "text", languages, model).where("id = 138").collect()
+    assert [(r["language"], r["rejected"]) for r in found] == [("l69", False)]
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 69)
+    with pytest.raises(ValueError, match="more than 69 languages"):
+        langid.fit(frame, "id", "text", "lang")
