@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartlens.llm import bpe, credentials, itq, langid, orderhash, packing, pii, quality, topk, warc
+from cartlens.llm import bpe, credentials, itq, langid, lexical, mixing, orderhash, packing, pii, quality, topk, turntrie, warc
 from cartlens.llm.storage import new_folder
 
 
+# Conversations of one group begin alike: with the first turns of the first of them, up to HEADS - 1.
+GROUP, HEADS = 5, 9
+
+
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -114,6 +118,21 @@ def op10_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return orderhash.classes(_table(spark, folder, "documents"), "doc_id", "text")
 
 
+def op11_hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(_table(spark, folder, "documents"), "doc_id", "text", _table(spark, folder, "benchmark"), "item_id", "text")
+
+
+def op12_turn_trie(spark: SparkSession, folder: str) -> DataFrame:
+    keys = turntrie.conversation_keys(_table(spark, folder, "conversations"), "conv_id", "turn", "role", "text")
+    return turntrie.trie(turntrie.rebuilt(keys, GROUP, HEADS))
+
+
+def op13_budget_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(_table(spark, folder, "documents"), "doc_id", "text", "source").select(
+        "doc_id", "size", "source_size", "target", "taken", "source", "whole", "part"
+    )
+
+
 _USABLE = """
 usable AS (
     SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
@@ -172,6 +191,117 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM grouped
 """
 
+OP11_SQL = r"""
+WITH terms AS (
+    SELECT row_number() OVER () AS r, doc_id,
+        list_transform(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
+            lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS t
+    FROM documents WHERE text IS NOT NULL
+),
+docs AS (SELECT r, doc_id, t, len(t) AS n FROM terms WHERE len(t) > 0),
+totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM docs),
+asked AS (
+    SELECT DISTINCT i, item_id, unnest(t) AS term FROM (
+        SELECT row_number() OVER () AS i, item_id,
+            list_transform(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
+                lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS t
+        FROM benchmark WHERE text IS NOT NULL)
+),
+postings AS (
+    SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, n, unnest(t) AS term FROM docs)
+    WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+),
+weights AS (
+    SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+    FROM postings, totals GROUP BY term
+),
+scored AS (
+    SELECT i, item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms)))) AS BIGINT) AS score
+    FROM postings JOIN weights USING (term) JOIN asked USING (term), totals GROUP BY i, item_id, r, doc_id
+),
+ranked AS (
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+    FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+OP12_SQL = f"""
+WITH turns AS (
+    SELECT conv_id, md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS id, strlen(coalesce(text, '')) AS size,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+    FROM conversations WHERE conv_id IS NOT NULL
+),
+lists AS (SELECT conv_id, list({{'id': id, 'size': size}} ORDER BY place) AS l FROM turns GROUP BY conv_id),
+-- The checksum of the decimal number, bit by bit.
+heads AS (
+    SELECT conv_id, l, xor(list_reduce(
+        list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+        lambda a, c: list_reduce([xor(a, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))
+    ), 4294967295) % {HEADS} AS h FROM lists
+),
+built AS (
+    SELECT c.conv_id, list_concat(coalesce(t.l[1:c.h], []), c.l[c.h + 1:]) AS l
+    FROM heads c LEFT JOIN heads t ON t.conv_id = c.conv_id - c.conv_id % {GROUP}
+),
+prefixes AS (SELECT conv_id, len(l) AS n, d, l[1:d] AS p FROM (SELECT *, unnest(range(0, len(l) + 1)) AS d FROM built)),
+nodes AS (
+    SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+        sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = d), '')) AS ends_sha256
+    FROM prefixes GROUP BY p, d
+),
+children AS (SELECT p[1:d - 1] AS p, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+counted AS (
+    SELECT n.*, coalesce(c.n, 0) AS n_children, CASE WHEN n.d = 0 THEN 0 ELSE (n_convs - 1) * n.p[n.d].size END AS saves
+    FROM nodes n LEFT JOIN children c ON c.p = n.p AND c.d = n.d
+),
+above AS (
+    SELECT p[1:a] AS p, a AS d, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(saves) AS saved
+    FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM counted) GROUP BY ALL
+)
+SELECT c.conv_id, CAST(c.d AS BIGINT) AS depth, m.conv_id AS parent_conv_id, c.n_convs, CAST(c.n_children AS BIGINT) AS n_children,
+    CAST(a.n_leaves AS BIGINT) AS n_leaves, CAST(a.saved AS BIGINT) AS saved_tokens, c.ends_sha256
+FROM counted c JOIN above a ON a.p = c.p AND a.d = c.d LEFT JOIN nodes m ON c.d > 0 AND m.p = c.p[1:c.d - 1] AND m.d = c.d - 1
+"""
+
+OP13_SQL = rf"""
+WITH RECURSIVE sized AS (
+    SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+        md5(concat('{mixing.SEED}:', coalesce(CAST(doc_id AS VARCHAR), concat('text:', coalesce(text, ''))))) AS key
+    FROM documents
+),
+sources AS (
+    SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number FROM sized GROUP BY source
+),
+weighed AS (SELECT *, {list(mixing.WEIGHTS)}[number % {len(mixing.WEIGHTS)} + 1] AS weight, {mixing.EPOCHS} * source_size AS most FROM sources),
+rounds AS (
+    SELECT 0 AS step, CAST(sum(source_size) AS HUGEINT) AS rest, CAST(sum(weight) AS HUGEINT) AS weight FROM weighed
+    UNION ALL
+    SELECT r.step + 1,
+        CAST((SELECT sum(source_size) FROM weighed) - coalesce(sum(w.most) FILTER (WHERE w.most * r.weight < w.weight * r.rest), 0) AS HUGEINT),
+        CAST(coalesce(sum(w.weight) FILTER (WHERE w.most * r.weight >= w.weight * r.rest), 0) AS HUGEINT)
+    FROM rounds r, weighed w WHERE r.step <= (SELECT count(*) FROM weighed) AND r.weight > 0 GROUP BY r.step
+),
+settled AS (SELECT * FROM rounds ORDER BY step DESC LIMIT 1),
+targets AS (
+    SELECT w.source, source_size, CASE WHEN s.weight > 0 AND source_size > 0
+        THEN least(CAST(rest AS DOUBLE) * w.weight / CAST(s.weight AS DOUBLE), CAST(most AS DOUBLE)) ELSE CAST(most AS DOUBLE) END AS target
+    FROM weighed w, settled s
+),
+placed AS (
+    SELECT doc_id, d.source, size, source_size, target, CAST(floor(target + 0.5) AS BIGINT) AS budget,
+        CAST(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - size AS before
+    FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+),
+cut AS (
+    SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS whole,
+        CASE WHEN source_size > 0 THEN greatest(0, least(size, budget % source_size - before)) ELSE 0 END AS part
+    FROM placed
+)
+SELECT doc_id, size, source_size, target, CAST(whole * size + part AS BIGINT) AS taken, source, CAST(whole AS BIGINT) AS whole, CAST(part AS BIGINT) AS part
+FROM cut
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
@@ -186,9 +316,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_warc_transactions,
         op9_contextual_pii,
         op10_order_minhash,
+        op11_hybrid_search,
+        op12_turn_trie,
+        op13_budget_mix,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_segment_top_k": OP2_SQL, "op4_itq_neighbours": OP4_SQL, "op8_warc_transactions": OP8_SQL}
+    return {
+        "op2_segment_top_k": OP2_SQL,
+        "op4_itq_neighbours": OP4_SQL,
+        "op8_warc_transactions": OP8_SQL,
+        "op11_hybrid_search": OP11_SQL,
+        "op12_turn_trie": OP12_SQL,
+        "op13_budget_mix": OP13_SQL,
+    }

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,6 +12,8 @@ from cartlens.session import shared_folder
 
 # Rows of one Arrow batch. A batch of whole texts lies in memory three times: as rows, as the JVM's buffers, and in the worker.
 ROWS_PER_BATCH = 1000
+# Bytes of one Arrow batch; a longer row is a batch of its own.
+BYTES_PER_BATCH = 16_000_000
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -38,3 +42,21 @@ def drop(df: DataFrame) -> None:
     for place in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(place)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Inside, Python workers get batches of at most ROWS_PER_BATCH rows and BYTES_PER_BATCH bytes; then the session is as before."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": ROWS_PER_BATCH, "spark.sql.execution.arrow.maxBytesPerBatch": BYTES_PER_BATCH}
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, most in wanted.items():
+        if before[key] is None or not before[key].isdigit() or not 0 < int(before[key]) <= most:
+            spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
