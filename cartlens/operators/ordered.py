@@ -8,11 +8,8 @@ what each slice adds up to; inside the slices an ordinary window does the rest.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass, field
-from decimal import Decimal
-from functools import reduce
-from math import ceil, floor
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,7 +22,7 @@ UPTO_HERE = (Window.unboundedPreceding, Window.currentRow)
 
 @dataclass(frozen=True)
 class Size:
-    """Row count and grand totals of a frozen table, known on the driver."""
+    """Row count and totals of a table, known on the driver."""
 
     rows: int
     totals: dict = field(default_factory=dict)
@@ -43,26 +40,17 @@ def running_sum(
     out: str,
     rows: int,
     rows_per_slice: int,
-    wanted: Callable[[Column, Column, Column], Column] | None = None,
 ) -> DataFrame:
     """Add `out` = sum of `value` over all rows up to this one in `order`.
 
     `order` must be a total order. `rows` is the size of `frozen`, which is range-partitioned
     into slices of about `rows_per_slice` rows, two at least.
-    A caller that looks for a few places only may pass `wanted(before, after,
-    next)`: the sums before and after a slice and after the next one (NULL for
-    the last). Slices it is false for are left out.
     """
     slices = max(2, ceil(rows / rows_per_slice))
     sliced = freeze(
         frozen.repartitionByRange(slices, *order).withColumn("_slice", F.spark_partition_id())
     )
     offsets = _offsets(sliced.groupBy("_slice").agg(F.sum(value).alias("_sum")))
-    if wanted is not None:
-        zero = F.lit(0)
-        offsets = offsets.where(
-            wanted(F.coalesce("_before", zero), F.coalesce("_after", zero), F.col("_next"))
-        )
     inside = Window.partitionBy("_slice").orderBy(*order).rowsBetween(*UPTO_HERE)
     return (
         sliced.join(offsets.select("_slice", "_before"), "_slice")
@@ -110,92 +98,3 @@ def _offsets(sums: DataFrame) -> DataFrame:
 
 def largest_first(metric: str, key: str) -> list[Column]:
     return [F.col(metric).desc_nulls_first(), F.col(key).asc()]
-
-
-def pareto_class(
-    frozen: DataFrame, metric: str, key: str, cuts, size: Size, rows_per_slice: int
-) -> Column:
-    """A/B/C by the inclusive running share of `metric`, largest first.
-
-    Classes are consecutive stretches of the order, so the last item of each
-    stretch is enough to classify every row without moving it. The shares are
-    compared exactly, as running * 100 <= cut * total.
-    """
-    labels = "ABC"
-    total = size.totals[metric]
-    if not total:
-        return F.lit(labels[-1])
-    sign = 1 if total > 0 else -1
-    bounds = [F.lit(Decimal(str(cut)) * abs(Decimal(total))) for cut in cuts]
-    position = F.struct((-F.col(metric)).alias("metric"), F.col(key).alias("key"))
-
-    def scaled(running):
-        return running * (100 * sign)
-
-    def around_a_cut(before, after, following):
-        # The last item inside a cut lies in the slice that crosses it, or ends the one before.
-        return reduce(
-            Column.__or__,
-            [
-                (scaled(before) <= bound) & (following.isNull() | (scaled(following) > bound))
-                for bound in bounds
-            ],
-        )
-
-    ranked = running_sum(
-        frozen.select(key, metric),
-        largest_first(metric, key),
-        F.col(metric),
-        "_running",
-        size.rows,
-        rows_per_slice,
-        around_a_cut,
-    )
-    ends = ranked.agg(
-        *[
-            F.max(F.when(scaled(F.col("_running")) <= bound, position)).alias(label)
-            for bound, label in zip(bounds, labels)
-        ]
-    )
-    out = F.when(F.col(metric).isNull(), F.lit(labels[-1]))
-    for label in labels[: len(cuts)]:
-        out = out.when(position <= ends.select(label).scalar(), F.lit(label))
-    return out.otherwise(F.lit(labels[-1]))
-
-
-def percentiles(
-    frozen: DataFrame, value: str, key: str, probabilities, rows: int, rows_per_slice: int
-) -> DataFrame:
-    """One row p0, p1, …: exact, linearly interpolated percentiles of `value`.
-
-    For values with unboundedly many distinct numbers; `rows` counts the
-    non-NULL ones. Only the ranks next to a percentile are kept.
-    """
-    places = [p * (rows - 1) for p in probabilities] if rows else []
-    needed = sorted({edge + 1 for place in places for edge in (floor(place), ceil(place))})
-
-    def around_a_rank(before, after, _):
-        return reduce(Column.__or__, [(before < rank) & (after >= rank) for rank in needed], F.lit(False))
-
-    ranked = running_sum(
-        frozen.select(key, F.col(value).cast("double").alias("_value")).where("_value is not null"),
-        [F.col("_value").asc(), F.col(key).asc()],
-        F.lit(1).cast("bigint"),
-        "_rank",
-        rows,
-        rows_per_slice,
-        around_a_rank,
-    ).where(F.col("_rank").isin(*needed))
-
-    def at(rank):
-        return F.max(F.when(F.col("_rank") == rank, F.col("_value")))
-
-    columns = []
-    for i, _ in enumerate(probabilities):
-        if not rows:
-            columns.append(F.max("_value").alias(f"p{i}"))
-            continue
-        low, part = at(floor(places[i]) + 1), places[i] - floor(places[i])
-        high = at(ceil(places[i]) + 1)
-        columns.append((low + (high - low) * F.lit(part)).alias(f"p{i}"))
-    return ranked.agg(*columns)

@@ -9,7 +9,8 @@ from cartlens.functions.bands import exact
 from cartlens.functions.months import month_index
 from cartlens.functions.numbers import cents, money, percent
 from cartlens.operators.facts import base_sales
-from cartlens.operators.ordered import Size, measure, pareto_class
+from cartlens.operators.ordered import Size
+from cartlens.operators.selection import pareto_classes
 from cartlens.operators.shared import SharedSales, shared
 from cartlens.params import Params
 from cartlens.session import freeze
@@ -17,7 +18,8 @@ from cartlens.session import freeze
 WIDE = "decimal(38,0)"
 
 
-def _totals() -> list[Column]:
+def product_totals() -> list[Column]:
+    """What products sold, from sales rows."""
     quantity = F.col("quantity").cast("bigint")
     return [
         F.sum(cents(F.col("total_price"))).alias("cents"),
@@ -34,7 +36,7 @@ def product_metrics(sales: DataFrame | SharedSales, p: Params) -> DataFrame:
     return (
         base_sales(sales, p)
         .groupBy("product_id")
-        .agg(*_totals())
+        .agg(*product_totals())
         .withColumn("revenue", money(F.col("cents")))
         .withColumn("discount_rate_pct", discount_rate())
         .drop("cents")
@@ -55,7 +57,7 @@ def product_months(sales: DataFrame, p: Params) -> DataFrame:
     return (
         base_sales(sales, p)
         .groupBy("product_id", month_index(F.col("purchase_date"), p.first_month).alias("month"))
-        .agg(*_totals(), days)
+        .agg(*product_totals(), days)
     )
 
 
@@ -130,11 +132,8 @@ def xyz_class(cuts) -> Column:
 def with_dual_class(products: DataFrame, p: Params) -> tuple[DataFrame, Size]:
     """Freeze the product table and add its revenue, units and joint class."""
     frozen = freeze(products)
-    size = measure(frozen, "revenue", "units_sold")
-    classes = {
-        name: pareto_class(frozen, metric, "product_id", p.abc_cuts, size, p.rows_per_slice)
-        for name, metric in (("revenue_class", "revenue"), ("units_class", "units_sold"))
-    }
+    found, size = pareto_classes(frozen, ["revenue", "units_sold"], "product_id", p.abc_cuts, p.rows_per_slice)
+    classes = {"revenue_class": found["revenue"], "units_class": found["units_sold"]}
     joint = F.concat("revenue_class", "units_class")
     return frozen.withColumns(classes).withColumn("abc_class", joint), size
 

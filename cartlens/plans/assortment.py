@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from cartlens.functions.bands import discount_band_label, exact
 from cartlens.functions.months import month_date
-from cartlens.functions.numbers import correlation, half_up, money, percent, ratio, sum_money
+from cartlens.functions.numbers import correlation, half_up, money, percent, ratio
 from cartlens.operators.facts import base_sales, share_of_total
-from cartlens.operators.ordered import largest_first, measure, pareto_class, percentiles, running_sum
+from cartlens.operators.ordered import largest_first, measure, running_sum
 from cartlens.operators.products import (
     abc_xyz_products,
     cv_at_least,
@@ -20,6 +20,8 @@ from cartlens.operators.products import (
     with_dual_class,
     xyz_class,
 )
+from cartlens.operators.selection import pareto_classes, quantiles
+from cartlens.operators.shared import SharedSales
 from cartlens.params import Params
 from cartlens.session import freeze
 
@@ -77,10 +79,9 @@ def _class_of_share(running: Column, total, cuts) -> Column:
 
 def a02_abc_summary(sales: DataFrame, p: Params) -> DataFrame:
     products = freeze(product_metrics(sales, p).select("product_id", "revenue"))
-    size = measure(products, "revenue")
-    revenue_class = pareto_class(products, "revenue", "product_id", p.abc_cuts, size, p.rows_per_slice)
+    classes, _ = pareto_classes(products, ["revenue"], "product_id", p.abc_cuts, p.rows_per_slice)
     return (
-        products.groupBy(revenue_class.alias("abc_class"))
+        products.groupBy(classes["revenue"].alias("abc_class"))
         .agg(_count(), F.sum("revenue").alias("revenue"))
         .select(
             "abc_class",
@@ -175,16 +176,10 @@ def a08_cv_distribution(sales: DataFrame, p: Params) -> DataFrame:
     """Lowest, highest and interpolated percentiles of the variation coefficient."""
     names = {"p10": 0.10, "p25": 0.25, "median": 0.50, "p75": 0.75, "p90": 0.90}
     products = freeze(product_profile(sales, p).select("product_id", "variation_coef_pct"))
-    cv = F.col("variation_coef_pct")
-    ends = products.agg(F.count(cv).alias("n"), F.min(cv).alias("low"), F.max(cv).alias("high")).first()
-    cuts = percentiles(
-        products, "variation_coef_pct", "product_id", names.values(), ends["n"], p.rows_per_slice
-    )
-    return cuts.select(
-        half_up(F.lit(ends["low"]), 2).alias("min_cv"),
-        *[half_up(F.col(f"p{i}"), 2).alias(name) for i, name in enumerate(names)],
-        half_up(F.lit(ends["high"]), 2).alias("max_cv"),
-    )
+    found = quantiles(products, "variation_coef_pct", "product_id", names.values(), p.rows_per_slice)
+    columns = {"min_cv": found.low, **dict(zip(names, found.values)), "max_cv": found.high}
+    one = products.sparkSession.range(1)
+    return one.select(*[half_up(F.lit(value).cast("double"), 2).alias(name) for name, value in columns.items()])
 
 
 def a09_xyz_adapted_summary(sales: DataFrame, p: Params) -> DataFrame:
@@ -302,6 +297,12 @@ def a15_ccz_priority_candidates(sales: DataFrame, p: Params) -> DataFrame:
     )
 
 
+def candidate_months(sales: DataFrame | SharedSales, p: Params) -> DataFrame:
+    """`a16_candidate_monthly_sales` of the candidates of `a15_ccz_priority_candidates`, both from one table of product months."""
+    sales = sales if isinstance(sales, SharedSales) else SharedSales(sales)
+    return a16_candidate_monthly_sales(sales, p, _candidates(sales, p))
+
+
 def a16_candidate_monthly_sales(
     sales: DataFrame, p: Params, products: DataFrame | None = None
 ) -> DataFrame:

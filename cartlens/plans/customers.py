@@ -10,7 +10,7 @@ from cartlens.functions.numbers import half_up, percent, ratio
 from cartlens.operators.clients import client_metrics, first_two_days, rfm_scores, rfm_segments
 from cartlens.operators.cohorts import activity_cells, fill_cells, observed, revenue_cells
 from cartlens.operators.facts import share_of_total
-from cartlens.operators.ordered import percentiles
+from cartlens.operators.selection import quantiles
 from cartlens.params import Params
 from cartlens.session import freeze
 
@@ -33,8 +33,7 @@ def c01_customer_metrics(sales: DataFrame, p: Params) -> DataFrame:
 
 def c02_customer_summary(sales: DataFrame, p: Params) -> DataFrame:
     clients = freeze(client_metrics(sales, p).select("client_id", "active_days", "revenue"))
-    known = clients.agg(F.count("revenue").alias("n")).first()["n"]
-    middle = percentiles(clients, "revenue", "client_id", [0.5], known, p.rows_per_slice)
+    middle = quantiles(clients, "revenue", "client_id", [0.5], p.rows_per_slice).values[0]
     # Day counts have at most one distinct value per day of the period, so the
     # built-in percentile keeps a small state for them.
     return clients.agg(
@@ -42,14 +41,13 @@ def c02_customer_summary(sales: DataFrame, p: Params) -> DataFrame:
         half_up(F.avg("active_days"), 2).alias("avg_active_days"),
         half_up(F.percentile("active_days", 0.5), 2).alias("median_active_days"),
         half_up(ratio(F.sum("revenue"), F.count("revenue")), 0).alias("avg_revenue"),
-    ).withColumn("median_revenue", half_up(middle.select("p0").scalar(), 0))
+    ).withColumn("median_revenue", half_up(F.lit(middle).cast("double"), 0))
 
 
 def c03_rfm_percentiles(sales: DataFrame, p: Params) -> DataFrame:
     clients = freeze(client_metrics(sales, p).select("client_id", "recency_days", "active_days", "revenue"))
     steps = [0.2, 0.4, 0.6, 0.8]
-    known = clients.agg(F.count("revenue").alias("n")).first()["n"]
-    money = percentiles(clients, "revenue", "client_id", steps, known, p.rows_per_slice)
+    money = quantiles(clients, "revenue", "client_id", steps, p.rows_per_slice).values
 
     aggregates = []
     for letter, name in (("r", "recency_days"), ("f", "active_days")):
@@ -66,7 +64,7 @@ def c03_rfm_percentiles(sales: DataFrame, p: Params) -> DataFrame:
         columns.append(F.col(f"{letter}_max"))
     columns.append(half_up(F.col("m_min"), 0).alias("m_min"))
     columns += [
-        half_up(money.select(f"p{i}").scalar(), 0).alias(f"m_p{round(step * 100)}")
+        half_up(F.lit(money[i]).cast("double"), 0).alias(f"m_p{round(step * 100)}")
         for i, step in enumerate(steps)
     ]
     columns.append(half_up(F.col("m_max"), 0).alias("m_max"))

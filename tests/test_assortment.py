@@ -16,7 +16,8 @@ from hypothesis import strategies as st
 
 from cartlens import Params
 from cartlens.operators import ordered
-from cartlens.operators.ordered import largest_first, percentiles, running_sum
+from cartlens.operators.ordered import largest_first, running_sum
+from cartlens.operators.selection import pareto_classes, quantiles
 from cartlens.operators.products import dense_monthly_units, product_profile
 from cartlens.plans import assortment as a
 from cartlens.plans import metrics as m
@@ -123,14 +124,54 @@ def test_offsets_over_several_blocks(spark, monkeypatch):
 
 @pytest.mark.parametrize("rows_per_slice", [10_000, 13])
 @pytest.mark.parametrize("count", [1, 2, 101, 250])
-def test_percentiles_over_slices(spark, rows_per_slice, count):
+def test_percentiles_by_histogram(spark, rows_per_slice, count):
     rng = random.Random(count)
     values = [rng.choice([3.0, rng.random() * 100]) for _ in range(count)]
     frame = spark.createDataFrame(list(enumerate(values)), "key int, value double")
     steps = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
-    got = percentiles(frame, "value", "key", steps, count, rows_per_slice).first()
+    found = quantiles(frame, "value", "key", steps, rows_per_slice)
+    got = found.values
     built_in = frame.agg(F.percentile("value", F.array(*map(F.lit, steps)))).first()[0]
     assert list(got) == pytest.approx(built_in, abs=1e-9)
+    assert (found.n, found.low, found.high) == (count, min(values), max(values))
+
+
+def plain_classes(rows, cuts):
+    """Classes as stretches of the order, up to the last row inside each cut."""
+    known = sorted((r for r in rows if r[1] is not None), key=lambda r: (-r[1], r[0]))
+    total = sum(v for _, v in known)
+    classes = {k: "C" for k, _ in rows}
+    for label, cut in reversed([*zip("AB", cuts)]):
+        running, last = 0, -1
+        for place, (_, v) in enumerate(known):
+            running += v
+            if total and running * 100 * (1 if total > 0 else -1) <= cut * abs(total):
+                last = place
+        classes |= {k: label for k, _ in known[: last + 1]}
+    return classes
+
+
+@pytest.mark.parametrize("limit", [1, 3, 50, 10_000])
+@pytest.mark.parametrize("kind", ["spread", "ties", "one value", "refunds", "losses", "zeros", "few", "heavy"])
+def test_pareto_classes_like_a_sorted_list(spark, limit, kind):
+    rng = random.Random(kind)
+    value = {
+        "spread": lambda i: Decimal(rng.randint(1, 10**9)) / 100,
+        "ties": lambda i: Decimal(rng.choice([5, 5, 5, 700, 2])),
+        "one value": lambda i: Decimal("3.25"),
+        "refunds": lambda i: Decimal(rng.randint(-40_000, 90_000)) / 100,
+        "losses": lambda i: Decimal(rng.randint(-90_000, 5_000)) / 100,
+        "zeros": lambda i: Decimal(0),
+        "few": lambda i: Decimal(i + 1),
+        "heavy": lambda i: Decimal(10 ** rng.randint(0, 12)),
+    }[kind]
+    rows = [(i * 7 - 300, value(i)) for i in range(3 if kind == "few" else 240)]
+    rows += [(10_000, None)]
+    frame = spark.createDataFrame(rows, "key bigint, value decimal(28,2)")
+    found, size = pareto_classes(frame, ["value"], "key", (80, 95), limit)
+    got = {r["key"]: r["c"] for r in frame.select("key", found["value"].alias("c")).collect()}
+    assert got == plain_classes(rows, (80, 95))
+    assert size.rows == len(rows) and size.totals["value"] == sum(v for _, v in rows if v is not None)
 
 
 def spread_sales(make_sales, seed=5, products=30):
