@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from cartlens import Params
 from cartlens.functions.numbers import half_up
 from cartlens.operators import clients, cohorts, facts, products
-from cartlens.plans.assortment import a15_ccz_priority_candidates, a16_candidate_monthly_sales
+from cartlens.operators.maintained import MaintainedSales, maintained_table
+from cartlens.plans.assortment import a16_candidate_monthly_sales, candidate_months
 from cartlens.plans.catalog import REPORTS
 from cartlens.session import shared_folder
 from cartlens.sources.events import day_deliveries
-from cartlens.sources.landing import backfill, land, land_arrays, load_day
+from cartlens.sources.landing import backfill, land, land_arrays, load_day, read_landing, typed
 from cartlens.sources.sales import load_range, read_sales, rows_per_day, sales_from_order_lines
 from cartlens.sources.snapshot import RECORDS, export_csv, read_csv, write_snapshot
 from cartlens.streaming.daily import start_daily_ingest
@@ -45,6 +46,9 @@ LISTED = (1, 5, 17, 42, 150, 99999999)
 # One calendar year with the bounds of the study, and English segment names.
 YEAR = Params(start=date(1997, 1, 1), end=date(1998, 1, 1), segment_language="en", review_max_units=15)
 
+# Three months of it, for tables that are written day by day.
+QUARTER = replace(YEAR, end=date(1997, 4, 1))
+
 
 def _sales(spark: SparkSession, folder: str, p: Params, **options) -> DataFrame:
     return sales_from_order_lines(spark, folder, p.start, p.end, **options)
@@ -86,8 +90,7 @@ def _amounts(name: str, p: Params):
 
 def _candidate_months(p: Params):
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        sales = _sales(spark, folder, p)
-        return a16_candidate_monthly_sales(sales, p, a15_ccz_priority_candidates(sales, p))
+        return candidate_months(_sales(spark, folder, p), p)
 
     return run
 
@@ -214,6 +217,34 @@ def _redelivered(rows):
     return run
 
 
+def _published_day(spark: SparkSession, folder: str):
+    """A published table after a whole load, a load that stops before it is published, and the load of one day."""
+    work = _new_folder(spark)
+    table = maintained_table(spark, f"{work}/sales")
+    land(day_deliveries(spark, folder), f"{work}/first", "1")
+    land(_corrected(spark, folder), f"{work}/second", "1")
+    backfill(spark, f"{work}/first", table, *EVENT_DAYS)
+    table.stage(typed(read_landing(spark, f"{work}/second")).where("purchase_date = date"))
+    load_day(spark, f"{work}/second", table, date(2024, 1, 10))
+    return table
+
+
+def _maintained(name: str, p: Params):
+    """A report from the daily totals of a published table of which one day was delivered again."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        table = maintained_table(spark, f"{_new_folder(spark)}/sales")
+        sales = _sales(spark, folder, p)
+        again = F.col("purchase_date") == F.lit(date(1997, 2, 3))
+        wrong = F.when(again, F.col("quantity") * 3).otherwise(F.col("quantity"))
+        table.replace(sales.withColumn("quantity", wrong))
+        table.replace(sales.where(again))
+        found = REPORTS[name](MaintainedSales(table), p)
+        return found.withColumns({c: half_up(F.col(c), 6) for c in INTERPOLATED.get(name, ())})
+
+    return run
+
+
 def _quarantined_rows(spark: SparkSession, folder: str) -> DataFrame:
     work = _new_folder(spark)
     land(day_deliveries(spark, folder), f"{work}/landing", "1")
@@ -260,6 +291,19 @@ def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | No
     for name in ("a01_abc_product_scores", "a08_cv_distribution", "a10_abc_xyz_segments", "c03_rfm_percentiles"):
         found[name + "__sliced"] = (_report(name, sliced), Oracle(sliced).reports()[name])
 
+    quarter = Oracle(QUARTER).reports()
+    for name in (
+        "a06_xyz_product_scores",
+        "a10_abc_xyz_segments",
+        "a12_discount_bands",
+        "c01_customer_metrics",
+        "c07_cohort_retention",
+        "c11_retention_revenue",
+        "c14_time_to_second_day",
+        "m1_amount_check",
+    ):
+        found[f"{name}__maintained"] = (_maintained(name, QUARTER), quarter[name])
+
     oracle = Oracle(WHOLE)
     found["a16_candidate_monthly_sales__listed"] = (_listed_months(WHOLE), oracle.listed_months(LISTED))
     for name, text in oracle.blocks().items():
@@ -282,6 +326,9 @@ def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | No
             lambda spark, folder: _corrected(spark, folder).where("event_type <> 'click' and date < date'2024-01-15'")
         ),
         "snk1_quarantined_rows": _quarantined_rows,
+        "snk2_published_day": lambda spark, folder: _stored(spark, _published_day(spark, folder).path),
+        "snk5_published": lambda spark, folder: _published_day(spark, folder).load_range(),
+        "snk6_published": lambda spark, folder: _published_day(spark, folder).rows_per_day(*EVENT_DAYS),
         "snk5_load_range": lambda spark, folder: load_range(_sales(spark, folder, WHOLE)),
         "snk6_rows_per_day": lambda spark, folder: rows_per_day(
             _sales(spark, folder, WHOLE), WHOLE.start, WHOLE.end

@@ -24,7 +24,6 @@ def client_months(sales: DataFrame, p: Params, end: date | None = None) -> DataF
     period has months.
     """
     day = F.col("purchase_date")
-    too_long = F.raise_error(F.concat(F.lit("gender has more than one letter: "), "gender")).cast("int")
     return (
         base_sales(sales, p, end)
         .groupBy("client_id", month_index(day, p.first_month).alias("month"))
@@ -32,13 +31,21 @@ def client_months(sales: DataFrame, p: Params, end: date | None = None) -> DataF
             F.bit_or(F.expr("shiftleft(1L, day(purchase_date))")).alias("days"),
             F.min(day).alias("first_day"),
             F.max(day).alias("last_day"),
-            F.max(F.when(F.length("gender") > 1, too_long).otherwise(F.ascii("gender"))).alias("letter"),
-            F.sum(F.col("quantity").cast("bigint")).alias("units"),
-            F.sum(cents(F.col("total_price"))).alias("cents"),
+            *client_totals(),
         )
     )
 
 
+def client_totals() -> list[Column]:
+    """What clients bought, and the code point of their letter, from sales rows."""
+    too_long = F.raise_error(F.concat(F.lit("gender has more than one letter: "), "gender")).cast("int")
+    return [
+        F.max(F.when(F.length("gender") > 1, too_long).otherwise(F.ascii("gender"))).alias("letter"),
+        F.sum(F.col("quantity").cast("bigint")).alias("units"),
+        F.sum(cents(F.col("total_price"))).alias("cents"),
+    ]
+
+
 def client_metrics(sales: DataFrame, p: Params) -> DataFrame:
     """One row per client: gender, first and last day, active days, units, revenue, recency."""
     return (

@@ -5,36 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartlens.functions.numbers import correlation, half_up, percent, sum_money
+from cartlens.functions.numbers import correlation, half_up, money, percent
 from cartlens.operators.clients import client_metrics
-from cartlens.operators.facts import base_sales, share_of_total
+from cartlens.operators.facts import amount_gap, amount_totals, base_sales, share_of_total
 from cartlens.operators.products import abc_xyz_products, product_metrics, product_months, with_dual_class
+from cartlens.operators.shared import shared
 from cartlens.params import Params
 
 
 def m1_amount_check(sales: DataFrame, p: Params) -> DataFrame:
     """How many rows break total = (price - discount) * quantity, and by how much."""
-    off = F.col("gap") != 0
-    return (
-        base_sales(sales, p)
-        .select(_amount_gap().alias("gap"))
-        .agg(
-            F.count("*").alias("rows_count"),
-            F.count_if(off | F.col("gap").isNull()).alias("broken_rows"),
-            half_up(sum_money(F.abs("gap")), 2).alias("total_gap"),
-            F.max(F.abs("gap")).cast("double").alias("largest_gap"),
-        )
+    return amount_totals_of_period(sales, p).select(
+        "rows_count",
+        "broken_rows",
+        half_up(money(F.col("gap_cents")), 2).alias("total_gap"),
+        F.col("largest_gap").cast("double").alias("largest_gap"),
     )
 
 
-def _amount_gap():
-    expected = (F.col("price_per_item") - F.col("discount_per_item")) * F.col("quantity")
-    return F.col("total_price").cast("decimal(18,2)") - expected.cast("decimal(18,2)")
+@shared
+def amount_totals_of_period(sales: DataFrame, p: Params) -> DataFrame:
+    return base_sales(sales, p).withColumn("gap", amount_gap()).agg(*amount_totals())
 
 
 def m1_broken_rows(sales: DataFrame, p: Params) -> DataFrame:
     """The rows counted by `m1_amount_check`."""
-    return base_sales(sales, p).where((_amount_gap() != 0) | _amount_gap().isNull())
+    return base_sales(sales, p).where((amount_gap() != 0) | amount_gap().isNull())
 
 
 def m2_product_reach(sales: DataFrame, p: Params) -> DataFrame:

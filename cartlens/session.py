@@ -6,7 +6,6 @@ import atexit
 import os
 import shutil
 import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,8 +56,13 @@ def freeze(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def store(df: DataFrame) -> DataFrame:
-    """Like `freeze`, as Parquet in the shared folder: a later step reads the columns it needs."""
-    path = f"{shared_folder(df.sparkSession)}/block-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def store(df: DataFrame, folder: str) -> DataFrame:
+    """Like `freeze`, as Parquet in a folder of its own: a later step reads the columns it needs."""
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Delete a folder, wherever it lies."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -11,9 +11,10 @@ Rules, per requested day:
 - a day without rows is reported as empty and keeps its old rows;
 - rows that carry another date than the requested one are kept out.
 
-The write is one job over many days. It is not a transaction, neither across days nor for one: a
+The write is one job over many days. With a PublishedSales as the table, all days of a load change at once or not at all, and
+a load that another one has overtaken stops. With a plain folder it is not a transaction, neither across days nor for one: a
 crash between the removal of a day's old files and the move of its new ones loses the day until the
-load is run again, which restores it from the landing. Two loads of the same day must not run at once.
+load is run again, which restores it from the landing; two loads of the same day must not run at once there.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartlens.session import freeze, shared_folder
+from cartlens.sources.published import PublishedSales
 from cartlens.sources.sales import write_sales
 from cartlens.sources.schema import LANDED, LANDED_FIELDS, SALES
 
@@ -183,13 +185,14 @@ def drop_status(staged: DataFrame) -> DataFrame:
     )
 
 
-def replace_days(landed: DataFrame, table: str, quarantine: str | None = None) -> DataFrame:
+def replace_days(landed: DataFrame, table: str | PublishedSales, quarantine: str | None = None) -> DataFrame:
     """Load every day found in `landed`; returns the status per day.
 
     The text is parsed once into a staged copy, so that judging and writing see
     the same rows even if a file changes meanwhile.
     """
     spark = landed.sparkSession
+    started = table.version() if isinstance(table, PublishedSales) else None
     folder = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
     try:
         typed(landed).write.parquet(folder)
@@ -197,7 +200,6 @@ def replace_days(landed: DataFrame, table: str, quarantine: str | None = None) -
         status = freeze(drop_status(staged))
         days = status.where("drop is not null").select("date", "drop")
         chosen = staged.join(days, ["date", "drop"], "left_semi")
-        write_sales(chosen.where(F.col("purchase_date") == F.col("date")), table)
         if quarantine is not None:
             (
                 chosen.where(F.col("purchase_date") != F.col("date"))
@@ -207,6 +209,11 @@ def replace_days(landed: DataFrame, table: str, quarantine: str | None = None) -
                 .partitionBy("date")
                 .parquet(quarantine)
             )
+        rows = chosen.where(F.col("purchase_date") == F.col("date"))
+        if started is None:
+            write_sales(rows, table)
+        else:
+            table.replace(rows, started)
     finally:
         files, path = _file_system(spark, folder)
         files.delete(path, True)
@@ -216,7 +223,7 @@ def replace_days(landed: DataFrame, table: str, quarantine: str | None = None) -
 def backfill(
     spark: SparkSession,
     landing: str,
-    table: str,
+    table: str | PublishedSales,
     start: date,
     end: date,
     array: bool = False,
@@ -241,7 +248,7 @@ def requested_days(spark: SparkSession, start: date, end: date) -> DataFrame:
     return steps.select(F.date_add(F.lit(start), F.col("id").cast("int")).alias("date"))
 
 
-def load_day(spark: SparkSession, landing: str, table: str, day: date | None = None, **options) -> DataFrame:
+def load_day(spark: SparkSession, landing: str, table: str | PublishedSales, day: date | None = None, **options) -> DataFrame:
     """Load one day, yesterday by default. Raises when the day could not be loaded."""
     day = day or date.today() - timedelta(days=1)
     status = backfill(spark, landing, table, day, day, **options)

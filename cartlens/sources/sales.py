@@ -7,15 +7,17 @@ from datetime import date, datetime, time
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartlens.sources.published import PublishedSales
 from cartlens.sources.schema import SALES
 
-
 ORDERS = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderdate timestamp_ntz"
 LINES = "l_orderkey bigint, l_partkey bigint, l_quantity double, l_extendedprice double, l_discount double"
 
 
 def read_sales(spark: SparkSession, path: str) -> DataFrame:
-    """The stored table: parquet in one folder per purchase_date."""
+    """The stored table: parquet in one folder per purchase_date, or the last version of a published one."""
+    if PublishedSales.exists(spark, path):
+        return PublishedSales(spark, path).read()
     return spark.read.schema(SALES).parquet(path)
 
 

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from cartlens.sources.landing import read_days, replace_days, stream_landing
+from cartlens.sources.published import PublishedSales
 
 
 def start_daily_ingest(
     spark: SparkSession,
     landing: str,
-    table: str,
+    table: str | PublishedSales,
     checkpoint: str,
     status: str | None = None,
     array: bool = False,

@@ -454,7 +454,15 @@ class Oracle:
         corrected = " AND event_type <> 'error' AND value <> 0"
         whole = delivery + stored + corrected
         stray = stored.replace("SELECT user_id", "SELECT sent AS date, '1' AS drop, user_id").replace("own = sent", "own <> sent")
+        day = "DATE '2024-01-10'"
+        published = delivery + stored + f" AND (sent = {day}{corrected} OR sent <> {day}{spoiled})"
         return {
+            "snk2_published_day": published,
+            "snk5_published": f"""
+                SELECT MIN(purchase_date) AS min_date, MAX(purchase_date) AS max_date, COUNT(*) AS rows_count FROM ({published})""",
+            "snk6_published": f"""
+                SELECT purchase_date, COUNT(*) AS rows_count FROM ({published})
+                WHERE purchase_date < DATE '2024-02-01' GROUP BY purchase_date""",
             "str1_split_drop": whole,
             "str1_late_older_drop": whole,
             "snk1_numeric_drops": whole,
