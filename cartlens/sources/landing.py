@@ -22,13 +22,14 @@ from __future__ import annotations
 import uuid
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cartlens.session import freeze, shared_folder
+from cartlens.sources.arrays import read_arrays
 from cartlens.sources.published import PublishedSales
 from cartlens.sources.sales import write_sales
-from cartlens.sources.schema import LANDED, LANDED_FIELDS, SALES
+from cartlens.sources.schema import LANDED, LANDED_FIELDS, RECORD, SALES
 
 # Number ranges of the stored columns.
 WHOLE_NUMBERS = {
@@ -45,21 +46,23 @@ def read_landing(
     spark: SparkSession, landing: str, array: bool = False, start: date | None = None, end: date | None = None
 ) -> DataFrame:
     """All landed rows, or those of the days from `start` to `end`, whose folders alone are listed."""
-    reader = _reader(spark.read, array).option("basePath", landing)
     if start is None:
-        return reader.json(landing)
-    return _rows_of(spark, reader, landing, lambda day: start <= day <= end)
+        return _rows_of(spark, landing, array, lambda day: True)
+    return _rows_of(spark, landing, array, lambda day: start <= day <= end)
 
 
 def read_days(spark: SparkSession, landing: str, days: set[date], array: bool = False) -> DataFrame:
     """Everything that has landed for the given days."""
-    reader = _reader(spark.read, array).option("basePath", landing)
-    return _rows_of(spark, reader, landing, days.__contains__)
+    return _rows_of(spark, landing, array, days.__contains__)
 
 
-def _rows_of(spark: SparkSession, reader, landing: str, wanted) -> DataFrame:
+def _rows_of(spark: SparkSession, landing: str, array: bool, wanted) -> DataFrame:
     paths = [f"{landing}/{name}" for name, day in _day_folders(spark, landing) if wanted(day)]
-    return reader.json(paths) if paths else spark.createDataFrame([], LANDED)
+    if not paths:
+        return spark.createDataFrame([], LANDED)
+    if array:
+        return read_arrays(spark, paths, landing, RECORD, "date date, drop string").select(*LANDED.names)
+    return _reader(spark.read).option("basePath", landing).json(paths)
 
 
 def _day_folders(spark: SparkSession, landing: str) -> list[tuple[str, date]]:
@@ -79,13 +82,15 @@ def _file_system(spark: SparkSession, folder: str):
 
 
 def stream_landing(spark: SparkSession, landing: str, array: bool = False) -> DataFrame:
-    return _reader(spark.readStream, array).json(landing)
+    # A batch of arrays only tells which days are touched, so the files need not be parsed.
+    if array:
+        return spark.readStream.schema("value string, date date, drop string").text(landing)
+    return _reader(spark.readStream).json(landing)
 
 
-def _reader(reader, array: bool):
+def _reader(reader):
     return (
         reader.schema(LANDED)
-        .option("multiLine", array)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt_record")
     )
@@ -104,11 +109,14 @@ def land(rows: DataFrame, landing: str, drop: str) -> None:
 
 
 def land_arrays(rows: DataFrame, landing: str, drop: str) -> None:
-    """Like `land`, with the whole day in one file that holds one JSON array."""
+    """Like `land`, with the whole day in one file that holds one JSON array, which one task writes object by object."""
     coming = f"{landing}/_coming-{uuid.uuid4().hex}"
+    day = Window.partitionBy("date").orderBy("json")
+    begins = F.when(F.row_number().over(day) == 1, "[").otherwise(",")
+    ends = F.when(F.lead("json").over(day).isNull(), "]").otherwise("")
     (
-        rows.groupBy("date", F.lit(drop).alias("drop"))
-        .agg(F.to_json(F.collect_list(F.struct(*LANDED_FIELDS))).alias("value"))
+        rows.select("date", F.to_json(F.struct(*LANDED_FIELDS)).alias("json"))
+        .select("date", F.lit(drop).alias("drop"), F.concat(begins, "json", ends).alias("value"))
         .write.partitionBy("date", "drop")
         .text(coming)
     )

@@ -33,8 +33,9 @@ LANDED_FIELDS = (
 
 # Everything is read as text, so that one bad value is seen and judged instead of
 # being nulled by the reader. `date` and `drop` come from the folder names.
+RECORD = T.StructType([T.StructField(name, T.StringType()) for name in LANDED_FIELDS])
 LANDED = T.StructType(
-    [T.StructField(name, T.StringType()) for name in LANDED_FIELDS]
+    RECORD.fields
     + [
         T.StructField("_corrupt_record", T.StringType()),
         T.StructField("date", T.DateType()),
