@@ -7,7 +7,7 @@ from datetime import date, datetime, time
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartlens.sources.published import PublishedSales
+from cartlens.sources.published import PublishedSales, sales_files
 from cartlens.sources.schema import SALES
 
 ORDERS = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderdate timestamp_ntz"
@@ -27,14 +27,8 @@ def write_sales(sales: DataFrame, path: str) -> None:
     The rebalance hint lets adaptive execution cut a very large day into several
     files and merge small ones.
     """
-    (
-        sales.select(*SALES.names)
-        .hint("rebalance", "purchase_date")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("purchase_date")
-        .parquet(path)
-    )
+    writer = sales_files(sales.select(*SALES.names).hint("rebalance", "purchase_date"))
+    writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def load_range(sales: DataFrame) -> DataFrame:

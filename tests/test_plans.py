@@ -56,6 +56,19 @@ def test_a_client_is_shuffled_once_for_retention(plans):
     assert plans["c07_cohort_retention"].count("Exchange") == 7
 
 
+def test_buyers_are_counted_without_distinct_pairs(plans):
+    """What is shuffled for buyers is keyed by words of clients, and combined before."""
+    text = plans["m2_product_reach"]
+    assert text.count("partial_bit_or") == 2
+    assert not re.search(r"keys=\[product_id#\d+L?, client_id#\d+L?\]", text)
+
+
+def test_class_cuts_do_not_sort_the_products(plans):
+    """Only the few rows of the result are range-partitioned, by their class."""
+    for name in ("a02_abc_summary", "a04_dual_abc_summary", "m6_dual_abc_shares"):
+        assert set(re.findall(r"rangepartitioning\((\w+)#", plans[name])) <= {"abc_class"}, name
+
+
 def test_rank_limit_runs_before_the_shuffle(plans):
     assert re.search(r"WindowGroupLimit .*Partial", plans["c14_time_to_second_day"])
 
