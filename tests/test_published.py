@@ -124,6 +124,18 @@ def test_counts_come_from_the_manifest(spark, place):
     assert table.rows_per_day(D1, D3).collect() == rows_per_day(table.read(), D1, D3).collect()
 
 
+def test_counts_of_a_plain_table_come_from_footers(spark, place):
+    """No column is read for the range and the rows per day of a stored table: days are folder names, rows stand in footers."""
+    landing, path = place
+    put(landing, D1, "1", [record(1, D1), record(2, D1)])
+    put(landing, D3, "1", [record(3, D3)])
+    backfill(spark, str(landing), path, D1, D3)
+    sales = read_sales(spark, path)
+    for frame, expected in ((load_range(sales), [(D1, D3, 3)]), (rows_per_day(sales, D1, D3), [(D1, 2)])):
+        assert [tuple(r) for r in frame.collect()] == expected
+        assert "ReadSchema: struct<>" in frame._jdf.queryExecution().executedPlan().toString()
+
+
 def test_vacuum_keeps_what_versions_name_and_what_is_new(spark, place):
     landing, path = place
     table = maintained_table(spark, path)
