@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartlens.session import shared_folder
+from cartlens.session import delete, shared_folder
 
 # Rows of one Arrow batch. A batch of whole texts lies in memory three times: as rows, as the JVM's buffers, and in the worker.
 ROWS_PER_BATCH = 1000
@@ -23,9 +24,26 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ROWS_PER_BATCH))
 
 
+_recorders: list[list[str]] = []
+
+
 def new_folder(spark: SparkSession, what: str) -> str:
     """An unused folder in the shared one."""
-    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    for made in _recorders:
+        made.append(folder)
+    return folder
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The folders that are named inside."""
+    made: list[str] = []
+    _recorders.append(made)
+    try:
+        yield made
+    finally:
+        _recorders.remove(made)
 
 
 def kept(df: DataFrame, what: str) -> DataFrame:
@@ -36,12 +54,20 @@ def kept(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop(df: DataFrame) -> None:
-    """Delete what `kept` wrote for `df`."""
-    spark = df.sparkSession
-    for place in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(place)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def drop(*frames: DataFrame) -> None:
+    """Delete what `kept` wrote for each of the frames, which have had their last reader."""
+    for df in frames:
+        for place in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            delete(df.sparkSession, place)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Let go of the shuffle files and checkpoints of frames that nobody holds any more.
+
+    Spark deletes them when the driver's garbage collection finds their frames unused, which a driver with much free memory puts
+    off while the executors' disks fill."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 @contextmanager
