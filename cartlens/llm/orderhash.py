@@ -9,13 +9,15 @@
 3. Rows (sketch number, sketch) are sorted over all partitions, those of one sketch by their following sketches, and
    each is paired with the one before it: as many pairs as rows, and a sketch that very many documents share is
    cut like any other stretch of the order.
-4. Pairs are verified by banded alignment of whole texts: similarity = 1 - edits / words of the longer text, with edits
-   of single words; SIMILARITY or more is a link. First each document's likeliest partner is tried, then every
-   remaining pair of neighbours whose ends are not yet in one class.
+4. Numbers of words, and of two-word runs in bins (an edit changes two runs at most), bound the edits of a pair from below; they rule
+   out most pairs, and never a link, before any text moves. Rows move only if their id is set in a bitmap of the ids asked for, which
+   lets a few others pass; joins then are exact. The others are verified by banded alignment of whole texts: similarity = 1 - edits / words of the
+   longer text, with edits of single words; SIMILARITY or more is a link. First each document's likeliest partner is tried,
+   then every remaining pair of neighbours whose ends are not yet in one class.
 5. Where a sketch of three or more documents still spans several classes, all of its documents meet: they are cut into blocks
-   of about BLOCK rows and WORDS words, and each pair of blocks is work of its own. Pairs whose ends are in one class by now are
-   skipped, and counts of words in BINS bins rule out most others (they never rule out a link). Tasks return only
-   links that connect, at most one less than they have documents. Classes are connected components.
+   of about BLOCK rows and WORDS words, and each pair of blocks is work of its own. Rows stand by size, so only those of sizes
+   that may be a link are paired; pairs whose ends are in one class by now are skipped, and bins rule out most others. Tasks return
+   only links that connect, at most one less than they have documents. Classes are connected components.
 
 Cases: texts that are null, empty or only white space are alone; a text of fewer words than SHINGLE is one run; copies and repeated
 rows share a class; rows with a null id are alone, with a null class; ties go to the smaller id; an empty table gives
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartlens.llm.components import components
-from cartlens.llm.storage import bound_batches, kept
+from cartlens.llm.storage import bound_batches, drop, kept, sweep
 from cartlens.llm.text import _LOWER, mixed, ragged, range_hashes, slices, utf8, words
 
 SHINGLE = 2
@@ -44,13 +46,17 @@ SKETCHES = 32
 PICKED = 2
 # Texts with at most so many words have a key for every way to leave out as many words as a link may.
 SHORT = 14
-# Cells of one batch of alignments.
+# Up to so many edits a band is held in the bits of a number; wider ones are arrays, CELLS of one batch at a time.
+BAND = 4096
 CELLS = 400_000
 # Documents and words of one block of a sketch that many share, and pairs that are looked at together.
-BLOCK = 512
+BLOCK = 4096
 WORDS = 2_000_000
 PAIRS = 1 << 15
 BINS = 256
+# Bins for the runs of a short text, and bits of the largest bitmap of ids that goes to all tasks (16 MB).
+RUN_BINS = 512
+BITS = 1 << 27
 
 _TOP = np.uint64(2**64 - 1)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -134,6 +140,44 @@ def short_keys(hashes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.n
     return np.concatenate(keys), np.concatenate(texts)
 
 
+def bags(hashes: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """How many words of each text fall into each of BINS bins, up to 255."""
+    n = len(places) - 1
+    at = np.repeat(np.arange(n), np.diff(places)) * BINS + (hashes % np.uint64(BINS)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=n * BINS), 255).astype(np.uint8).reshape(n, BINS)
+
+
+def run_bins(n: np.ndarray) -> np.ndarray:
+    """How many bins the two-word runs of a text of n words are counted in: a power of two that grows with the text."""
+    return RUN_BINS << np.clip(np.ceil(np.log2(np.maximum(n, 1) / RUN_BINS)), 0, 5).astype(np.int64)
+
+
+def run_bags(hashes: np.ndarray, places: np.ndarray) -> list[bytes]:
+    """How many two-word runs of each text fall into each of its bins, up to 255."""
+    n = np.diff(places)
+    bins = run_bins(n)
+    ends = np.cumsum(bins)
+    begins = ends - bins
+    text = np.repeat(np.arange(len(n)), n)
+    inside = np.flatnonzero(text[1:] == text[:-1])
+    of = text[inside]
+    at = begins[of] + (mixed(hashes[inside] * _STEP + hashes[inside + 1]) & (bins[of] - 1).astype(np.uint64)).astype(np.int64)
+    found = np.minimum(np.bincount(at, minlength=int(ends[-1]) if len(ends) else 0), 255).astype(np.uint8).tobytes()
+    return [found[a:b] for a, b in zip(begins.tolist(), ends.tolist())]
+
+
+def _possible_pair(left: bytes, right: bytes, n_left: int, n_right: int) -> bool:
+    """Whether two texts may be a link: an edit changes two runs at most, so a link has this many in common."""
+    a, b = np.frombuffer(left, np.uint8), np.frombuffer(right, np.uint8)
+    most = max(n_left, n_right)
+    # Runs beyond the counts of a byte might all be common.
+    spare = min(max(n_left - 1, 0) - int(a.sum(dtype=np.int64)), max(n_right - 1, 0) - int(b.sum(dtype=np.int64)))
+    if len(a) != len(b):
+        size = min(len(a), len(b))
+        a, b = (x.reshape(-1, size).sum(axis=0, dtype=np.int64) for x in (a, b))
+    return most - 1 - int(np.minimum(a, b).sum(dtype=np.int64)) - spare <= 2 * int(_limits(most))
+
+
 def sketch_rows(texts: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """doc_id, n (words), h1 and h2 (a hash of all words) and sketches, followed by short keys, of every row with words and an id."""
 
@@ -161,8 +205,9 @@ def sketch_rows(texts: DataFrame, id_column: str, text_column: str) -> DataFrame
     )
 
 
-def _neighbours(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of neighbours in the order of all sketches, with the sketch (j, sketch) that puts them side by side."""
+def _neighbours(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of neighbours in the order of all sketches, with the sketch (j, sketch) that puts them side by side, and their words (na, nb);
+    and the kept table that they are read from."""
     # Keys of short texts stand behind the sketches and share a number.
     spread = rows.select("doc_id", "n", "sketches", F.posexplode("sketches").alias("j", "sketch")).selectExpr(
         f"least(j, {SKETCHES}) as j", "sketch", f"sketches[(j + 1) % {SKETCHES}] as next", f"sketches[(j + 2) % {SKETCHES}] as later", "n", "doc_id"
@@ -171,31 +216,30 @@ def _neighbours(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        before, names = None, ["a", "b", "part", "j", "sketch", "end"]
+        before, names = None, ["a", "b", "na", "nb", "part", "j", "sketch", "end"]
         first = None
 
         def mark(row, end):
-            j, sketch, doc = row
-            return pa.RecordBatch.from_arrays(
-                [pa.array([doc]), pa.array([doc]), pa.array([part], pa.int32()), pa.array([j], pa.int32()), pa.array([sketch]), pa.array([end], pa.int32())],
-                names,
-            )
+            j, sketch, doc, n = row
+            numbers = [pa.array([part], pa.int32()), pa.array([j], pa.int32()), pa.array([sketch]), pa.array([end], pa.int32())]
+            return pa.RecordBatch.from_arrays([pa.array([doc]), pa.array([doc]), pa.array([n]), pa.array([n]), *numbers], names)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            j, sketch, doc = (batch.column(c).to_numpy() for c in ("j", "sketch", "doc_id"))
+            columns = [batch.column(c).to_numpy() for c in ("j", "sketch", "doc_id", "n")]
             if before is None:
-                first = (int(j[0]), int(sketch[0]), int(doc[0]))
+                first = tuple(int(c[0]) for c in columns)
             else:
-                j, sketch, doc = np.append(before[0], j), np.append(before[1], sketch), np.append(before[2], doc)
-            before = (int(j[-1]), int(sketch[-1]), int(doc[-1]))
+                columns = [np.append(was, c) for was, c in zip(before, columns)]
+            before = tuple(int(c[-1]) for c in columns)
+            j, sketch, doc, n = columns
             same = np.flatnonzero((j[1:] == j[:-1]) & (sketch[1:] == sketch[:-1]) & (doc[1:] != doc[:-1]))
-            a, b = np.minimum(doc[same], doc[same + 1]), np.maximum(doc[same], doc[same + 1])
-            empty = np.zeros(len(same), np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(a), pa.array(b), pa.array(empty), pa.array(j[same].astype(np.int32)), pa.array(sketch[same]), pa.array(empty)], names
-            )
+            low = np.where(doc[same] < doc[same + 1], same, same + 1)
+            high = 2 * same + 1 - low
+            empty = pa.array(np.zeros(len(same), np.int32))
+            pair = [pa.array(doc[low]), pa.array(doc[high]), pa.array(n[low]), pa.array(n[high])]
+            yield pa.RecordBatch.from_arrays([*pair, empty, pa.array(j[same].astype(np.int32)), pa.array(sketch[same]), empty], names)
         if first is not None:
             yield mark(first, 1)
             yield mark(before, 2)
@@ -203,19 +247,78 @@ def _neighbours(rows: DataFrame) -> DataFrame:
     found = kept(
         spread.repartitionByRange(*order)
         .sortWithinPartitions(*order)
-        .select("j", "sketch", "doc_id")
-        .mapInArrow(run, "a bigint, b bigint, part int, j int, sketch bigint, end int"),
+        .select("j", "sketch", "doc_id", "n")
+        .mapInArrow(run, "a bigint, b bigint, na bigint, nb bigint, part int, j int, sketch bigint, end int"),
         "neighbours",
     )
     # Two rows for each partition: the seams between partitions.
-    seams = found.where("end > 0").selectExpr(
-        "a", "end", "j", "sketch",
-        "lag(a) over (order by part, end) as before", "lag(j) over (order by part, end) as j0", "lag(sketch) over (order by part, end) as s0",
+    seams = found.where("end > 0").selectExpr("*", "lag(struct(a as doc, na as n, j, sketch)) over (order by part, end) as before")
+    seams = seams.where("end = 1 and j = before.j and sketch = before.sketch and a <> before.doc").selectExpr(
+        "least(a, before.doc) as a", "greatest(a, before.doc) as b",
+        "if(a < before.doc, na, before.n) as na", "if(a < before.doc, before.n, na) as nb", "j", "sketch",
+    )
+    return found.where("end = 0").select("a", "b", "na", "nb", "j", "sketch").unionAll(seams), found
+
+
+def _bits(ids: DataFrame) -> tuple[np.ndarray, int]:
+    """A bitmap in which the places of all ids are set, and its size. It has 16 bits an id or more up to BITS, so it stays small
+    whatever the number of ids; where they are too many for it, it lets more others pass."""
+    size = 1 << min(max(int(16 * ids.count()), 1 << 15).bit_length(), BITS.bit_length() - 1)
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(size))
+    rows = (
+        ids.select(place.alias("place"))
+        .groupBy(F.expr("place div 32768").alias("k"))
+        .agg(F.expr("bitmap_construct_agg(place % 32768)").alias("bits"))
+        .collect()
     )
-    seams = seams.where("end = 1 and j = j0 and sketch = s0 and a <> before").selectExpr(
-        "least(a, before) as a", "greatest(a, before) as b", "j", "sketch"
-    )
-    return found.where("end = 0").select("a", "b", "j", "sketch").unionAll(seams)
+    found = np.zeros(size // 8, np.uint8)
+    for row in rows:
+        found[row["k"] * 4096 : (row["k"] + 1) * 4096] = np.frombuffer(row["bits"], np.uint8)
+    return found, size
+
+
+def _among(rows: DataFrame, ids: DataFrame, step=None, schema: str | None = None) -> DataFrame:
+    """Rows whose doc_id is among `ids`, and a few others, without an exchange; `step` is applied to their batches in the same pass."""
+    spark = rows.sparkSession
+    bits, size = _bits(ids)
+    shared = spark.sparkContext.broadcast(bits)
+    columns = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def passing():
+            for batch in batches:
+                place = batch.column("place").to_numpy()
+                inside = shared.value[place >> 3] >> (place & 7).astype(np.uint8) & 1
+                yield batch.select(columns).filter(pa.array(inside.astype(bool)))
+
+        return passing() if step is None else step(passing())
+
+    placed = rows.where("doc_id is not null").withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(size)))
+    return placed.mapInArrow(run, schema or rows.schema)
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+
+
+def _both(pairs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
+    """Pairs (a, b, ...) with the columns of both ends, as <column>_a and <column>_b."""
+    here = _among(rows.select("doc_id", *columns), _ends(pairs))
+    for end in ("a", "b"):
+        pairs = pairs.join(here.select(F.col("doc_id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns]).hint("merge"), end)
+    return pairs
+
+
+def _possible(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Those of `pairs` (a, b, shared) whose runs allow a link. Counts of runs move, not texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("runs_a", "runs_b", "n_a", "n_b")))
+            near = [_possible_pair(*row) for row in rows]
+            yield batch.select(["a", "b", "shared"]).filter(pa.array(near, pa.bool_()))
+
+    return _both(pairs, candidates, "n", "runs").mapInArrow(run, "a bigint, b bigint, shared bigint").distinct()
 
 
 def alignment_distances(pairs: list[tuple[np.ndarray, np.ndarray]], limits: list[int]) -> np.ndarray:
@@ -244,9 +347,18 @@ def alignment_distances(pairs: list[tuple[np.ndarray, np.ndarray]], limits: list
         common = np.minimum(np.bincount(codes[: len(a)], minlength=len(distinct)), np.bincount(codes[len(a) :], minlength=len(distinct))).sum()
         if len(b) - common <= limits[k]:
             todo.append((len(a), k, a, b))
-    todo.sort(key=lambda x: (x[0], x[1]))
     # A narrow band is enough for most; what does not end inside it is aligned again in a wider one.
-    band = 16
+    wide = []
+    for n, k, a, b in todo:
+        band = min(max(64, len(b) - n), limits[k])
+        while (d := _in_band(a, b, band) if band <= BAND else None) is not None and d > band < limits[k]:
+            band = min(4 * band, limits[k])
+        if d is None:
+            wide.append((n, k, a, b))
+        else:
+            found[k] = min(d, limits[k] + 1)
+    todo = sorted(wide, key=lambda x: (x[0], x[1]))
+    band = 4 * BAND
     while todo:
         again, batch, cells = [], [], 0
         for item in [*todo, None]:
@@ -267,6 +379,46 @@ def alignment_distances(pairs: list[tuple[np.ndarray, np.ndarray]], limits: list
     return found
 
 
+def _in_band(a: np.ndarray, b: np.ndarray, reach: int) -> int:
+    """Edit distance of two lists, `a` not longer than `b` and by `reach` at most; reach + 1 if it is more than `reach`.
+
+    The cells of a column that are at most `reach` off the diagonal are the bits of two numbers, which say where the next
+    cell down is one more (`up`) or one less (`down`). The band moves one row down with every column, so the whole column costs a few
+    operations on numbers of 2 * reach + 1 bits. Rows above the first one count back up, which keeps them out of the way."""
+    m, n = len(a), len(b)
+    mask = (1 << 2 * reach + 1) - 1
+    down = (1 << reach) - 1
+    up = mask ^ down
+    score, diagonal, most = 0, 1 << reach, reach + n - m
+    left, right = a.tolist(), b.tolist()
+    for first in range(0, n, BAND):
+        last = min(first + BAND, n)
+        # Places of the words of the rows that these columns can meet.
+        base = max(first - reach, 0)
+        places: dict[int, int] = {}
+        for i, word in enumerate(left[base : last + reach]):
+            places[word] = places.get(word, 0) | 1 << i
+        for j in range(first, last):
+            shift = j - reach - base
+            same = places.get(right[j], 0)
+            if same:
+                same = (same >> shift if shift >= 0 else same << -shift) & mask
+            even = (((same & up) + up) ^ up | same | down) & mask
+            if not even & diagonal:
+                score += 1
+                if score > most:
+                    return reach + 1
+            more = down | mask ^ (even | up)
+            less = even & up
+            even >>= 1
+            up = less | mask ^ (even | more)
+            down = even & more
+    # From the cell on the diagonal back to the last row.
+    rest = (1 << reach) - (1 << reach - (n - m))
+    found = score - (up & rest).bit_count() + (down & rest).bit_count()
+    return min(found, reach + 1)
+
+
 def _banded(batch: list, reach: int) -> np.ndarray:
     """Edit distances of several pairs at once, at most `reach` off the diagonal; larger ones are not exact."""
     size = len(batch)
@@ -298,7 +450,7 @@ def _banded(batch: list, reach: int) -> np.ndarray:
     return found
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
     """Those of `pairs` (a, b) whose texts (doc_id, words) are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,16 +458,14 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 both = [
-                    tuple(np.frombuffer(part.column(c)[k].as_buffer(), "<u4") for c in ("left", "right"))
+                    tuple(np.frombuffer(part.column(c)[k].as_buffer(), "<u4") for c in ("words_a", "words_b"))
                     for k in range(part.num_rows)
                 ]
                 limits = _limits(np.array([max(len(a), len(b)) for a, b in both]))
                 near = alignment_distances(both, limits.tolist()) <= limits
                 yield part.select(["a", "b"]).filter(pa.array(near))
 
-    left = texts.select(F.col("doc_id").alias("a"), F.col("words").alias("left"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("words").alias("right"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(run, "a bigint, b bigint")
+    return _both(pairs.select("a", "b"), candidates, "words").mapInArrow(run, "a bigint, b bigint")
 
 
 def _limits(sizes: np.ndarray | int) -> np.ndarray:
@@ -330,21 +480,28 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def worked(table: pa.Table) -> pa.RecordBatch:
         table = table.combine_chunks()
         get = lambda c: table.column(c).to_numpy()
-        ids, block = get("doc_id"), np.where(get("split"), get("block"), -1)
+        keys = np.stack([get(c) for c in group])
         texts = [np.frombuffer(x.as_buffer(), "<u4") for x in table.column("words")]
         sizes = np.array([len(x) for x in texts])
-        spread = np.stack([np.minimum(np.bincount(x % BINS, minlength=BINS), 255) for x in texts]).astype(np.uint8)
-        # Words beyond the counts of a byte might all be common.
+        # Those of a group stand by size: a row is paired with later ones only as long as they are not too long for a link.
+        order = np.lexsort((get("doc_id"), sizes, *keys[::-1]))
+        keys, sizes, texts = keys[:, order], sizes[order], [texts[k] for k in order]
+        ids, block = get("doc_id")[order], np.where(get("split"), get("block"), -1)[order]
+        flat = np.concatenate(texts).astype(np.uint64)
+        spread = bags(flat, np.append(0, np.cumsum(sizes)))
         beyond = sizes - spread.sum(axis=1, dtype=np.int64)
-        limits = _limits(sizes)
-        _, place = np.unique(get("component"), return_inverse=True)
+        _, place = np.unique(get("component")[order], return_inverse=True)
         name = np.arange(place.max() + 1)
-        keys = np.stack([get(c) for c in group])
         first = np.append(0, np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1)
         lengths = np.diff(np.append(first, len(ids)))
         rows = np.arange(len(ids))
-        # Each row is paired with all later rows of its group, a slice of rows at a time.
-        later = np.repeat(first + lengths, lengths) - rows - 1
+        limits = _limits(sizes)
+        # The largest size of a link's longer text: at most a share of its words may be missing in the shorter one.
+        longest = (sizes / SIMILARITY + 1e-6).astype(np.int64)
+        scale = int(sizes.max()) + 2
+        number = np.repeat(np.arange(len(first)), lengths) * scale
+        stop = np.searchsorted(number + sizes, number + np.minimum(longest, scale - 1), "right")
+        later = stop - rows - 1
         ends = np.cumsum(later)
         found, at = [], 0
         while at < len(rows):
@@ -353,10 +510,9 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             i, j = np.repeat(rows[at:to], later[at:to]), ragged(rows[at:to] + 1, later[at:to])
             at = to
             good = (name[place[i]] != name[place[j]]) & ((block[i] < 0) | (block[i] != block[j]))
-            good &= np.abs(sizes[i] - sizes[j]) <= np.maximum(limits[i], limits[j])
             i, j = i[good], j[good]
             common = np.minimum(spread[i], spread[j]).sum(axis=1, dtype=np.int64) + np.minimum(beyond[i], beyond[j])
-            good = np.maximum(sizes[i], sizes[j]) - common <= np.maximum(limits[i], limits[j])
+            good = sizes[j] - common <= limits[j]
             i, j = i[good], j[good]
             while len(i):
                 here, there = i[:64], j[:64]
@@ -392,21 +548,35 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield worked(held)
 
 
-def _shared(touching: DataFrame, names: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) between different classes (doc_id, component) among all documents that share a sketch."""
+def _crowds(touching: DataFrame) -> DataFrame:
+    """j, sketch, doc_id and n of all documents of the sketches that three or more share. Two are neighbours, and are compared as such;
+    of sketches with the very same documents one is enough."""
     stands = kept(
-        touching.select("j", "sketch", F.explode(F.array("a", "b")).alias("doc_id"))
-        .distinct()
-        .join(names.toDF("doc_id", "component"), "doc_id", "left")
-        .withColumn("component", F.coalesce("component", "doc_id"))
-        .join(texts.selectExpr("doc_id", "length(words) div 4 as n"), "doc_id"),
+        touching.select("j", "sketch", F.inline(F.expr("array(struct(a as doc_id, na as n), struct(b as doc_id, nb as n))"))).distinct(),
         "stands",
     )
-    # Two documents are neighbours, and have been compared.
+    groups = (
+        stands.groupBy("j", "sketch")
+        .agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.sum(F.expr("xxhash64(doc_id, 1) >> 24")).alias("y"))
+        .where("size > 2")
+        .groupBy("size", "x", "y")
+        .agg(F.min(F.struct("j", "sketch")).alias("one"))
+        .select("one.j", "one.sketch")
+    )
+    crowds = kept(stands.join(groups, ["j", "sketch"]), "crowds")
+    drop(stands)
+    return crowds
+
+
+def _shared(crowds: DataFrame, names: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between different classes (doc_id, component) among all documents that share a sketch."""
+    stands = kept(
+        crowds.join(names.toDF("doc_id", "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "stands"
+    )
     useful = (
         stands.groupBy("j", "sketch")
         .agg(F.count("*").alias("size"), F.sum("n").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
-        .where("size > 2 and low <> high")
+        .where("low <> high")
         .selectExpr("j", "sketch", f"cast(least(size, greatest(ceil(size / {BLOCK}), ceil(n / {WORDS}))) as int) as blocks")
     )
     placed = stands.drop("n").join(useful, ["j", "sketch"]).withColumn("block", F.expr("cast(pmod(xxhash64(doc_id, j), blocks) as int)"))
@@ -414,68 +584,91 @@ def _shared(touching: DataFrame, names: DataFrame, texts: DataFrame) -> DataFram
     tiles = F.expr("transform(sequence(0, blocks - 1), x -> cast(least(block, x) as bigint) * blocks + greatest(block, x))")
     placed = placed.withColumn("tile", F.explode(tiles)).withColumn("split", F.expr("tile div blocks <> tile % blocks"))
     order = ["j", "sketch", "tile"]
-    return (
-        placed.join(texts, "doc_id")
+    links = kept(
+        placed.join(_among(texts.select("doc_id", "words"), placed.select("doc_id").distinct()).hint("merge"), "doc_id")
         .select(*order, "block", "split", "doc_id", "component", "words")
         .repartition(*order)
         .sortWithinPartitions(*order, "doc_id")
-        .mapInArrow(_linked, "a bigint, b bigint")
+        .mapInArrow(_linked, "a bigint, b bigint"),
+        "links",
     )
+    drop(stands)
+    return links
 
 
-def classes(texts: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """doc_id, class_id (the smallest id of the class) and kept (it is the smallest) of every row."""
-    bound_batches(texts.sparkSession)
-    all_rows = texts.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
-    rows = kept(sketch_rows(texts, id_column, text_column), "sketches")
-    same = rows.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("first"))
-    firsts = rows.join(same.select("first").distinct(), F.col("doc_id") == F.col("first"), "left_semi")
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text"):
+        hashes, places = word_hashes(batch.column("text"))
+        raw = pa.py_buffer((hashes >> np.uint64(32)).astype("<u4").tobytes())
+        held = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((places * 4).astype(np.int32)), raw])
+        runs = pa.array(run_bags(hashes, places), pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(places)), held, runs], ["doc_id", "n", "words", "runs"])
 
-    touching = kept(_neighbours(firsts), "touching")
-    pairs = kept(touching.groupBy("a", "b").agg(F.count("*").alias("shared")), "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
-    def to_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            hashes, places = word_hashes(batch.column("text"))
-            raw = pa.py_buffer((hashes >> np.uint64(32)).astype("<u4").tobytes())
-            held = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((places * 4).astype(np.int32)), raw])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), held], ["doc_id", "words"])
+def _stars(joined: DataFrame) -> DataFrame:
+    """Components as links, which stand for all links found so far."""
+    return joined.selectExpr("node as a", "component as b")
+
 
+def classes(texts: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """doc_id, class_id (the smallest id of the class) and kept (it is the smallest) of every row.
+
+    The result is a table of its own; the others are deleted after their last reader."""
+    spark = texts.sparkSession
+    bound_batches(spark)
+    all_rows = texts.select(F.col(f"`{id_column}`").cast("bigint").alias("doc_id"), F.col(f"`{text_column}`").alias("text"))
+
+    rows = kept(sketch_rows(texts, id_column, text_column), "sketches")
+    same = kept(rows.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("first")), "same")
+    firsts = rows.select("doc_id", "n", "sketches").join(same.select("first").distinct(), F.col("doc_id") == F.col("first"), "left_semi")
+    touching, sorted_ = _neighbours(firsts)
+    crowds = _crowds(touching)
+    fits = touching.where(f"abs(na - nb) <= cast(floor({1 - SIMILARITY:.9g} * greatest(na, nb) + 1e-6) as bigint)")
+    fitting = kept(fits.groupBy("a", "b").agg(F.count("*").alias("shared")), "fitting")
+    drop(sorted_)
+    sweep(spark)
     candidates = kept(
-        # The ids are a share of all ids, so the same join is asked for at every size.
-        all_rows.join(ends.hint("merge"), "doc_id", "left_semi")
-        .dropDuplicates(["doc_id"])
-        .mapInArrow(to_words, "doc_id bigint, words binary"),
+        _among(all_rows, _ends(fitting).unionAll(crowds.select("doc_id")).distinct(), _words, "doc_id bigint, n bigint, words binary, runs binary"),
         "candidates",
     )
+    pairs = kept(_possible(fitting, candidates), "pairs")
+    drop(fitting)
+    sweep(spark)
+
     both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
-    likeliest = (
+    likeliest = kept(
         both.groupBy("a")
         .agg(F.max(F.struct("shared", (-F.col("b")).alias("b"))).alias("best"))
         .select(F.least("a", -F.col("best.b")).alias("a"), F.greatest("a", -F.col("best.b")).alias("b"))
-        .distinct()
+        .distinct(),
+        "likeliest",
     )
     links = kept(_verified(likeliest, candidates), "links")
-    joined = components(links)
-    names = joined.select(F.col("node"), F.col("component"))
+    joined = kept(components(links), "joined")
     open_ = (
         pairs.join(likeliest, ["a", "b"], "left_anti")
-        .join(names.toDF("a", "ca"), "a", "left")
-        .join(names.toDF("b", "cb"), "b", "left")
+        .join(joined.toDF("a", "ca"), "a", "left")
+        .join(joined.toDF("b", "cb"), "b", "left")
         .where("coalesce(ca, a) <> coalesce(cb, b)")
     )
     more = kept(_verified(open_, candidates), "links")
-    # Stars of a round stand for its links.
-    joined = components(joined.selectExpr("node as a", "component as b").unionAll(more))
-    most = kept(_shared(touching, joined.select("node", "component"), candidates), "links")
-    joined = components(joined.selectExpr("node as a", "component as b").unionAll(most))
+    drop(pairs, likeliest, links)
+    sweep(spark)
+    wider = kept(components(_stars(joined).unionAll(more)), "joined")
+    most = _shared(crowds, wider, candidates)
+    drop(joined, more, crowds, candidates)
+    sweep(spark)
+    joined = components(_stars(wider).unionAll(most))
     by_class = same.join(joined, F.col("first") == F.col("node"), "left").select(
         "h1", "h2", "n", F.coalesce("component", "first").alias("class_id")
     )
-    found = rows.join(by_class, ["h1", "h2", "n"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
-    return (
+    found = rows.select("doc_id", "h1", "h2", "n").join(by_class, ["h1", "h2", "n"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    result = kept(
         all_rows.select("doc_id")
         .join(found, "doc_id", "left")
-        .selectExpr("doc_id", "coalesce(class_id, doc_id) as class_id", "doc_id is null or coalesce(class_id, doc_id) = doc_id as kept")
+        .selectExpr("doc_id", "coalesce(class_id, doc_id) as class_id", "doc_id is null or coalesce(class_id, doc_id) = doc_id as kept"),
+        "classes",
     )
+    drop(rows, same, wider, most)
+    sweep(spark)
+    return result
