@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartlens.llm import bpe, credentials, itq, langid, lexical, mixing, orderhash, packing, pii, quality, topk, turntrie, warc
-from cartlens.llm.storage import new_folder
+from cartlens.llm.storage import bound_batches, new_folder, sweep
 
 
 # Conversations of one group begin alike: with the first turns of the first of them, up to HEADS - 1.
@@ -100,7 +100,9 @@ def language_of_pages(spark: SparkSession, folder: str) -> DataFrame:
 def op8_warc_transactions(spark: SparkSession, folder: str) -> DataFrame:
     archives = new_folder(spark, "warc")
     warc.write_archives(warc.with_types(_table(spark, folder, "pages")), archives)
-    return warc.captures(warc.read_records(spark, archives, with_payload=False)).select(
+    sweep(spark)
+    bound_batches(spark)
+    return warc.captures(warc.read_records(spark, archives)).select(
         F.expr("cast(metadata.fields['captureId'] as bigint)").alias("page_id"),
         F.col("response.payload_bytes").alias("payload_bytes"),
         F.col("response.payload_digest").alias("payload_digest"),

@@ -5,7 +5,8 @@ WARC-Concurrent-To, and a response, or a revisit where a page with a larger id h
 their SHA-1. Spark's text sink writes the archives (records end with two line breaks, as the format asks), gzipped.
 
 Archives are read whole file by whole file and parsed as streams by Content-Length; a file holds at most
-FILE_CAPTURES captures. `captures` joins the records of a transaction through their concurrent-to ids into one nested row.
+FILE_CAPTURES captures. `captures` joins the records of a transaction through their concurrent-to ids into one nested row, in one pass
+over the archives and one aggregation that combines where a transaction's records stand in one file.
 
 Cases: a null payload is empty, a null address gives records without one; a null page id is written without an id and never
 makes another page a revisit; repeated rows are captures of their own, and rows that share the largest id of a payload are all
@@ -202,15 +203,18 @@ def read_records(spark: SparkSession, folder: str, with_payload: bool = True) ->
 
 
 def captures(records: DataFrame) -> DataFrame:
-    """One nested row per transaction: capture_id (record id of its response or revisit), response, request, metadata."""
+    """One nested row per transaction: capture_id (record id of its response or revisit), response, request, metadata.
+
+    The archives are read once: a transaction's records meet under the id that request and metadata name and the response has."""
     columns = [c for c in records.columns if c != "concurrent_to"]
 
-    def part(kinds: tuple[str, ...], key: str, name: str) -> DataFrame:
+    def part(*kinds: str) -> Column:
         # Fields of a map have no order, so the smallest record id chooses.
-        rows = records.where(F.col("type").isin(*kinds)).select(F.col(key).alias("capture_id"), F.struct(*columns).alias(name))
-        return rows.groupBy("capture_id").agg(F.min_by(name, F.col(f"{name}.record_id")).alias(name))
+        return F.min_by(F.struct(*columns), F.when(F.col("type").isin(*kinds), F.col("record_id")))
 
-    found = part(("response", "revisit"), "record_id", "response")
-    for name in ("request", "metadata"):
-        found = found.join(part((name,), "concurrent_to", name), "capture_id", "full")
-    return found
+    capture_id = F.when(F.col("type").isin("response", "revisit"), F.col("record_id")).otherwise(F.col("concurrent_to"))
+    return (
+        records.where(F.col("type").isin("response", "revisit", "request", "metadata"))
+        .groupBy(capture_id.alias("capture_id"))
+        .agg(part("response", "revisit").alias("response"), part("request").alias("request"), part("metadata").alias("metadata"))
+    )
