@@ -121,41 +121,34 @@ class Shard:
         self.sizes = sizes
         self.free = np.ones(n, bool)
 
-    def scores(self, seed: int) -> np.ndarray:
-        """BM25 of every document for the seed's terms; -1 for used ones."""
+    def scores(self, seed: int) -> tuple[np.ndarray, np.ndarray]:
+        """Unused documents that share terms with the seed, and their BM25."""
         terms = self.query[self.query_at[seed] : self.query_at[seed + 1]]
         at = ragged(self.term_at[terms], self.held[terms])
-        found = np.bincount(self.docs[at], self.weights[at], len(self.free))
-        return np.where(self.free, found, -1.0)
+        at = at[self.free[self.docs[at]]]
+        docs, place = np.unique(self.docs[at], return_inverse=True)
+        return docs, np.bincount(place, self.weights[at], len(docs))
 
     def order(self) -> list[int]:
         """All documents, each window's seed followed by its neighbours."""
-        found, filled, ahead, n = [], 0, 0, len(self.free)
+        n, sizes = len(self.free), (self.sizes + 1).tolist()
+        found, filled, ahead = [0], sizes[0], 0
+        self.free[0] = False
         while len(found) < n:
-            if not found:
-                best = 0
-            else:
-                room = WINDOW - filled % WINDOW
-                scores, best = None, -1
-                seed = found[-1]
-                # Neighbours of the seed until its window is full.
-                while room > 0 and len(found) < n:
-                    if scores is None:
-                        scores = self.scores(seed)
-                    best = int(scores.argmax())
-                    if scores[best] <= 0:
-                        while not self.free[ahead]:
-                            ahead += 1
-                        best = ahead
-                    scores[best] = -1.0
-                    self.free[best] = False
-                    found.append(best)
-                    filled += int(self.sizes[best]) + 1
-                    room -= int(self.sizes[best]) + 1
-                continue
-            self.free[best] = False
-            found.append(best)
-            filled += int(self.sizes[best]) + 1
+            room = WINDOW - filled % WINDOW
+            docs, scores = self.scores(found[-1])
+            # Neighbours of the seed until its window is full, the best first; then the next unused documents.
+            neighbours = iter(docs[np.lexsort((docs, -scores))].tolist())
+            while room > 0 and len(found) < n:
+                best = next(neighbours, -1)
+                if best < 0:
+                    while not self.free[ahead]:
+                        ahead += 1
+                    best = ahead
+                self.free[best] = False
+                found.append(best)
+                filled += sizes[best]
+                room -= sizes[best]
         return found
 
 

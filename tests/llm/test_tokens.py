@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import hashlib
 import random
 import zlib
@@ -122,7 +123,9 @@ def test_scores_are_bm25():
     places = np.append(0, np.cumsum([len(x) for x in ids]))
     shard = packing.Shard(np.concatenate(ids), places)
     mean = np.mean([len(x) for x in ids])
-    found = shard.scores(0)
+    found = np.zeros(len(ids))
+    docs, scores = shard.scores(0)
+    found[docs] = scores
     for d, x in enumerate(ids):
         score = 0.0
         for t in set(ids[0].tolist()):
@@ -131,3 +134,34 @@ def test_scores_are_bm25():
             idf = np.log1p((len(ids) - held + 0.5) / (held + 0.5))
             score += idf * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(x) / mean))
         assert np.isclose(found[d], score)
+
+
+def plain_order(shard, n):
+    """Seeds and neighbours, each picked from all documents anew."""
+    free, found, filled = set(range(1, n)), [0], int(shard.sizes[0]) + 1
+    while free:
+        shard.free[:] = [d in free for d in range(n)]
+        scores, room = dict(zip(*(x.tolist() for x in shard.scores(found[-1])))), packing.WINDOW - filled % packing.WINDOW
+        while room > 0 and free:
+            best = max(free, key=lambda d: (scores.get(d, 0.0), -d))
+            free.remove(best)
+            found.append(best)
+            filled += int(shard.sizes[best]) + 1
+            room -= int(shard.sizes[best]) + 1
+    return found
+
+
+def test_order_is_greedy():
+    r = np.random.default_rng(3)
+    ids = [r.integers(1, 400, r.integers(0, 300)) for _ in range(150)] + [np.zeros(0, np.int64)] * 40 + [np.arange(50)] * 5
+    places = np.append(0, np.cumsum([len(x) for x in ids]))
+    expected = plain_order(packing.Shard(np.concatenate(ids), places), len(ids))
+    assert packing.Shard(np.concatenate(ids), places).order() == expected
+
+
+def test_a_shard_of_empty_texts_takes_seconds():
+    n = 1_000_000
+    shard = packing.Shard(np.zeros(0, np.int64), np.zeros(n + 1, np.int64))
+    began = time.time()
+    assert shard.order() == list(range(n))
+    assert time.time() - began < 60
