@@ -2,13 +2,15 @@
 
 1. Four kinds of spans are found by their form (`email`, `ip`, `card`, `phone`). Matches come from regexp_extract_all, their places
    from the lengths of what split leaves between them.
-2. These are the seeds. Tokens with at least four digits outside of seeds are candidates. Every occurrence has lexical patterns: the
-   word before it, and the two words before it (within CONTEXT code points).
+2. These are the seeds. Candidates are what has the shape of a kind without its exact form, outside of seeds: groups of digits joined by
+   spaces, brackets, dots or hyphens, and tokens of letters and digits outside of those, for ip, card and phone; addresses with "at" and "dot" in
+   brackets or words for email. Every occurrence has lexical patterns: the word before it and the two words before it, however
+   far back and whatever stands there.
 3. The graph of patterns and instances is scored ROUNDS times. A pattern's precision for a kind is the mean confidence of its
    distinct instances (seeds: 1 for their own kind, 0 for others); an unseen instance has the mean precision of its
-   other patterns. A pattern is trusted with a precision of PRECISION and SUPPORT distinct seeds or more. Scores are
+   other patterns for the kinds of its shape, 0 for others. A pattern is trusted with a precision of PRECISION and SUPPORT distinct seeds or more. Scores are
    sums per key that combine before the shuffle.
-4. Candidates behind a trusted pattern are reported as `found_<kind>`.
+4. Candidates behind a trusted pattern of their shape are reported as `found_<kind>`.
 
 Patterns are written so that each character is looked at a bounded number of times, however long a run is. One text's spans are
 gathered within its row.
@@ -21,6 +23,7 @@ takes the most precise, ties the first kind; an empty table gives an empty one.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +32,6 @@ from cartlens.llm.storage import kept
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, *(f"found_{k}" for k in BASE))
-CONTEXT = 80
 ROUNDS = 3
 PRECISION = 0.8
 SUPPORT = 5
@@ -40,10 +42,21 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9]){13,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TOKEN = r"(?<!\S)[^\s0-9]*+(?:[0-9][^\s0-9]*+){4,}+(?!\S)"
+# Digits in groups. A match never fails once its first digit is found, so no digit is looked at twice.
+GROUPED = r"(?<![A-Za-z0-9])\(?[0-9]++(?:[\x20().-]{1,3}+[0-9]++)*+"
+_AT, _DOT = (r"\s{0,2}+[\[({<]\s?+" + word + r"\s?+[\])}>]\s{0,2}+" for word in ("at", "dot"))
+_NAME = r"[A-Za-z0-9-]++"
+SPELLED = (
+    r"(?i)(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++"
+    rf"(?:{_AT}{_NAME}(?:(?:{_DOT}|\s{{1,2}}+dot\s{{1,2}}+|\.){_NAME})++|\s{{1,2}}+at\s{{1,2}}+{_NAME}(?:\s{{1,2}}+dot\s{{1,2}}+{_NAME})++)"
+)
+LEAST_DIGITS, MOST_DIGITS = 7, 19
+# The kinds that each shape of candidates can be.
+SHAPES = {"grouped": ("ip", "card", "phone"), "token": ("ip", "card", "phone"), "spelled": ("email",)}
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 
 SPAN = "struct<kind: string, start: bigint, end: bigint>"
-PLACE = "struct<start: bigint, end: bigint, value: string, left: string>"
+PLACE = "struct<start: bigint, end: bigint, value: string, left: array<string>>"
 
 
 def _digits(value: Column) -> Column:
@@ -65,30 +78,39 @@ RULES = {
     "ip": (IP, lambda t: t.rlike(r"[0-9]\.[0-9]"), lambda m: m.rlike(rf"^{_PART}(?:\.{_PART}){{3}}$")),
     "card": (CARD, lambda t: t.rlike(r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]"), lambda m: (F.length(_digits(m)) <= 19) & _luhn(m)),
     "phone": (PHONE, lambda t: F.contains(t, F.lit("+")), lambda m: F.length(_digits(m)).between(10, 15)),
+    "grouped": (GROUPED, lambda t: t.rlike("[0-9]"), lambda m: F.length(_digits(m)).between(LEAST_DIGITS, MOST_DIGITS)),
     "token": (TOKEN, lambda t: t.rlike(r"[0-9]\S*[0-9]"), lambda m: F.lit(True)),
+    "spelled": (SPELLED, lambda t: t.rlike(r"(?i)(?:[\[({<]\s?|\s)at(?:\s?[\])}>]|\s)"), lambda m: F.lit(True)),
 }
 
 
+def _last_words(text: Column) -> Column:
+    """The last two stretches without white space, the later one last."""
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), F.lit(2))
+
+
 def _places(matches: str, gaps: str, counts) -> Column:
-    """start, end, value and the text before (CONTEXT code points) of every match that counts."""
+    """start, end, value and the last two words before every match that counts."""
 
     def step(a: Column, i: Column) -> Column:
         value, gap = F.get(matches, i), F.get(gaps, i)
         start = a["at"] + F.length(gap)
         end = start + F.length(value)
-        one = F.array(
-            F.struct(start.alias("start"), end.alias("end"), value.alias("value"), F.substring(gap, -CONTEXT, CONTEXT).alias("left"))
-        )
-        return F.struct(end.alias("at"), F.when(counts(value), F.concat(a["out"], one)).otherwise(a["out"]).alias("out"))
+        # `tail` ends where the match before has ended; a word may go on from there.
+        before = F.concat(a["tail"], gap)
+        one = F.array(F.struct(start.alias("start"), end.alias("end"), value.alias("value"), _last_words(F.lower(before)).alias("left")))
+        tail = F.array_join(_last_words(F.concat(before, value)), " ")
+        return F.struct(end.alias("at"), tail.alias("tail"), F.when(counts(value), F.concat(a["out"], one)).otherwise(a["out"]).alias("out"))
 
     empty = F.array().cast(f"array<{PLACE}>")
-    first = F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out"))
+    first = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("tail"), empty.alias("out"))
     found = F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), first, step, lambda a: a["out"])
     return F.when(F.coalesce(F.size(matches), F.lit(0)) > 0, found).otherwise(empty)
 
 
 def located(texts: DataFrame) -> DataFrame:
-    """_row and carried, and for every kind and for `token` an array of places in _text."""
+    """_row and carried, and for every kind and every shape of candidates an array of places in _text."""
     text = F.col("_text")
     rows = texts
     for kind, (pattern, possible, _) in RULES.items():
@@ -106,36 +128,41 @@ def _of_kind(places: str, kind: Column, *fields: str) -> Column:
     return F.transform(places, lambda x: F.struct(kind.alias("kind"), *[x[f].alias(f) for f in fields]))
 
 
+def _outside(places: Column, taken: str) -> Column:
+    """The places that meet none of `taken`."""
+    return F.filter(places, lambda x: ~F.exists(taken, lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"])))
+
+
 def _occurrences(rows: DataFrame) -> DataFrame:
-    """One row per seed and candidate: row, kind (null for candidates), start, end, value and pattern."""
+    """One row per seed and candidate: row, kind (null for candidates), shape (null for seeds), start, end, value and pattern."""
     fields = ("start", "end", "value", "left")
-    seeds = [_of_kind(f"_{k}", F.lit(k), *fields) for k in BASE]
-    free = F.filter(
-        "_token", lambda x: ~F.exists("_seeds", lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"]))
-    )
-    candidates = _of_kind("_free", F.lit(None).cast("string"), *fields)
-    every = rows.withColumn("_seeds", F.concat(*seeds)).withColumn("_free", free).withColumn("_all", F.concat("_seeds", candidates))
-    words = F.filter(F.split(F.lower("left"), r"\s+"), lambda w: w != "")
+    rows = rows.withColumn("_seeds", F.concat(*[_of_kind(f"_{k}", F.lit(k), *fields) for k in BASE]))
+    rows = rows.withColumns({f"_{shape}": _outside(F.col(f"_{shape}"), "_seeds") for shape in SHAPES})
+    # A token inside of grouped digits is a part of them.
+    rows = rows.withColumn("_token", _outside(F.col("_token"), "_grouped"))
+    shaped = lambda places, shape: F.transform(places, lambda x: F.struct(F.lit(shape).cast("string").alias("shape"), x.alias("x")))
+    candidates = [shaped(_of_kind(f"_{shape}", F.lit(None).cast("string"), *fields), shape) for shape in SHAPES]
+    pattern = "transform(sequence(1, size(left)), k -> concat_ws(' ', slice(left, -k, k)))"
     return (
-        every.select("_row", F.explode("_all").alias("x"))
-        .select("_row", "x.*")
-        .withColumn("words", words)
-        .withColumn(
-            "patterns",
-            F.expr(
-                "concat(if(size(words) > 0, array(element_at(words, -1)), cast(array() as array<string>)),"
-                " if(size(words) > 1, array(concat_ws(' ', element_at(words, -2), element_at(words, -1))), cast(array() as array<string>)))"
-            ),
-        )
-        .select("_row", "kind", "start", "end", F.lower("value").alias("value"), F.explode("patterns").alias("pattern"))
+        rows.select("_row", F.explode(F.concat(shaped("_seeds", None), *candidates)).alias("y"))
+        .select("_row", "y.shape", "y.x.*")
+        .where("size(left) > 0")
+        .select("_row", "kind", "shape", "start", "end", F.lower("value").alias("value"), F.explode(F.expr(pattern)).alias("pattern"))
     )
 
 
+def _fits(shape: str, kind: str) -> Column:
+    """Whether an occurrence of this shape can be of the kind."""
+    return F.col(shape).isin(*[s for s, kinds in SHAPES.items() if kind in kinds])
+
+
 def trusted_patterns(occurrences: DataFrame) -> DataFrame:
     """pattern, kind and precision of the patterns that single out a kind, after ROUNDS rounds over the graph."""
     # One edge for a pattern and an instance; an instance that is a seed somewhere is one everywhere.
     edges = occurrences.groupBy("pattern", "value").agg(
-        *[F.max(F.when(F.col("kind") == k, 1.0).otherwise(0.0)).alias(k) for k in BASE], F.max(F.col("kind").isNotNull()).alias("seed")
+        *[F.max(F.when(F.col("kind") == k, 1.0).otherwise(0.0)).alias(k) for k in BASE],
+        F.max(F.col("kind").isNotNull()).alias("seed"),
+        *[F.max(F.coalesce(_fits("shape", k), F.lit(False))).alias(f"can_{k}") for k in BASE],
     )
     edges = kept(edges, "edges")
     confidence = edges
@@ -146,10 +173,14 @@ def trusted_patterns(occurrences: DataFrame) -> DataFrame:
         )
         scores = kept(scores, "patterns")
         # To a pattern, an unseen instance is worth what its other patterns say, so no pattern proves itself.
-        unseen = edges.where("not seed").select("pattern", "value", "seed").join(scores, "pattern")
+        unseen = edges.where("not seed").select("pattern", "value", "seed", *[f"can_{k}" for k in BASE]).join(scores.hint("merge"), "pattern")
         sums = unseen.groupBy("value").agg(F.count("*").alias("n"), *[F.sum(f"p_{k}").alias(f"t_{k}") for k in BASE])
-        others = [F.when(F.col("n") > 1, (F.col(f"t_{k}") - F.col(f"p_{k}")) / (F.col("n") - 1)).otherwise(0.0).alias(k) for k in BASE]
-        confidence = edges.where("seed").unionByName(unseen.join(sums, "value").select("pattern", "value", "seed", *others))
+        others = [
+            F.when((F.col("n") > 1) & F.col(f"can_{k}"), (F.col(f"t_{k}") - F.col(f"p_{k}")) / (F.col("n") - 1)).otherwise(0.0).alias(k)
+            for k in BASE
+        ]
+        heard = unseen.join(sums.hint("merge"), "value").select("pattern", "value", "seed", *others)
+        confidence = edges.where("seed").select("pattern", "value", "seed", *BASE).unionByName(heard)
     choices = F.array(*[F.struct(F.col(f"p_{k}").alias("precision"), F.col(f"s_{k}").alias("support"), F.lit(-i).alias("order"), F.lit(k).alias("kind")) for i, k in enumerate(BASE)])
     best = F.array_max(F.filter(choices, lambda c: (c["precision"] >= PRECISION) & (c["support"] >= SUPPORT)).cast(
         "array<struct<precision: double, support: bigint, order: int, kind: string>>"
@@ -168,8 +199,9 @@ def spans(texts: DataFrame, text_column: str, carried: Sequence[str]) -> DataFra
     order = F.create_map(*[F.lit(x) for i, k in enumerate(BASE) for x in (k, -i)])
     found = (
         occurrences.where("kind is null")
-        .select("_row", "start", "end", "pattern")
+        .select("_row", "start", "end", "pattern", "shape")
         .join(trusted, "pattern")
+        .where(reduce(Column.__or__, [(F.col("kind") == k) & _fits("shape", k) for k in BASE]))
         .groupBy("_row", "start", "end")
         .agg(F.max(F.struct("precision", order[F.col("kind")].alias("order"), "kind")).alias("best"))
         .groupBy("_row")

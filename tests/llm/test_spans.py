@@ -117,6 +117,84 @@ def test_contexts_find_further_identifiers(documents_of):
     assert rows[300] == []
 
 
+def found_in(documents):
+    rows = pii.spans(documents, "text", ["doc_id", "text"]).collect()
+    return {r["carried"]["doc_id"]: [(s["kind"], r["carried"]["text"][s["start"] : s["end"]]) for s in r["spans"]] for r in rows}
+
+
+def test_grouped_and_spelled_identifiers_are_found(documents_of):
+    seeds = [(i, f"x please call me +1 (988) 555-{i:04d} ok") for i in range(30)]
+    seeds += [(50 + i, f"or write to mail john{i}@example{i}.com today") for i in range(30)]
+    unseen = {
+        100: ("so call me (988) 555-0123 now", [("found_phone", "(988) 555-0123")]),
+        101: ("so call me 020 7946 0958", [("found_phone", "020 7946 0958")]),
+        102: ("so call me 98 85 55 01 23.", [("found_phone", "98 85 55 01 23")]),
+        103: ("then write to mail john[at]example[dot]com", [("found_email", "john[at]example[dot]com")]),
+        104: ("then to mail jane (at) example.org or else", [("found_email", "jane (at) example.org")]),
+        105: ("then to mail Jane At example Dot co dot uk", [("found_email", "Jane At example Dot co dot uk")]),
+        # Two in a row; and the context is far from the match before it.
+        106: ("call me 555-98123 or call me 555-98124", [("found_phone", "555-98123"), ("found_phone", "555-98124")]),
+        107: ("call me 555-98125 " + "word " * 60 + "call me" + " " * 100 + "555-98126", [("found_phone", "555-98125"), ("found_phone", "555-98126")]),
+        # Digits are no address, an address is no number, and ordinary words are neither.
+        108: ("write to mail 020 7946 0958 and call me john[at]example[dot]com", []),
+        109: ("we met at the house and look at example. Then 1 2 3", []),
+    }
+    documents = documents_of([*seeds, *((k, text) for k, (text, _) in unseen.items())])
+    found = found_in(documents)
+    assert {k: found[k] for k in unseen} == {k: spans for k, (_, spans) in unseen.items()}
+
+
+def test_long_runs_are_looked_at_once(documents_of):
+    """Texts that would make a pattern start again and again."""
+    texts = ["1 " * 60_000, "1-" * 60_000 + "a", "a" * 120_000 + " at ", "a.b " * 40_000, "(" * 100_000, "at dot " * 30_000]
+    assert pii.spans(documents_of(list(enumerate(texts))), "text", ["doc_id"]).count() == len(texts)
+
+
+def plain_patterns(occurrences):
+    """pattern -> (kind, precision), by dictionaries."""
+    edges = {}
+    for pattern, value, kind, shape in occurrences:
+        kinds, can = edges.setdefault((pattern, value), (set(), set()))
+        kinds |= {kind} - {None}
+        can |= set(pii.SHAPES.get(shape, ()))
+    heard = {edge: {k: float(k in kinds) for k in pii.BASE} for edge, (kinds, _) in edges.items() if kinds}
+    for _ in range(pii.ROUNDS):
+        precision, support = {}, {}
+        for pattern in {p for p, _ in edges}:
+            # In the first round all instances count, the unseen ones with nothing.
+            own = [(e, c) for e, c in ({e: dict.fromkeys(pii.BASE, 0.0) for e in edges} | heard).items() if e[0] == pattern]
+            precision[pattern] = {k: sum(c[k] for _, c in own) / len(own) for k in pii.BASE}
+            support[pattern] = {k: sum(k in edges[e][0] for e, _ in own) for k in pii.BASE}
+        for (pattern, value), (kinds, can) in edges.items():
+            if not kinds:
+                others = [p for p, v in edges if v == value and p != pattern and not edges[p, v][0]]
+                heard[pattern, value] = {k: sum(precision[p][k] for p in others) / len(others) if others and k in can else 0.0 for k in pii.BASE}
+    trusted = {}
+    for pattern in precision:
+        good = [(precision[pattern][k], support[pattern][k], -i, k) for i, k in enumerate(pii.BASE) if precision[pattern][k] >= pii.PRECISION and support[pattern][k] >= pii.SUPPORT]
+        if good:
+            trusted[pattern] = (max(good)[3], max(good)[0])
+    return trusted
+
+
+def test_scores_of_the_graph_like_plain_dictionaries(spark):
+    r = random.Random(9)
+    rows = []
+    for _ in range(2500):
+        pattern = f"p{int(r.triangular(0, 40, 3))}"
+        if r.random() < 0.7:
+            kind = ("phone" if pattern < "p2" else "email") if r.random() < 0.93 else r.choice(pii.BASE)
+            rows.append((pattern, f"{kind}{r.randint(0, 300)}", kind, None))
+        else:
+            rows.append((pattern, f"c{r.randint(0, 80)}", None, r.choice(list(pii.SHAPES))))
+    frame = spark.createDataFrame(rows, "pattern string, value string, kind string, shape string")
+    found = {r["pattern"]: (r["kind"], r["precision"]) for r in pii.trusted_patterns(frame).collect()}
+    expected = plain_patterns(rows)
+    assert 3 < len(expected) < 41 and found.keys() == expected.keys()
+    for pattern, (kind, precision) in expected.items():
+        assert found[pattern][0] == kind and found[pattern][1] == pytest.approx(precision)
+
+
 def test_redaction(spark):
     rows = spark.createDataFrame(
         [("é a@b.cd and 1.2.3.4!", [("email", 2, 8), ("ip", 13, 20)]), ("abcdef", [("card", 0, 4), ("phone", 2, 5)]), (None, []), ("", [])],
