@@ -11,12 +11,12 @@
    cut like any other stretch of the order.
 4. Numbers of words, and of two-word runs in bins (an edit changes two runs at most), bound the edits of a pair from below; they rule
    out most pairs, and never a link, before any text moves. Rows move only if their id is set in a bitmap of the ids asked for, which
-   lets a few others pass; joins then are exact. The others are verified by banded alignment of whole texts: similarity = 1 - edits / words of the
-   longer text, with edits of single words; SIMILARITY or more is a link. First each document's likeliest partner is tried,
-   then every remaining pair of neighbours whose ends are not yet in one class.
-5. Where a sketch of three or more documents still spans several classes, all of its documents meet: they are cut into blocks
-   of about BLOCK rows and WORDS words, and each pair of blocks is work of its own. Rows stand by size, so only those of sizes
-   that may be a link are paired; pairs whose ends are in one class by now are skipped, and bins rule out most others. Tasks return
+   lets a few others pass; joins then are exact. All other pairs are verified by banded alignment of whole texts: similarity =
+   1 - edits / words of the longer text, with edits of single words; SIMILARITY or more is a link.
+5. Where a sketch of three or more documents still spans several classes, all of its documents meet, first with their counts of
+   runs alone and then, where these leave a pair, with their words: they are cut into blocks of about BLOCK rows and WORDS words, and each
+   pair of blocks is work of its own. Rows stand by size, so only those of sizes that may be a link are paired; pairs whose
+   ends are in one class by now are skipped, and bins rule out most others. Tasks return
    only links that connect, at most one less than they have documents. Classes are connected components.
 
 Cases: texts that are null, empty or only white space are alone; a text of fewer words than SHINGLE is one run; copies and repeated
@@ -473,50 +473,100 @@ def _limits(sizes: np.ndarray | int) -> np.ndarray:
     return ((1 - SIMILARITY) * np.asarray(sizes) + 1e-9).astype(np.int64)
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) between classes inside the groups (j, sketch, tile) of a sorted stream."""
-    group = ("j", "sketch", "tile")
+GROUP = ("j", "sketch", "tile")
+
 
-    def worked(table: pa.Table) -> pa.RecordBatch:
-        table = table.combine_chunks()
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """A sorted stream cut between the groups of GROUP."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        here = pa.Table.from_batches([batch])
+        held = here if held is None else pa.concat_tables([held, here])
+        # All but the last group are whole.
+        last = held.slice(held.num_rows - 1, 1).to_pylist()[0]
+        same = np.ones(held.num_rows, bool)
+        for c in GROUP:
+            same &= held.column(c).to_numpy() == last[c]
+        cut = held.num_rows - int(same.sum())
+        if cut:
+            yield held.slice(0, cut).combine_chunks()
+            held = held.slice(cut)
+    if held is not None:
+        yield held.combine_chunks()
+
+
+class _Tiles:
+    """Rows of some groups by size, and the pairs of them that sizes and classes leave."""
+
+    def __init__(self, table: pa.Table, sizes: np.ndarray):
         get = lambda c: table.column(c).to_numpy()
-        keys = np.stack([get(c) for c in group])
-        texts = [np.frombuffer(x.as_buffer(), "<u4") for x in table.column("words")]
-        sizes = np.array([len(x) for x in texts])
+        keys = np.stack([get(c) for c in GROUP])
         # Those of a group stand by size: a row is paired with later ones only as long as they are not too long for a link.
-        order = np.lexsort((get("doc_id"), sizes, *keys[::-1]))
-        keys, sizes, texts = keys[:, order], sizes[order], [texts[k] for k in order]
-        ids, block = get("doc_id")[order], np.where(get("split"), get("block"), -1)[order]
-        flat = np.concatenate(texts).astype(np.uint64)
-        spread = bags(flat, np.append(0, np.cumsum(sizes)))
-        beyond = sizes - spread.sum(axis=1, dtype=np.int64)
-        _, place = np.unique(get("component")[order], return_inverse=True)
-        name = np.arange(place.max() + 1)
+        self.order = order = np.lexsort((get("doc_id"), sizes, *keys[::-1]))
+        keys, self.sizes = keys[:, order], sizes[order]
+        self.ids, self.block = get("doc_id")[order], np.where(get("split"), get("block"), -1)[order]
+        _, self.place = np.unique(get("component")[order], return_inverse=True)
+        self.name = np.arange(self.place.max() + 1)
+        self.limits = _limits(self.sizes)
         first = np.append(0, np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1)
-        lengths = np.diff(np.append(first, len(ids)))
-        rows = np.arange(len(ids))
-        limits = _limits(sizes)
+        lengths = np.diff(np.append(first, len(self.ids)))
         # The largest size of a link's longer text: at most a share of its words may be missing in the shorter one.
-        longest = (sizes / SIMILARITY + 1e-6).astype(np.int64)
-        scale = int(sizes.max()) + 2
+        longest = (self.sizes / SIMILARITY + 1e-6).astype(np.int64)
+        scale = int(self.sizes.max()) + 2
         number = np.repeat(np.arange(len(first)), lengths) * scale
-        stop = np.searchsorted(number + sizes, number + np.minimum(longest, scale - 1), "right")
-        later = stop - rows - 1
-        ends = np.cumsum(later)
-        found, at = [], 0
+        stop = np.searchsorted(number + self.sizes, number + np.minimum(longest, scale - 1), "right")
+        self.later = stop - np.arange(len(self.ids)) - 1
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of different classes, a slice of rows at a time."""
+        rows, ends, at = np.arange(len(self.ids)), np.cumsum(self.later), 0
         while at < len(rows):
             base = ends[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(ends, base + PAIRS, "right")))
-            i, j = np.repeat(rows[at:to], later[at:to]), ragged(rows[at:to] + 1, later[at:to])
+            i, j = np.repeat(rows[at:to], self.later[at:to]), ragged(rows[at:to] + 1, self.later[at:to])
             at = to
-            good = (name[place[i]] != name[place[j]]) & ((block[i] < 0) | (block[i] != block[j]))
-            i, j = i[good], j[good]
+            good = (self.name[self.place[i]] != self.name[self.place[j]]) & ((self.block[i] < 0) | (self.block[i] != self.block[j]))
+            yield i[good], j[good]
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Those rows of the groups whose runs allow a link with another row of the group."""
+    for table in _whole_groups(batches):
+        sizes = table.column("n").to_numpy()
+        tiles = _Tiles(table, sizes)
+        runs = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("runs").combine_chunks()]
+        runs = np.stack([np.minimum(runs[k].reshape(-1, RUN_BINS).sum(axis=0, dtype=np.int64), 255).astype(np.uint8) for k in tiles.order])
+        beyond = np.maximum(tiles.sizes - 1, 0) - runs.sum(axis=1, dtype=np.int64)
+        useful = np.zeros(len(sizes), bool)
+        for i, j in tiles.pairs():
+            new = ~(useful[i] & useful[j])
+            i, j = i[new], j[new]
+            common = np.minimum(runs[i], runs[j]).sum(axis=1, dtype=np.int64) + np.minimum(beyond[i], beyond[j])
+            good = tiles.sizes[j] - 1 - common <= 2 * tiles.limits[j]
+            useful[i[good]] = useful[j[good]] = True
+        rows = np.sort(tiles.order[useful])
+        if len(rows):
+            yield from table.select([*GROUP, "block", "split", "doc_id", "component"]).take(pa.array(rows)).combine_chunks().to_batches()
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) between classes inside the groups of a sorted stream."""
+    for table in _whole_groups(batches):
+        texts = [np.frombuffer(x.as_buffer(), "<u4") for x in table.column("words").combine_chunks()]
+        tiles = _Tiles(table, np.array([len(x) for x in texts]))
+        texts, sizes, ids, place, name = [texts[k] for k in tiles.order], tiles.sizes, tiles.ids, tiles.place, tiles.name
+        spread = bags(np.concatenate(texts).astype(np.uint64), np.append(0, np.cumsum(sizes)))
+        beyond = sizes - spread.sum(axis=1, dtype=np.int64)
+        found = []
+        for i, j in tiles.pairs():
             common = np.minimum(spread[i], spread[j]).sum(axis=1, dtype=np.int64) + np.minimum(beyond[i], beyond[j])
-            good = sizes[j] - common <= limits[j]
+            good = sizes[j] - common <= tiles.limits[j]
             i, j = i[good], j[good]
             while len(i):
                 here, there = i[:64], j[:64]
-                most = np.maximum(limits[here], limits[there])
+                most = tiles.limits[there]
                 near = alignment_distances([(texts[x], texts[y]) for x, y in zip(here, there, strict=True)], most.tolist()) <= most
                 for x, y in zip(here[near], there[near], strict=True):
                     p, q = name[place[x]], name[place[y]]
@@ -527,25 +577,7 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 good = name[place[i]] != name[place[j]]
                 i, j = i[good], j[good]
         a, b = np.array(found, np.int64).reshape(-1, 2).T
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    held: pa.Table | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        here = pa.Table.from_batches([batch])
-        held = here if held is None else pa.concat_tables([held, here])
-        # All but the last group are whole.
-        last = held.slice(held.num_rows - 1, 1).to_pylist()[0]
-        same = np.ones(held.num_rows, bool)
-        for c in group:
-            same &= held.column(c).to_numpy() == last[c]
-        cut = held.num_rows - int(same.sum())
-        if cut:
-            yield worked(held.slice(0, cut))
-            held = held.slice(cut)
-    if held is not None:
-        yield worked(held)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
 def _crowds(touching: DataFrame) -> DataFrame:
@@ -579,19 +611,31 @@ def _shared(crowds: DataFrame, names: DataFrame, texts: DataFrame) -> DataFrame:
         .where("low <> high")
         .selectExpr("j", "sketch", f"cast(least(size, greatest(ceil(size / {BLOCK}), ceil(n / {WORDS}))) as int) as blocks")
     )
-    placed = stands.drop("n").join(useful, ["j", "sketch"]).withColumn("block", F.expr("cast(pmod(xxhash64(doc_id, j), blocks) as int)"))
+    placed = stands.join(useful, ["j", "sketch"]).withColumn("block", F.expr("cast(pmod(xxhash64(doc_id, j), blocks) as int)"))
     # Rows of block b go to tiles (min(b, x), max(b, x)) for every block x.
     tiles = F.expr("transform(sequence(0, blocks - 1), x -> cast(least(block, x) as bigint) * blocks + greatest(block, x))")
     placed = placed.withColumn("tile", F.explode(tiles)).withColumn("split", F.expr("tile div blocks <> tile % blocks"))
-    order = ["j", "sketch", "tile"]
+    order = list(GROUP)
+    narrow = texts.select("doc_id", "runs")
+    # Counts of runs meet first; texts follow only where these leave a pair.
+    near = kept(
+        placed.join(_among(narrow, stands.select("doc_id").distinct()).hint("merge"), "doc_id")
+        .select(*order, "block", "split", "doc_id", "component", "n", "runs")
+        .repartition(*order)
+        .sortWithinPartitions(*order, "doc_id")
+        .mapInArrow(_near, "j int, sketch bigint, tile bigint, block int, split boolean, doc_id bigint, component bigint"),
+        "near",
+    )
+    sweep(stands.sparkSession)
     links = kept(
-        placed.join(_among(texts.select("doc_id", "words"), placed.select("doc_id").distinct()).hint("merge"), "doc_id")
+        near.join(_among(texts.select("doc_id", "words"), near.select("doc_id").distinct()).hint("merge"), "doc_id")
         .select(*order, "block", "split", "doc_id", "component", "words")
         .repartition(*order)
         .sortWithinPartitions(*order, "doc_id")
         .mapInArrow(_linked, "a bigint, b bigint"),
         "links",
     )
+    drop(near)
     drop(stands)
     return links
 
@@ -635,28 +679,13 @@ def classes(texts: DataFrame, id_column: str, text_column: str) -> DataFrame:
     drop(fitting)
     sweep(spark)
 
-    both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
-    likeliest = kept(
-        both.groupBy("a")
-        .agg(F.max(F.struct("shared", (-F.col("b")).alias("b"))).alias("best"))
-        .select(F.least("a", -F.col("best.b")).alias("a"), F.greatest("a", -F.col("best.b")).alias("b"))
-        .distinct(),
-        "likeliest",
-    )
-    links = kept(_verified(likeliest, candidates), "links")
-    joined = kept(components(links), "joined")
-    open_ = (
-        pairs.join(likeliest, ["a", "b"], "left_anti")
-        .join(joined.toDF("a", "ca"), "a", "left")
-        .join(joined.toDF("b", "cb"), "b", "left")
-        .where("coalesce(ca, a) <> coalesce(cb, b)")
-    )
-    more = kept(_verified(open_, candidates), "links")
-    drop(pairs, likeliest, links)
+    links = kept(_verified(pairs, candidates), "links")
+    drop(pairs)
     sweep(spark)
-    wider = kept(components(_stars(joined).unionAll(more)), "joined")
+    wider = kept(components(links), "joined")
+    drop(links)
     most = _shared(crowds, wider, candidates)
-    drop(joined, more, crowds, candidates)
+    drop(crowds, candidates)
     sweep(spark)
     joined = components(_stars(wider).unionAll(most))
     by_class = same.join(joined, F.col("first") == F.col("node"), "left").select(

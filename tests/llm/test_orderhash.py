@@ -176,3 +176,45 @@ def test_odd_rows(odd, empty):
     assert classes[10] == {(10, True)} and classes[11] == {(10, False)}
     assert all(classes[i] == {(i, True)} for i in range(9))
     assert orderhash.classes(empty, "doc_id", "text").collect() == []
+
+
+def changed(r, words, edits, letters):
+    words = list(words)
+    for _ in range(edits):
+        at = r.randrange(len(words) + 1)
+        kind = r.randrange(3)
+        if kind == 0:
+            words.insert(at, r.choice(letters))
+        elif at < len(words):
+            words[at : at + 1] = [] if kind == 1 else [r.choice(letters)]
+    return words
+
+
+def test_bands_of_bits_are_exact(monkeypatch):
+    """Distances up to the reach, for lists that are longer than one stretch of columns, too."""
+    monkeypatch.setattr(orderhash, "BAND", 32)
+    r = random.Random(3)
+    for _ in range(1500):
+        letters = range(r.choice([2, 5, 500]))
+        a = r.choices(letters, k=r.randint(1, 45))
+        b = changed(r, a, r.randint(0, 14), letters) or [0]
+        a, b = sorted((a, b), key=len)
+        true = plain_distance(a, b)
+        for reach in {len(b) - len(a), len(b) - len(a) + 3, 50}:
+            assert orderhash._in_band(np.array(a), np.array(b), reach) == min(true, reach + 1)
+
+
+def test_counts_of_runs_never_rule_out_a_link():
+    r = random.Random(4)
+    for _ in range(400):
+        letters = [f"w{i}" for i in range(r.choice([1, 3, 40, 3000]))]
+        a = r.choices(letters, k=r.choice([1, 2, 7, 30, 300, 600, 1300]))
+        b = changed(r, a, int(0.2 * len(a)), letters) or ["x"]
+        hashes, places = orderhash.word_hashes(pa.array([" ".join(a), " ".join(b)]))
+        limit = int(orderhash._limits(max(len(a), len(b))))
+        if orderhash.alignment_distances([tuple(hashes[x:y] for x, y in zip(places, places[1:]))], [limit])[0] <= limit:
+            assert orderhash._possible_pair(*orderhash.run_bags(hashes, places), len(a), len(b))
+    # Texts of the same words in another order have few runs in common.
+    a = [f"w{i}" for i in range(200)]
+    hashes, places = orderhash.word_hashes(pa.array([" ".join(a), " ".join(r.sample(a, 200))]))
+    assert not orderhash._possible_pair(*orderhash.run_bags(hashes, places), 200, 200)
