@@ -21,7 +21,7 @@ def test_sql_counterparts(spark):
     for file in Path(SMALL).glob("*.parquet"):
         duck.execute(f"CREATE VIEW {file.stem} AS SELECT * FROM '{file}'")
     texts = queries.oracle_sql()
-    assert len(texts) == 3
+    assert len(texts) == 6
     for name, sql in texts.items():
         found = queries.queries()[name](spark, SMALL)
         expected = duck.sql(sql)
@@ -31,7 +31,7 @@ def test_sql_counterparts(spark):
 
 def test_every_operator_is_registered():
     names = entry.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert "pipeline" in names
 
@@ -89,7 +89,7 @@ def test_run_gives_the_last_stage(spark, passed):
 
 def test_odd_documents_pass_all_stages(spark, odd, empty, prose, documents_of):
     good = documents_of([(1000 + i, prose(80, i)) for i in range(20)] + [(1000, prose(80, 0)), (None, prose(80, 50)), (None, prose(80, 51))])
-    for start in (odd.unionByName(good), empty):
+    for start in (odd.unionByName(good).withColumn("a.b", F.lit(1)), empty):
         docs = start
         for name, stage in corpus_pipeline.STAGES:
             docs = kept(stage(spark, docs, SMALL), name)
@@ -98,6 +98,41 @@ def test_odd_documents_pass_all_stages(spark, odd, empty, prose, documents_of):
         assert (ids == []) == (start is empty)
 
 
+def test_rows_are_decided_on_for_themselves(spark, prose):
+    """Different texts under one id all stay; copies go, whatever their ids."""
+    texts = [prose(60, 500 + k) for k in range(120)]
+    rows = [(k % 60, t) for k, t in enumerate(texts)] + [(None, texts[0]), (None, texts[1]), (None, prose(60, 900)), (7, texts[100])]
+    docs = kept(spark.createDataFrame([(i, t, "en", "s", 1, "x") for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, `a.b` string"), "docs")
+    left = corpus_pipeline.near_dedup(spark, docs, SMALL)
+    assert left.columns == docs.columns
+    assert sorted(r["text"] for r in left.collect()) == sorted([*texts, prose(60, 900)])
+    assert {r["doc_id"] for r in left.collect()} == {*range(60), None}
+    assert corpus_pipeline.language_id(spark, docs, SMALL).columns == docs.columns
+
+
+def test_stages_delete_what_the_one_before_has_left(spark, passed):
+    """Only the tables of the last stage are there, not those of the stages before."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    first = kept(corpus_pipeline.language_id(spark, docs, SMALL), "first")
+    folders = [Path(f.removeprefix("file:")) for f in corpus_pipeline._left]
+    assert folders and any(f.exists() for f in folders)
+    second = kept(corpus_pipeline.personal_data(spark, first, SMALL), "second")
+    assert not any(f.exists() for f in folders)
+    assert second.count() == first.count() > 0
+
+
+def test_only_results_stay(spark, prose, documents_of, tmp_path, monkeypatch):
+    """Of the tables that near-duplicate classes write, the result alone is left."""
+    from cartlens.llm import storage
+
+    monkeypatch.setattr(storage, "shared_folder", lambda spark: str(tmp_path))
+    base = prose(60, 1)
+    rows = [(k, prose(60, k % 12)) for k in range(30)] + [(100 + k, base.replace(w, f"new{k}", 1)) for k, w in enumerate(base.split()[:20])]
+    found = orderhash.classes(documents_of(rows), "doc_id", "text")
+    assert found.where("kept").count() == 12
+    assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["classes"]
+
+
 def test_kept_tables_can_be_dropped(spark):
     frame = kept(spark.range(5).toDF("x"), "trial")
     assert frame.count() == 5
