@@ -2,7 +2,7 @@
 
 Each page becomes a transaction of three records: a request and a metadata record that name the response through
 WARC-Concurrent-To, and a response, or a revisit where a page with a larger id has the same payload. Payloads are compared by
-their SHA-1. Spark's text sink writes the archives (records end with two line breaks, as the format asks), gzipped.
+their SHA-1; only those that several ids may have (by a bitmap of digests) move for that. Spark's text sink writes the archives (records end with two line breaks, as the format asks), gzipped.
 
 Archives are read whole file by whole file and parsed as streams by Content-Length; a file holds at most
 FILE_CAPTURES captures. `captures` joins the records of a transaction through their concurrent-to ids into one nested row, in one pass
@@ -26,9 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartlens.llm.storage import kept
+
 FILE_CAPTURES = 4000
 DATE = "2024-01-01T00:00:00Z"
 SEPARATOR = "\r\n\r\n"
+# Bits of the largest bitmap of shared payloads (16 MB), and of one row of it.
+BITS = 1 << 27
+BLOCK = 1 << 15
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 RECORDS = (
@@ -44,23 +49,54 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def with_types(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload, payload_bytes, payload_digest, and refers_to (null for responses) of every page."""
-    rows = pages.select(
+def _typed(pages: DataFrame) -> DataFrame:
+    return pages.select(
         F.col("page_id").cast("bigint").alias("page_id"), F.col("url"), F.coalesce("html", F.lit("")).cast("binary").alias("payload")
     ).select(
         "*", F.octet_length("payload").cast("bigint").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest")
     )
-    # Only payloads with several ids are joined; the largest id comes from partial aggregates.
-    last = (
-        rows.where(F.col("payload_bytes") >= least_bytes)
+
+
+def shared_payloads(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """payload_digest and last (the largest page_id) of every payload of several ids, as a kept table."""
+    return kept(
+        _typed(pages)
+        .where(F.col("payload_bytes") >= least_bytes)
         .groupBy("payload_digest")
         .agg(F.max("page_id").alias("last"), F.min("page_id").alias("first"))
         .where("first < last")
-        .select("payload_digest", "last")
+        .select("payload_digest", "last"),
+        "payloads",
     )
+
+
+def may_be_shared(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """`rows` with a column `meets`: false only if the payload is not among `shared`.
+
+    It is a bit in a bitmap of their digests, BITS at most, that goes to all tasks; with more digests it lets more others pass."""
+    size = 1 << min(max(16 * shared.count(), BLOCK).bit_length(), BITS.bit_length() - 1)
+    place = F.pmod(F.xxhash64("payload_digest"), F.lit(size))
+    blocks = shared.groupBy((place / BLOCK).cast("bigint").alias("block")).agg(F.bitmap_construct_agg(place % BLOCK).alias("bits"))
+    byte = F.conv(F.hex(F.expr(f"substring(bits, cast(place % {BLOCK} div 8 + 1 as int), 1)")), 16, 10).cast("int")
+    return (
+        rows.withColumn("place", place)
+        .withColumn("block", F.expr(f"place div {BLOCK}"))
+        .join(F.broadcast(blocks), "block", "left")
+        .withColumn("meets", F.coalesce(F.getbit(byte, (F.col("place") % 8).cast("int")) == 1, F.lit(False)))
+        .select(*rows.columns, "meets")
+    )
+
+
+def with_types(pages: DataFrame, least_bytes: int = 0, shared: DataFrame | None = None) -> DataFrame:
+    """page_id, url, payload, payload_bytes, payload_digest, and refers_to (null for responses) of every page.
+
+    Only payloads that may be among `shared` (those of `shared_payloads`) move to be joined."""
+    shared = shared_payloads(pages, least_bytes) if shared is None else shared
+    rows = may_be_shared(_typed(pages), shared)
     refers = F.when((F.col("payload_bytes") >= least_bytes) & (F.col("page_id") < F.col("last")), F.col("last"))
-    return rows.join(last, "payload_digest", "left").withColumn("refers_to", refers).drop("last")
+    columns = ["page_id", "url", "payload", "payload_bytes", "payload_digest"]
+    alone = rows.where("not meets").select(*columns, F.lit(None).cast("bigint").alias("refers_to"))
+    return alone.unionAll(rows.where("meets").join(shared, "payload_digest", "left").select(*columns, refers.alias("refers_to")))
 
 
 def _record(kind: str, headers: dict[str, Column], content: Column) -> Column:

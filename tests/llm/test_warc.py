@@ -105,3 +105,14 @@ def test_base32(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
     found = [r[0] for r in rows.select(warc.base32_sha1(rows.t)).collect()]
     assert found == [base64.b32encode(hashlib.sha1(t.encode()).digest()).decode() for t in texts]
+
+
+def test_only_shared_payloads_move(spark):
+    rows = [(k, f"http://{k}/", f"<p>{k}</p>") for k in range(2000)] + [(3000 + k, "u", f"<p>{k % 10}</p>") for k in range(40)]
+    shared = warc.shared_payloads(pages(spark, rows))
+    assert {r["last"] for r in shared.collect()} == {3030 + k for k in range(10)}
+    meets = warc.may_be_shared(warc._typed(pages(spark, rows)), shared).where("meets").collect()
+    assert {r["page_id"] for r in meets} >= {*range(10), *range(3000, 3040)} and len(meets) < 100
+    typed = warc.with_types(pages(spark, rows), shared=shared)
+    found = Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], "response" if r["refers_to"] is None else "revisit", r["refers_to"]) for r in typed.collect())
+    assert found == expected(rows)
