@@ -135,6 +135,26 @@ def test_evidence_decides_where_text_does_not(spark, two_languages):
     assert all(0 < r["confidence"] <= 1 for r in got.values())
 
 
+def test_host_shows_in_the_margin_of_texts_that_decide_alone(spark, two_languages):
+    languages, model = two_languages
+    text = {"de": "das haus und der hund und die frau " * 20, "en": "the house and the dog of the man " * 20}
+    rows = [(k, text["de" if k % 60 < 50 else "en"], f"h{k // 60}") for k in range(60)] + [(60 + k, text["en"], "h1") for k in range(40)]
+    frame = spark.createDataFrame(rows, "id bigint, text string, host string")
+    found = {r["id"]: r for r in langid.identify(frame, "id", "text", languages, model, host=F.col("host")).collect()}
+    alone = {r["id"]: r for r in langid.identify(frame, "id", "text", languages, model).collect()}
+    assert all(found[k]["language"] == alone[k]["language"] == ("de" if k < 50 else "en") and found[k]["confidence"] == 1 for k in range(100))
+    # The posterior by hand: smoothed counts of each host, languages in alphabetical order and `und`.
+    fits = {r["id"]: r["fit"] for r in frame.select("id", langid.likelihoods("text", model).alias("fit")).collect()}
+    world = np.array([51 / 102, 51 / 102, langid.UND_PRIOR])
+    counts = {"h0": np.array([50, 10, 0]), "h1": np.array([0, 40, 0])}
+    for k, _, host in rows:
+        n = counts[host]
+        for got, prior in ((found[k], (n + langid.STRENGTH * world) / (n.sum() + langid.STRENGTH)), (alone[k], world)):
+            post = np.sort(np.log(np.maximum(prior, langid.UND_PRIOR / 100)) + np.array(fits[k]))
+            assert np.isclose(got["margin"], post[-1] - post[-2])
+        assert not np.isclose(found[k]["margin"], alone[k]["margin"])
+
+
 def test_language_of_odd_rows(odd, empty, two_languages):
     languages, model = two_languages
     rows = langid.identify(odd, "doc_id", "text", languages, model, host=F.col("source")).collect()
