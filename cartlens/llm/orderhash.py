@@ -301,9 +301,8 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
 
 
-def _both(pairs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
-    """Pairs (a, b, ...) with the columns of both ends, as <column>_a and <column>_b."""
-    here = _among(rows.select("doc_id", *columns), _ends(pairs))
+def _both(pairs: DataFrame, here: DataFrame, *columns: str) -> DataFrame:
+    """Pairs (a, b, ...) with the columns of both ends in `here`, as <column>_a and <column>_b."""
     for end in ("a", "b"):
         pairs = pairs.join(here.select(F.col("doc_id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns]).hint("merge"), end)
     return pairs
@@ -318,7 +317,8 @@ def _possible(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
             near = [_possible_pair(*row) for row in rows]
             yield batch.select(["a", "b", "shared"]).filter(pa.array(near, pa.bool_()))
 
-    return _both(pairs, candidates, "n", "runs").mapInArrow(run, "a bigint, b bigint, shared bigint").distinct()
+    here = _among(candidates.select("doc_id", "n", "runs"), _ends(pairs))
+    return _both(pairs, here, "n", "runs").mapInArrow(run, "a bigint, b bigint, shared bigint").distinct()
 
 
 def alignment_distances(pairs: list[tuple[np.ndarray, np.ndarray]], limits: list[int]) -> np.ndarray:
@@ -450,8 +450,8 @@ def _banded(batch: list, reach: int) -> np.ndarray:
     return found
 
 
-def _verified(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Those of `pairs` (a, b) whose texts (doc_id, words) are similar."""
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of `pairs` (a, b) whose texts (doc_id, text) are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -465,7 +465,7 @@ def _verified(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
                 near = alignment_distances(both, limits.tolist()) <= limits
                 yield part.select(["a", "b"]).filter(pa.array(near))
 
-    return _both(pairs.select("a", "b"), candidates, "words").mapInArrow(run, "a bigint, b bigint")
+    return _both(pairs.select("a", "b"), _words_of(texts, _ends(pairs)), "words").mapInArrow(run, "a bigint, b bigint")
 
 
 def _limits(sizes: np.ndarray | int) -> np.ndarray:
@@ -600,7 +600,7 @@ def _crowds(touching: DataFrame) -> DataFrame:
     return crowds
 
 
-def _shared(crowds: DataFrame, names: DataFrame, texts: DataFrame) -> DataFrame:
+def _shared(crowds: DataFrame, names: DataFrame, candidates: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) between different classes (doc_id, component) among all documents that share a sketch."""
     stands = kept(
         crowds.join(names.toDF("doc_id", "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "stands"
@@ -616,7 +616,7 @@ def _shared(crowds: DataFrame, names: DataFrame, texts: DataFrame) -> DataFrame:
     tiles = F.expr("transform(sequence(0, blocks - 1), x -> cast(least(block, x) as bigint) * blocks + greatest(block, x))")
     placed = placed.withColumn("tile", F.explode(tiles)).withColumn("split", F.expr("tile div blocks <> tile % blocks"))
     order = list(GROUP)
-    narrow = texts.select("doc_id", "runs")
+    narrow = candidates.select("doc_id", "runs")
     # Counts of runs meet first; texts follow only where these leave a pair.
     near = kept(
         placed.join(_among(narrow, stands.select("doc_id").distinct()).hint("merge"), "doc_id")
@@ -628,7 +628,7 @@ def _shared(crowds: DataFrame, names: DataFrame, texts: DataFrame) -> DataFrame:
     )
     sweep(stands.sparkSession)
     links = kept(
-        near.join(_among(texts.select("doc_id", "words"), near.select("doc_id").distinct()).hint("merge"), "doc_id")
+        near.join(_words_of(texts, near.select("doc_id").distinct()).hint("merge"), "doc_id")
         .select(*order, "block", "split", "doc_id", "component", "words")
         .repartition(*order)
         .sortWithinPartitions(*order, "doc_id")
@@ -645,8 +645,20 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, places = word_hashes(batch.column("text"))
         raw = pa.py_buffer((hashes >> np.uint64(32)).astype("<u4").tobytes())
         held = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((places * 4).astype(np.int32)), raw])
-        runs = pa.array(run_bags(hashes, places), pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(places)), held, runs], ["doc_id", "n", "words", "runs"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), held], ["doc_id", "words"])
+
+
+def _words_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and words of the rows (doc_id, text) among `ids`, and of a few others. Words are made from the texts where they are needed:
+    a table of them would be as large as the texts and stand through all steps."""
+    return _among(texts, ids, _words, "doc_id bigint, words binary")
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text"):
+        hashes, places = word_hashes(batch.column("text"))
+        columns = [batch.column("doc_id"), pa.array(np.diff(places)), pa.array(run_bags(hashes, places), pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "runs"])
 
 
 def _stars(joined: DataFrame) -> DataFrame:
@@ -664,40 +676,43 @@ def classes(texts: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
     rows = kept(sketch_rows(texts, id_column, text_column), "sketches")
     same = kept(rows.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("first")), "same")
+    named = kept(rows.select("doc_id", "n", "h1", "h2"), "named")
     firsts = rows.select("doc_id", "n", "sketches").join(same.select("first").distinct(), F.col("doc_id") == F.col("first"), "left_semi")
     touching, sorted_ = _neighbours(firsts)
+    drop(rows)
+    sweep(spark)
     crowds = _crowds(touching)
     fits = touching.where(f"abs(na - nb) <= cast(floor({1 - SIMILARITY:.9g} * greatest(na, nb) + 1e-6) as bigint)")
     fitting = kept(fits.groupBy("a", "b").agg(F.count("*").alias("shared")), "fitting")
     drop(sorted_)
     sweep(spark)
     candidates = kept(
-        _among(all_rows, _ends(fitting).unionAll(crowds.select("doc_id")).distinct(), _words, "doc_id bigint, n bigint, words binary, runs binary"),
+        _among(all_rows, _ends(fitting).unionAll(crowds.select("doc_id")).distinct(), _runs, "doc_id bigint, n bigint, runs binary"),
         "candidates",
     )
     pairs = kept(_possible(fitting, candidates), "pairs")
     drop(fitting)
     sweep(spark)
 
-    links = kept(_verified(pairs, candidates), "links")
+    links = kept(_verified(pairs, all_rows), "links")
     drop(pairs)
     sweep(spark)
     wider = kept(components(links), "joined")
     drop(links)
-    most = _shared(crowds, wider, candidates)
+    most = _shared(crowds, wider, candidates, all_rows)
     drop(crowds, candidates)
     sweep(spark)
     joined = components(_stars(wider).unionAll(most))
     by_class = same.join(joined, F.col("first") == F.col("node"), "left").select(
         "h1", "h2", "n", F.coalesce("component", "first").alias("class_id")
     )
-    found = rows.select("doc_id", "h1", "h2", "n").join(by_class, ["h1", "h2", "n"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    found = named.join(by_class, ["h1", "h2", "n"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     result = kept(
         all_rows.select("doc_id")
         .join(found, "doc_id", "left")
         .selectExpr("doc_id", "coalesce(class_id, doc_id) as class_id", "doc_id is null or coalesce(class_id, doc_id) = doc_id as kept"),
         "classes",
     )
-    drop(rows, same, wider, most)
+    drop(named, same, wider, most)
     sweep(spark)
     return result

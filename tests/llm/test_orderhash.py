@@ -218,3 +218,16 @@ def test_counts_of_runs_never_rule_out_a_link():
     a = [f"w{i}" for i in range(200)]
     hashes, places = orderhash.word_hashes(pa.array([" ".join(a), " ".join(r.sample(a, 200))]))
     assert not orderhash._possible_pair(*orderhash.run_bags(hashes, places), 200, 200)
+
+
+def test_no_table_of_words_is_kept(documents_of, prose, monkeypatch):
+    """Words are made where they are needed, and sketches go once they are sorted."""
+    from cartlens.llm.storage import drop, kept
+
+    standing, seen = {}, []
+    monkeypatch.setattr(orderhash, "kept", lambda df, what: standing.setdefault((kept_ := kept(df, what)).inputFiles()[0].rsplit("/", 1)[0], (what, kept_.columns)) and (seen.append((what, kept_.columns, [w for w, _ in standing.values()])), kept_)[1])
+    monkeypatch.setattr(orderhash, "drop", lambda *frames: [standing.pop(f.inputFiles()[0].rsplit("/", 1)[0]) for f in frames] and drop(*frames))
+    rows = [(k, prose(60, k % 12)) for k in range(30)]
+    assert orderhash.classes(documents_of(rows), "doc_id", "text").where("kept").count() == 12
+    assert not any("words" in columns for _, columns, _ in seen)
+    assert "sketches" not in next(there for what, _, there in seen if what == "candidates")
