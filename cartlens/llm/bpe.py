@@ -19,7 +19,7 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -75,22 +75,34 @@ class Vocabulary:
         ids = {raw(token): i for token, i in model["vocab"].items() if token.encode() not in self.special}
         self.ids = ids
         self.bytes = {i: token for token, i in ids.items()} | {i: token for token, i in self.special.items()}
-        pairs = [pair if isinstance(pair, list) else pair.split(" ") for pair in model["merges"]]
-        self.merges = {(ids[raw(a)], ids[raw(b)]): (rank, ids[raw(a + b)]) for rank, (a, b) in enumerate(pairs)}
+        self._content = content
         self.lengths = [len(self.bytes.get(i, b"")) for i in range(max(self.bytes) + 1)]
-        # Tokens by their bytes from the last to the first.
-        self.backwards: dict = {}
-        for token, i in ids.items():
-            node = self.backwards
-            for byte in reversed(token):
-                node = node.setdefault(byte, {})
-            node[-1] = i
         self._stable: dict[tuple[int, int], bool] = {}
         widths = np.array(self.lengths, np.int64)
         self.token_starts = np.cumsum(widths) - widths
         self.token_widths = widths
         self.token_bytes = np.frombuffer(b"".join(self.bytes.get(i, b"") for i in range(len(widths))), np.uint8)
 
+    @cached_property
+    def merges(self) -> dict[tuple[int, int], tuple[int, int]]:
+        """Rank and id of every merge; like `backwards`, made when first asked for."""
+        to_byte = _byte_characters()
+        raw = lambda token: bytes(to_byte[c] for c in token)
+        listed = json.loads(self._content)["model"]["merges"]
+        pairs = [pair if isinstance(pair, list) else pair.split(" ") for pair in listed]
+        return {(self.ids[raw(a)], self.ids[raw(b)]): (rank, self.ids[raw(a + b)]) for rank, (a, b) in enumerate(pairs)}
+
+    @cached_property
+    def backwards(self) -> dict:
+        """Tokens by their bytes from the last to the first."""
+        root: dict = {}
+        for token, i in self.ids.items():
+            node = root
+            for byte in reversed(token):
+                node = node.setdefault(byte, {})
+            node[-1] = i
+        return root
+
     def merged(self, token: bytes) -> list[int]:
         """Ids after all merges, straight from the rule; used on the bytes of two tokens."""
         parts = [self.ids[bytes([b])] for b in token]

@@ -3,7 +3,7 @@
 1. Every document becomes its token ids and one end id, in the tasks that read it.
 2. Documents move once. A signature (the smallest hash of two adjacent ids) brings lexically close documents
    together; the rebalancing exchange cuts partitions that grow too large, so a group of copies may hold any
-   share of the rows.
+   share of the rows. Where the session cuts them smaller than a shard, a task reads several pieces.
 3. Each partition is a run of index shards of bounded size. A shard has a BM25 inverted index over token ids. The
    document that is cut by the end of a window (or the next one in order) is the seed of the window that
    follows; its best unused neighbours fill the window, and the last of them is cut and becomes the next seed.
@@ -19,6 +19,7 @@ table gives an empty one; other columns are not read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartlens.llm.bpe import Encoder, Vocabulary, read_vocabulary
+from cartlens.llm.storage import ROWS_PER_BATCH
 from cartlens.llm.text import mixed, ragged, slices, utf8
 
 WINDOW = 1024
@@ -189,6 +191,30 @@ def pack_shard(doc_ids: list, ids: list[np.ndarray], first_sequence: int) -> tup
     return pa.RecordBatch.from_arrays(columns, names), len(windows) - 1
 
 
+def parts(found: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The pieces in batches of bounded size: a piece has at most WINDOW ids."""
+    for start in range(0, found.num_rows, ROWS_PER_BATCH):
+        yield found.slice(start, ROWS_PER_BATCH)
+
+
+def size_of(setting: str) -> int:
+    """Bytes in a size as Spark's settings give it: 64MB, 16k, 67108864b."""
+    number, unit = re.match(r"\s*(\d+)\s*([kmgtp]?)", setting.lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
+def gathered(rows: DataFrame) -> DataFrame:
+    """Rows of equal signature side by side, except that large groups of them are cut.
+
+    The exchange cuts by the session's advisory size. Where that is less than a shard's ids take, there are at most as many tasks as
+    shuffle partitions, each with several of the pieces: a piece alone makes a small shard, and a task and a file of its own."""
+    conf = rows.sparkSession.conf
+    dealt = rows.hint("rebalance", F.col("signature"))
+    if size_of(conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")) >= SHARD_IDS * 2:
+        return dealt
+    return dealt.coalesce(int(conf.get("spark.sql.shuffle.partitions")))
+
+
 def pack(texts: DataFrame, id_column: str, text_column: str, vocabulary: str | None = None) -> DataFrame:
     """The pieces of all sequences: doc_id, start, length, ids (binary, four little-endian bytes each), doc_tokens, sequence_id, offset."""
     rows = token_rows(texts, id_column, text_column, vocabulary)
@@ -204,15 +230,15 @@ def pack(texts: DataFrame, id_column: str, text_column: str, vocabulary: str | N
                     found, n = pack_shard(docs, held, sequence)
                     sequence += n
                     docs, held, size = [], [], 0
-                    yield found
+                    yield from parts(found)
                 docs.append(doc)
                 held.append(ids)
                 size += len(ids) + 1
         if docs:
-            yield pack_shard(docs, held, sequence)[0]
+            yield from parts(pack_shard(docs, held, sequence)[0])
 
     return (
-        rows.hint("rebalance", F.col("signature"))
+        gathered(rows)
         .sortWithinPartitions("signature", "doc_id")
         .select("doc_id", "ids", "width")
         .mapInArrow(run, PIECES)

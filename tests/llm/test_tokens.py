@@ -106,6 +106,47 @@ def test_small_shards(documents_of, prose, library, monkeypatch):
     assert found.num_rows >= 30 and set(found.column("sequence_id").to_pylist()) == set(range(7, 7 + n))
 
 
+def test_small_pieces_are_gathered(spark, documents_of, prose, library):
+    """A session that cuts exchanges into tiny pieces gets no more tasks than shuffle partitions, and a group of copies still is cut."""
+    documents = documents_of([(i, prose(60, i)) for i in range(600)] + [(1000 + i, prose(60, 7)) for i in range(600)]).repartition(8).cache()
+    settings = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        pieces = queries.packed(documents).collect()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    whole(pieces, documents, library)
+    tasks = {p["sequence_id"] >> 36 for p in pieces}
+    assert len(tasks) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    copies = [p["sequence_id"] >> 36 for p in pieces if p["doc_id"] >= 1000]
+    assert len(set(copies)) >= 4
+    documents.unpersist()
+
+
+def test_sizes_of_settings():
+    assert [packing.size_of(x) for x in ("16k", "64MB", "67108864b", " 8m ", "1000", "2GiB")] == [
+        16 << 10, 64 << 20, 64 << 20, 8 << 20, 1000, 2 << 30
+    ]
+
+
+def test_pieces_leave_a_shard_in_bounded_batches():
+    ids = [np.arange(100 + k % 50) for k in range(2_500)]
+    found, _ = packing.pack_shard(list(range(2_500)), ids, 0)
+    batches = list(packing.parts(found))
+    assert len(batches) > 2 and max(b.num_rows for b in batches) <= 1000
+    assert pa.Table.from_batches(batches).combine_chunks().equals(pa.Table.from_batches([found]).combine_chunks())
+
+
+def test_packing_makes_no_tables_for_the_trie():
+    with open(bpe.VOCABULARY, encoding="utf-8") as file:
+        known = packing._encoder(file.read())
+    known.encode(*text.utf8(pa.array(["words to be merged"])))
+    assert not {"merges", "backwards"} & set(vars(known.vocabulary))
+
+
 def test_neighbours_follow_their_seed():
     """Two topics: a window is filled from the topic of its seed as long as there is some."""
     r = np.random.default_rng(0)
