@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import random
 import zlib
 
 import numpy as np
@@ -188,3 +189,111 @@ def test_every_language_is_fitted(spark, monkeypatch):
     monkeypatch.setattr(langid, "MAX_LANGUAGES", 69)
     with pytest.raises(ValueError, match="more than 69 languages"):
         langid.fit(frame, "id", "text", "lang")
+
+
+def evidence_rows():
+    """Rows with all kinds of evidence, with some of it and with none, one host that most rows have, and texts that say little."""
+    r = random.Random(5)
+    said = {"de": "das haus und der hund und die frau", "en": "the house and the dog of the man"}
+    rows = []
+    for k in range(300):
+        language = r.choice(["de", "en", "en"])
+        words = said[language].split()
+        text = r.choice([None, "", "12 34", "ab", " ".join(r.choices(words, k=2)), " ".join(r.choices(words, k=30)), "дом " * 5])
+        host = r.choice(["big.x.de", "big.x.de", "big.x.de", f"h{k % 7}.x.de", f"h{k % 5}.y.com", None])
+        domain = host and host.split(".", 1)[1]
+        declared = r.choice([None, language, "zz" if k % 2 else language]) if k < 200 else None
+        rows.append((k, text, host, domain, declared, host and r.choice([None, domain[-2:], "com/en"])))
+    return [*rows, (300, None, None, None, "qq", None), (301, None, None, None, None, None), (302, "", "only.here", None, None, None)]
+
+
+@pytest.mark.parametrize("sent", [langid.SENT_BYTES, -1])
+def test_posterior_of_all_evidence_is_that_by_hand(spark, two_languages, monkeypatch, sent):
+    monkeypatch.setattr(langid, "SENT_BYTES", sent)
+    languages, model = two_languages
+    names = ("host", "domain", "declared", "suffix")
+    rows = evidence_rows()
+    frame = spark.createDataFrame(rows, "id bigint, text string, " + ", ".join(f"{c} string" for c in names))
+    result = langid.identify(frame, "id", "text", languages, model, **{c: F.col(c) for c in names}).collect()
+    found = {r["id"]: r for r in result}
+    assert len(result) == len(found) == len(rows)
+    fits = {r["id"]: r["fit"] for r in frame.select("id", langid.likelihoods("text", model).alias("fit")).collect()}
+    # Rows by language of the text for each value; und is counted for none.
+    of_text = {k: int(np.argmax(fit)) for k, fit in fits.items() if fit is not None}
+    counts, having = {}, {c: np.zeros(3) for c in (*names, "all")}
+    for k, _, *values in rows:
+        if of_text.get(k, 2) < 2:
+            having["all"][of_text[k]] += 1
+            for c, v in zip(names, values):
+                if v is not None:
+                    counts.setdefault((c, v), np.zeros(3))[of_text[k]] += 1
+                    having[c][of_text[k]] += 1
+    for k, _, *values in rows:
+        prior = np.append((having["all"][:2] + 1) / (having["all"].sum() + 2), langid.UND_PRIOR)
+        for c in ("domain", "host"):
+            if (n := counts.get((c, values[names.index(c)]))) is not None:
+                prior = (n + langid.STRENGTH * prior) / (n.sum() + langid.STRENGTH)
+        post, decided = np.log(np.maximum(prior, langid.UND_PRIOR / 100)), fits[k] is not None
+        for c in ("declared", "suffix"):
+            if (n := counts.get((c, values[names.index(c)]))) is not None:
+                post, decided = post + np.log((n + 1) / (having[c] + 50)), True
+        post = post + np.array(fits[k] or [0.0] * 3)
+        assert found[k]["language"] == (languages[int(np.argmax(post))] if decided else langid.UND)
+        assert found[k]["text_language"] == languages[of_text.get(k, 2)]
+        assert np.isclose(found[k]["confidence"], 1 / np.exp(post - post.max()).sum())
+        low = np.sort(post)
+        assert np.isclose(found[k]["margin"], low[-1] - low[-2]) if decided else found[k]["margin"] is None
+    assert {found[k]["language"] for k in (300, 301, 302)} == {langid.UND}
+
+
+def test_op7_fuses_every_kind_of_evidence(spark, tmp_path):
+    text = {"de": "das haus und der hund und die frau " * 3, "en": "the house and the dog of the man " * 3}
+    documents = [(k, text[lang], lang, f"www.{lang}.example.{'de' if lang == 'de' else 'com'}") for lang in text for k in range(30 * (lang == "en"), 30 + 30 * (lang == "en"))]
+    # Documents without a language of their own: a new host of a known domain, a source that is no host name.
+    documents += [(100, "ab", None, "new.example.de"), (101, "ab", None, "src0"), (102, None, None, "www.de.example.de"), (None, "ab", None, "new.example.de")]
+    spark.createDataFrame(documents, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    page = '<html class="{}" lang="{}"><body>{}</body></html>'
+    pages = [(k, f"https://p.site.org/{lang}/{k}", page.format("", lang, text[lang])) for lang in text for k in range(20 * (lang == "en"), 20 + 20 * (lang == "en"))]
+    pages += [
+        (40, "https://p.site.org", page.format("", "de", "ab")),  # by its markup
+        (41, "https://q.other.org", page.format("x " * 1000, "DE", "")),  # by its markup, far behind
+        (42, "https://p.site.org/de/", "<p>ab</p>"),  # by its address
+        (43, None, None),
+        (44, None, "<p>12</p>"),
+    ]
+    spark.createDataFrame(pages, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    rows = queries.op7_evidence_language(spark, str(tmp_path)).collect()
+    assert len(rows) == len(documents) + len(pages)
+    of_documents = {r["doc_id"]: r for r in rows if r["page_id"] is None}
+    of_pages = {r["page_id"]: r for r in rows if r["page_id"] is not None}
+    assert len(of_documents) == len(documents) and len(of_pages) == len(pages)
+    assert all(of_documents[k]["language"] == lang for k, _, lang, _ in documents if lang)
+    assert all(of_pages[k]["language"] == ("de" if k < 20 else "en") for k in range(40))
+    assert [of_documents[k]["language"] for k in (100, None, 102)] == ["de", "de", "de"]
+    assert [of_pages[k]["language"] for k in range(40, 45)] == ["de", "de", "de", langid.UND, langid.UND]
+    # What pages declare takes part in the result of a page of its own text, too.
+    assert of_pages[0]["margin"] > of_documents[0]["margin"]
+
+
+def test_declared_language_stands_anywhere_in_the_tag(spark):
+    pages = [
+        ('<HTML LANG=fr-FR>', "fr"),
+        ("<html " + "data-x='y' " * 500 + 'lang="es">', "es"),
+        ('<html lang="de" xml:lang="en">', "en"),
+        ('<html class="a"><p lang="de"></p><html\n lang = \'it\'>', "it"),
+        ('<html class="a"><p lang="de">', None),
+        ("<html " * 200_000, None),
+        ("<html " + "lang " * 200_000, None),
+        (None, None),
+    ]
+    frame = spark.createDataFrame([(k, None, h) for k, (h, _) in enumerate(pages)], "page_id bigint, url string, html string")
+    found = {r[0]: r[1] for r in frame.select("page_id", langid.page_evidence()["declared"]).collect()}
+    assert found == {k: d for k, (_, d) in enumerate(pages)}
+
+
+def test_languages_of_odd_hosts(spark):
+    sources = [None, "", "src0", "WWW.Example.DE", "a.b.example.com", "v1.2", "x.xn--p1ai", "https://a.de", ".de", "a." * 50_000, "a b.de"]
+    frame = spark.createDataFrame([(s,) for s in sources], "source string")
+    found = [tuple(r) for r in frame.select(*langid.host_evidence(F.col("source")).values()).collect()]
+    dotted = {3: ("www.example.de", "example.de", "de"), 4: ("a.b.example.com", "example.com", "com"), 6: ("x.xn--p1ai", "x.xn--p1ai", "xn--p1ai")}
+    assert found == [dotted.get(k, (s, None, None)) for k, s in enumerate(sources)]
