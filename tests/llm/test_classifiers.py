@@ -297,3 +297,40 @@ def test_languages_of_odd_hosts(spark):
     found = [tuple(r) for r in frame.select(*langid.host_evidence(F.col("source")).values()).collect()]
     dotted = {3: ("www.example.de", "example.de", "de"), 4: ("a.b.example.com", "example.com", "com"), 6: ("x.xn--p1ai", "x.xn--p1ai", "xn--p1ai")}
     assert found == [dotted.get(k, (s, None, None)) for k, s in enumerate(sources)]
+
+
+def test_model_counts_the_trigrams_of_all_labelled_rows(spark):
+    # More rows than SAMPLE, with a trigram that no other row has in each of them, one of them without an id.
+    r = random.Random(3)
+    texts = [f"{''.join(r.choices('abcdefghij', k=r.choice([1, 2, 5, 40])))} {chr(0x4E00 + k)}" for k in range(1500)]
+    rows = [(k or None, t, "en" if k % 3 else "de") for k, t in enumerate(texts)] + [(2000, "left out", None), (2001, None, "de"), (2002, "", "en")]
+    frame = spark.createDataFrame(rows, "id bigint, text string, lang string")
+    languages, model = langid.fit(frame, "id", "text", "lang")
+    assert languages == ["de", "en", langid.UND]
+    for k, language in enumerate(languages[:2]):
+        table, n = np.full(langid.BUCKETS, langid.SMOOTHING), sum(lang == language for *_, lang in rows)
+        for _, t, lang in rows:
+            low = (t or "").lower().encode() if lang == language else b""
+            for i in range(len(low) - 2):
+                table[((low[i] << 16 | low[i + 1] << 8 | low[i + 2]) * 2654435761 % 2**32) >> 16] += min(1, langid.SAMPLE / n)
+        assert np.allclose(model[k], np.log(table / table.sum()), atol=1e-4)
+
+
+def test_trigrams_of_long_texts_are_counted_in_pieces(monkeypatch):
+    r = random.Random(1)
+    texts = ["".join(r.choices("abc ", k=k)) for k in (0, 1, 2, 3, 500, 1, 1, 2, 7, 64, 90, 1)]
+    parts = text.utf8(pa.array(texts))
+    whole = langid._counted(*parts)
+    assert whole.sum() == sum(max(0, len(t) - 2) for t in texts)
+    for size in (1, 2, 3, 10, 64, 499):
+        monkeypatch.setattr(langid, "CHUNK", size)
+        assert np.array_equal(langid._counted(*parts), whole)
+
+
+def test_language_accuracy_on_rows_that_are_not_learned_from(spark):
+    documents = spark.read.parquet(f"{SMALL}/documents.parquet")
+    languages, model = langid.fit(documents.where(~queries.held_out()), "doc_id", "text", "lang")
+    held = documents.where(queries.held_out())
+    found = langid.identify(held, "doc_id", "text", languages, model, host=F.col("source"))
+    rows = found.join(held.select(F.col("doc_id").alias("id"), "lang"), "id").collect()
+    assert len(rows) > 200 and np.mean([r["language"] == r["lang"] for r in rows]) >= 0.98
