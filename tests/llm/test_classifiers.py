@@ -207,9 +207,11 @@ def evidence_rows():
     return [*rows, (300, None, None, None, "qq", None), (301, None, None, None, None, None), (302, "", "only.here", None, None, None)]
 
 
-@pytest.mark.parametrize("sent", [langid.SENT_BYTES, -1])
-def test_posterior_of_all_evidence_is_that_by_hand(spark, two_languages, monkeypatch, sent):
+@pytest.mark.parametrize("sent, often", [(langid.SENT_BYTES, langid.OFTEN), (-1, langid.OFTEN), (-1, 5), (-1, 0)])
+def test_posterior_of_all_evidence_is_that_by_hand(spark, two_languages, monkeypatch, sent, often):
+    """All counts sent, or those of all values that occur, of frequent ones, of none."""
     monkeypatch.setattr(langid, "SENT_BYTES", sent)
+    monkeypatch.setattr(langid, "OFTEN", often)
     languages, model = two_languages
     names = ("host", "domain", "declared", "suffix")
     rows = evidence_rows()
